@@ -152,28 +152,32 @@ def _histogram(df: DataFrame, col: str, low, high) -> list:
     )
 
 
-def _value_at(df: DataFrame, col: str, rank: int, start=None):
-    """Value of ``col`` at 0-based ``rank`` and the number of rows below it."""
+def _value_at(df: DataFrame, col: str, rank: int, seen: dict):
+    """Value of ``col`` at 0-based ``rank`` and the number of rows below it.
+
+    ``seen`` keeps the histograms of ranges already scanned, which several ranks
+    share.
+    """
     below = 0
-    if start is None:
-        row = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.count("*").alias("n")).first()
-        low, high, size = row["lo"], row["hi"], row["n"]
-    else:
-        low, high, size, below = start
+    if "range" not in seen:
+        seen["range"] = df.agg(
+            F.min(col).alias("lo"), F.max(col).alias("hi"), F.count("*").alias("n")).first()
+    low, high, size = seen["range"]
     while low != high:
-        inside = df.filter(F.col(col).between(F.lit(low), F.lit(high)))
-        if size <= _FINISH_ROWS:
-            counts = inside.groupBy(col).count().orderBy(col).collect()
-            for value, n in counts:
-                if rank < below + n:
-                    return value, below
-                below += n
-            raise AssertionError("rank beyond the data")
-        for b in _histogram(inside, col, low, high):
-            if rank < below + b["n"]:
-                low, high, size = b["lo"], b["hi"], b["n"]
+        if (low, high) not in seen:
+            inside = df.filter(F.col(col).between(F.lit(low), F.lit(high)))
+            if size <= _FINISH_ROWS:
+                exact = inside.groupBy(F.col(col).alias("lo")).agg(F.count("*").alias("n")).orderBy("lo")
+                seen[low, high] = [(v, v, n) for v, n in exact.collect()]
+            else:
+                seen[low, high] = [(b["lo"], b["hi"], b["n"]) for b in _histogram(inside, col, low, high)]
+        for lo, hi, n in seen[low, high]:
+            if rank < below + n:
+                low, high, size = lo, hi, n
                 break
-            below += b["n"]
+            below += n
+        else:
+            raise AssertionError("rank beyond the data")
     return low, below
 
 
@@ -192,6 +196,7 @@ def order_boundaries(df: DataFrame, order: Sequence[str], ranks: Sequence[int])
     keys = df.select(*order)
     types = {f.name: f.dataType for f in keys.schema.fields}
     found = []
+    top: dict = {}
     for rank in ranks:
         scope, left, prefix = keys, rank, []
         for depth, col in enumerate(order):
@@ -201,10 +206,13 @@ def order_boundaries(df: DataFrame, order: Sequence[str], ranks: Sequence[int])
                 row = rest.filter(F.col("__i") == left).select(*order[depth:]).first()
                 prefix.extend(row)
                 break
-            value, below = _value_at(scope, col, left)
+            value, below = _value_at(scope, col, left, top if depth == 0 else {})
             prefix.append(value)
             left -= below
             scope = scope.filter(F.col(col) == F.lit(value))
+            if depth + 1 < len(order) and left == 0 and scope.limit(2).count() == 1:
+                prefix.extend(scope.select(*order[depth + 1:]).first())
+                break
         found.append(tuple(prefix))
     return found
 

@@ -142,13 +142,26 @@ def linucb_statistics(rounds: DataFrame, dim: int) -> DataFrame:
     tasks alike.
     """
 
+    most_arms = max(1, ARM_BROADCAST_BYTES // (8 * (dim * dim + dim)))
+
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         xx: dict[int, np.ndarray] = {}
         xr: dict[int, np.ndarray] = {}
         n: dict[int, int] = {}
+
+        def rows() -> pd.DataFrame:
+            arms = list(n)
+            return pd.DataFrame({
+                "action": arms, "xx": [xx[k].ravel().tolist() for k in arms],
+                "xr": [xr[k].tolist() for k in arms], "n": [n[k] for k in arms],
+            })
+
         for batch in batches:
             if batch.empty:
                 continue
+            if len(n) > most_arms:  # a task's memory stays bounded for any catalogue
+                yield rows()
+                xx, xr, n = {}, {}, {}
             x = np.asarray(batch["context"].tolist(), dtype=np.float64)
             if x.shape[1] != dim:
                 raise ValueError(f"context has {x.shape[1]} entries, expected {dim}")
@@ -161,11 +174,7 @@ def linucb_statistics(rounds: DataFrame, dim: int) -> DataFrame:
                 xr[arm] = xr.get(arm, 0.0) + x[mine].T @ r[mine]
                 n[arm] = n.get(arm, 0) + int(mine.sum())
         if n:
-            arms = list(n)
-            yield pd.DataFrame({
-                "action": arms, "xx": [xx[k].ravel().tolist() for k in arms],
-                "xr": [xr[k].tolist() for k in arms], "n": [n[k] for k in arms],
-            })
+            yield rows()
 
     parts = rounds.select("action", "reward", "context").mapInPandas(
         partial, "action long, xx array<double>, xr array<double>, n long"
