@@ -21,6 +21,10 @@ from counterfold.functions.skew import spread_join
 from counterfold.session import durable
 
 
+#: Slope below zero of the interaction layer's activation.
+LEAKY_SLOPE = 0.2
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """Both directions of every edge, each once."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -178,14 +182,15 @@ def segment_softmax(scored_edges: DataFrame, score: str = "score") -> DataFrame:
 
 
 def interaction_messages(edges: DataFrame, features: DataFrame) -> DataFrame:
-    """Sum of (neighbour + neighbour * self) messages with the norm, unit length.
+    """Self plus normed (neighbour + neighbour * self) messages, leaky, unit length.
 
     The self factor is the same for all of a node's edges, so it multiplies the
     neighbour sum once per node instead of once per edge.
     """
     summed = _with_isolated(aggregate_neighbours(symmetric_norm(edges), features, "norm"), features)
     joined = summed.withColumnRenamed("embedding", "s").join(features, "node_id")
-    out = F.zip_with("s", "embedding", lambda s, h: h + s + s * h)
+    out = F.transform(F.zip_with("s", "embedding", lambda s, h: h + s + s * h),
+                      lambda x: F.when(x < 0, x * LEAKY_SLOPE).otherwise(x))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     return joined.select("node_id", out.alias("v")).select(
         "node_id", F.transform("v", lambda x: x / F.greatest(length, F.lit(1e-12))).alias("embedding"))
