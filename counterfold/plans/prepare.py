@@ -16,6 +16,7 @@ from counterfold.operators.projections import require_columns
 from counterfold.operators.propensity import assign_propensities
 from counterfold.operators.splits import split_rows, split_training_log
 from counterfold.params import Params
+from counterfold.session import durable
 
 
 @dc.dataclass(frozen=True)
@@ -68,7 +69,8 @@ def prepare(
     def indexed(frame: DataFrame, strict: bool) -> DataFrame:
         out = apply_index(frame, user_index, d.user_column, "user_idx", salt_by=[row_key])
         out = apply_index(out, item_index, d.item_column, "action", strict, salt_by=[row_key])
-        return out.withColumn("reward", F.col(d.reward_column).cast("double")).withColumn("round_id", F.col(row_key))
+        # joined once, read by the split, the propensities, the graph and the summary
+        return durable(out.withColumn("reward", F.col(d.reward_column).cast("double")).withColumn("round_id", F.col(row_key)))
 
     timed = dc.replace(params.split)
     if eval_block is None:
@@ -90,6 +92,7 @@ def prepare(
         report = check_reachability(graph_rows, policy_rows.filter(F.col("part") == "train"), block)
         regime, block_part = report.first()["regime"], "test"
     rounds, source = assign_propensities(rounds, n_actions, params.evaluation, d.propensity_column, block_part)
+    rounds = durable(rounds)
 
     pairs = apply_index(graph_rows, graph_item_index, d.item_column, "item_idx", salt_by=[row_key])
     friends = None

@@ -532,7 +532,9 @@ def prepared_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     in_block = (F.col("user_id") % 3 == 0) & (F.col("item_id") % 5 == 0)
     params = Params(split=BY_TIME, dataset=DatasetParams(),
                     evaluation=EvaluationParams(behaviour_policy="estimated"))
-    out = prepare(rows.filter(~in_block | (F.col("item_id") % 10 == 0)), params, "row_key", rows.filter(in_block))
+    block = rows.filter(in_block)
+    log = rows.filter(~in_block | (F.col("item_id") % 10 == 0))
+    out = prepare(log, params, "row_key", block, action_universe=block.select("item_id").distinct())
     return out.summary.select(
         F.col("n_users").cast("long"), F.col("n_actions").cast("long"), F.col("graph_item_universe").cast("long"),
         F.col("graph_nodes").cast("long"), "n_test", "representation_rows", "propensity_source")
