@@ -12,6 +12,15 @@ PLAIN_JOIN_ROWS = 5_000_000
 HOT_SHARE = 1_000
 
 
+#: Planned input size (an upper estimate) below which rows need not be counted.
+PLAIN_JOIN_BYTES = 64 * 1024 * 1024
+
+
+def _planned_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate; without statistics it errs on the large side."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
 def spread_join(
     big: DataFrame,
     dim: DataFrame,
@@ -31,7 +40,9 @@ def spread_join(
     """
     if how not in ("left", "inner"):
         raise ValueError(f"spread_join supports left and inner joins, not {how!r}")
-    total = big.count() if plain_rows >= 0 else 0
+    if _planned_bytes(big) <= PLAIN_JOIN_BYTES and plain_rows == PLAIN_JOIN_ROWS:
+        return big.join(dim, on, how)
+    total = big.count()
     if total <= plain_rows:
         return big.join(dim, on, how)
     threshold = max(1, total // hot_share)

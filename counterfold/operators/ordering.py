@@ -20,7 +20,7 @@ from counterfold.session import durable
 ONE_TASK_ROWS = 200_000
 _POSITION_BITS = 33
 #: Rows fetched to finish an order-statistic search, and bins per pass.
-_FINISH_ROWS = 20_000
+_FINISH_ROWS = 4_096
 _BINS = 2_048
 
 
@@ -137,100 +137,112 @@ def prefix_sums(
 # exact order statistics without a sort
 
 
-def _histogram(df: DataFrame, col: str, low, high) -> list:
+def _bin(col: str, low, high):
     span = float(high) - float(low)
     if isinstance(low, int) and span < 2**62:
         offset = (F.col(col) - F.lit(low)).cast("double")
     else:
         offset = F.col(col).cast("double") - F.lit(float(low))
     # bins follow the values in order, whatever the rounding of the division
-    bin_ = F.least(F.floor(offset / F.lit(span) * _BINS), F.lit(_BINS - 1))
-    return (
-        df.groupBy(bin_.alias("b"))
-        .agg(F.count("*").alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi"))
-        .orderBy("b").collect()
-    )
+    return F.least(F.floor(offset / F.lit(span) * _BINS), F.lit(_BINS - 1))
 
 
-def _value_at(df: DataFrame, col: str, rank: int, seen: dict):
-    """Value of ``col`` at 0-based ``rank`` and the number of rows below it.
+def _values_at(df: DataFrame, col: str, ranks: Sequence[int], extent: tuple | None = None) -> dict:
+    """``rank -> (value, rows below it, rows equal to it)`` for 0-based ranks.
 
-    ``seen`` keeps the histograms of ranges already scanned, which several ranks
-    share.
+    All ranks are narrowed in the same scans.  A scan counts, map-side, the bins
+    of every range still open, or its distinct values once a range is small.
     """
-    below = 0
-    if "range" not in seen:
-        seen["range"] = df.agg(
-            F.min(col).alias("lo"), F.max(col).alias("hi"), F.count("*").alias("n")).first()
-    low, high, size = seen["range"]
-    while low != high:
-        if (low, high) not in seen:
-            inside = df.filter(F.col(col).between(F.lit(low), F.lit(high)))
-            if size <= _FINISH_ROWS:
-                exact = inside.groupBy(F.col(col).alias("lo")).agg(F.count("*").alias("n")).orderBy("lo")
-                seen[low, high] = [(v, v, n) for v, n in exact.collect()]
+    if extent is None:
+        extent = tuple(df.agg(F.min(col), F.max(col), F.count("*")).first())
+    where = {rank: (*extent, 0) for rank in ranks}
+    while True:
+        open_ = sorted({(lo, hi, n) for lo, hi, n, _ in where.values() if lo != hi})
+        if not open_:
+            return {rank: (lo, below, n) for rank, (lo, _, n, below) in where.items()}
+        inside = [F.col(col).between(F.lit(lo), F.lit(hi)) for lo, hi, _ in open_]
+        number, bin_, exact = F.lit(None).cast("int"), F.lit(None).cast("long"), F.lit(None)
+        for i, (lo, hi, n) in enumerate(open_):
+            number = F.when(inside[i], F.lit(i)).otherwise(number)
+            if n <= _FINISH_ROWS:
+                exact = F.when(inside[i], F.col(col)).otherwise(exact)
             else:
-                seen[low, high] = [(b["lo"], b["hi"], b["n"]) for b in _histogram(inside, col, low, high)]
-        for lo, hi, n in seen[low, high]:
-            if rank < below + n:
-                low, high, size = lo, hi, n
-                break
-            below += n
-        else:
-            raise AssertionError("rank beyond the data")
-    return low, below
+                bin_ = F.when(inside[i], _bin(col, lo, hi)).otherwise(bin_)
+        slices = (
+            df.select(F.col(col).alias("__x"), number.alias("__i"), bin_.alias("__b"), exact.alias("__v"))
+            .filter("__i IS NOT NULL").groupBy("__i", "__b", "__v")
+            .agg(F.min("__x").alias("lo"), F.max("__x").alias("hi"), F.count("*").alias("n"))
+            .orderBy("__i", "lo").collect()
+        )
+        for rank, (lo, hi, n, below) in where.items():
+            if lo == hi:
+                continue
+            i = open_.index((lo, hi, n))
+            for part in slices:
+                if part["__i"] != i:
+                    continue
+                if rank < below + part["n"]:
+                    where[rank] = (part["lo"], part["hi"], part["n"], below)
+                    break
+                below += part["n"]
+            else:
+                raise AssertionError("rank beyond the data")
 
 
 def _is_number(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType, T.DoubleType, T.FloatType))
 
 
-def order_boundaries(df: DataFrame, order: Sequence[str], ranks: Sequence[int]) -> list[tuple]:
-    """The key tuple standing at each 0-based rank of the lexicographic order.
+def order_boundaries(
+    df: DataFrame, order: Sequence[str], ranks: Sequence[int], extent: tuple | None = None
+) -> list[tuple]:
+    """The key at each 0-based rank of the lexicographic order.
 
     Each pass is one scan with a map-side histogram of at most ``_BINS`` rows; a
     pass narrows the range by that factor, so a few passes find the exact key in
     any number of rows with no shuffle of the data.  Ties on the first column
-    are resolved on the next.
+    are resolved on the next.  A key is cut short when its leading columns
+    already separate the rows before it from the rest.
     """
     keys = df.select(*order)
     types = {f.name: f.dataType for f in keys.schema.fields}
+    if not _is_number(types[order[0]]):
+        # not a number: a distributed sort tells the ranks
+        rows = dense_index(keys, order, "__i").filter(F.col("__i").isin(list(ranks))).collect()
+        return [tuple(next(r for r in rows if r["__i"] == rank))[: len(order)] for rank in ranks]
     found = []
-    top: dict = {}
-    for rank in ranks:
-        scope, left, prefix = keys, rank, []
-        for depth, col in enumerate(order):
-            if not _is_number(types[col]):
-                # not a number: index the remaining ties by a distributed sort
-                rest = dense_index(scope, order[depth:], "__i")
-                row = rest.filter(F.col("__i") == left).select(*order[depth:]).first()
-                prefix.extend(row)
-                break
-            value, below = _value_at(scope, col, left, top if depth == 0 else {})
-            prefix.append(value)
-            left -= below
-            scope = scope.filter(F.col(col) == F.lit(value))
-            if depth + 1 < len(order) and left == 0 and scope.limit(2).count() == 1:
-                prefix.extend(scope.select(*order[depth + 1:]).first())
-                break
-        found.append(tuple(prefix))
+    for rank, (value, below, ties) in _values_at(keys, order[0], ranks, extent).items():
+        key: tuple = (value,)
+        if rank > below and ties > 1:
+            same = keys.filter(F.col(order[0]) == F.lit(value))
+            key += order_boundaries(same, order[1:], [rank - below])[0]
+        found.append(key)
     return found
 
 
 def key_before(order: Sequence[str], boundary: tuple) -> Column:
-    """Lexicographic ``(order columns) < boundary``."""
+    """Lexicographic ``(order columns) < boundary``, on the columns the boundary has."""
     expr = F.lit(False)
-    for col, value in reversed(list(zip(order, boundary, strict=True))):
+    for col, value in reversed(list(zip(order, boundary, strict=False))):
         expr = (F.col(col) < F.lit(value)) | ((F.col(col) == F.lit(value)) & expr)
     return expr
 
 
+def extent(df: DataFrame, col: str) -> tuple:
+    """Smallest and largest value of ``col`` and the row count, in one scan."""
+    return tuple(df.agg(F.min(col), F.max(col), F.count("*")).first())
+
+
 def cut_by_rank(
-    df: DataFrame, order: Sequence[str], cuts: Sequence[int], labels: Sequence, name: str, rows: int
+    df: DataFrame, order: Sequence[str], cuts: Sequence[int], labels: Sequence, name: str, span: tuple
 ) -> DataFrame:
-    """Label rows by where their rank falls between ``cuts`` (first ranks of the later labels)."""
+    """Label rows by where their rank falls between ``cuts`` (first ranks of the later labels).
+
+    ``span`` is :func:`extent` of the first order column.
+    """
+    rows = span[2]
     inner = [c for c in cuts if 0 < c < rows]
-    bounds = dict(zip(inner, order_boundaries(df, order, inner), strict=True))
+    bounds = dict(zip(inner, order_boundaries(df, order, inner, span), strict=True))
     expr = F.lit(labels[-1])
     for cut, label in reversed(list(zip(cuts, labels[:-1], strict=True))):
         if cut <= 0:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from counterfold.functions.hashing import hash32
-from counterfold.operators.ordering import key_before, order_boundaries
+from counterfold.operators.ordering import extent, key_before, order_boundaries
 
 #: Default rows per chunk of the proportional sampler.
 CHUNK_ROWS = 500_000
@@ -20,11 +20,11 @@ def sample_exact(df: DataFrame, n_rows: int, seed: int, key: str) -> DataFrame:
     exact order statistic, so the sample is a plain filter: no sort, no shuffle,
     and any sample size.
     """
-    total = df.count()
-    if n_rows >= total:
-        return df
     hashed = df.withColumn("__h", hash32(seed, key))
-    (end,) = order_boundaries(hashed, ["__h", key], [n_rows])
+    span = extent(hashed, "__h")
+    if n_rows >= span[2]:
+        return df
+    (end,) = order_boundaries(hashed, ["__h", key], [n_rows], span)
     return hashed.filter(key_before(["__h", key], end)).drop("__h")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from counterfold.errors import refuse_if
 from counterfold.functions.hashing import hash32
-from counterfold.operators.ordering import cut_by_rank, dense_index
+from counterfold.operators.ordering import cut_by_rank, dense_index, extent
 from counterfold.params import SplitParams
 
 PARTS = ("train", "validation", "test")
@@ -33,17 +33,17 @@ def split_rows(
     The boundaries are found as order statistics, so the result is the input
     with one more expression: nothing is sorted or shuffled.
     """
-    n = df.count()
-    train_end, val_end = split_points(n, params)
     if params.strategy == "temporal":
         ts = params.timestamp_column
         refuse_if(ts not in df.columns, "missing_timestamp", f"no column {ts!r}", columns=df.columns[:20])
-        out = cut_by_rank(df, [ts, row_key], [train_end, val_end], PARTS, "part", n)
+        span = extent(df, ts)
+        out = cut_by_rank(df, [ts, row_key], split_points(span[2], params), PARTS, "part", span)
         if check:
             assert_ordered(out, ts)
         return out
     hashed = df.withColumn("__h", hash32(seed, row_key))
-    return cut_by_rank(hashed, ["__h", row_key], [train_end, val_end], PARTS, "part", n).drop("__h")
+    span = extent(hashed, "__h")
+    return cut_by_rank(hashed, ["__h", row_key], split_points(span[2], params), PARTS, "part", span).drop("__h")
 
 
 def split_training_log(df: DataFrame, params: SplitParams, seed: int = 42, row_key: str = "round_id") -> DataFrame:
@@ -81,10 +81,10 @@ def assert_ordered(df: DataFrame, ts: str) -> None:
 def split_edges(edges: DataFrame, val_fraction: float = 0.1, seed: int = 42) -> DataFrame:
     """Add ``is_val`` to ``max(1, int(E * fraction))`` edges drawn uniformly."""
     refuse_if(not 0 < val_fraction < 1, "bad_fraction", "val_fraction must be in (0, 1)")
-    n = edges.count()
-    n_val = max(1, int(n * val_fraction))
     hashed = edges.withColumn("__h", hash32(seed, "src", "dst"))
-    return cut_by_rank(hashed, ["__h", "src", "dst"], [n_val], [True, False], "is_val", n).drop("__h")
+    span = extent(hashed, "__h")
+    n_val = max(1, int(span[2] * val_fraction))
+    return cut_by_rank(hashed, ["__h", "src", "dst"], [n_val], [True, False], "is_val", span).drop("__h")
 
 
 def _fold_ends(n: int, k: int) -> list[int]:
@@ -95,10 +95,11 @@ def _fold_ends(n: int, k: int) -> list[int]:
 def context_folds(contexts: DataFrame, n_folds: int, seed: int = 42, key: str = "context_id") -> DataFrame:
     """Add ``fold`` to each distinct context; fold sizes differ by at most one."""
     refuse_if(n_folds < 2, "too_few_folds", "one fold would score its own training rows", folds=n_folds)
-    n = contexts.count()
-    refuse_if(n < n_folds, "too_few_contexts", "fewer contexts than folds", contexts=n, folds=n_folds)
     hashed = contexts.withColumn("__h", hash32(seed, key))
-    return cut_by_rank(hashed, ["__h", key], _fold_ends(n, n_folds), list(range(n_folds)), "fold", n).drop("__h")
+    span = extent(hashed, "__h")
+    n = span[2]
+    refuse_if(n < n_folds, "too_few_contexts", "fewer contexts than folds", contexts=n, folds=n_folds)
+    return cut_by_rank(hashed, ["__h", key], _fold_ends(n, n_folds), list(range(n_folds)), "fold", span).drop("__h")
 
 
 def stratified_folds(

@@ -173,11 +173,12 @@ _WEIGHTS = """, w AS (SELECT e.agent, t.*, coalesce(p.prob, 0) / greatest(t.prop
   (SELECT DISTINCT agent FROM everyone) e CROSS JOIN test t LEFT JOIN everyone p ON p.agent = e.agent AND p.context_id = t.context_id AND p.action = t.action)"""
 
 
-def _unit_stats(spark: SparkSession, sf_dir: str, estimators: tuple[str, ...], **kw) -> ope.Evaluation:
+def _unit_stats(spark: SparkSession, sf_dir: str, *estimators: str) -> ope.Evaluation:
     train, test = event_train_test(spark, sf_dir)
-    pols = event_policies(event_rounds(spark, sf_dir), train)
-    return ope.prepare_evaluation(test, pols, n_events_actions(spark, sf_dir), EvaluationParams(estimators=estimators),
-                                  uniform=("random",), **kw)
+    rounds = event_rounds(spark, sf_dir)
+    return ope.prepare_evaluation(
+        test, event_policies(rounds, train), n_events_actions(spark, sf_dir), EvaluationParams(estimators=estimators),
+        uniform=("random",), buckets=buckets_of(rounds))
 
 
 @query("OPE1", "JOIN8", sql=ctes(EVENT_SPLIT, GREEDY) + _WEIGHTS + "SELECT round_id, round(w, 9) AS weight FROM w WHERE agent = 'greedy_mean'")
@@ -293,8 +294,7 @@ SELECT w.agent, round(avg(eq), 9) AS dm, round(avg(eq + w * (reward - q)), 9) AS
   JOIN eq ON eq.agent = w.agent AND eq.context_id = w.context_id AND eq.fold = w.fold
   JOIN q ON q.fold = w.fold AND q.bucket = w.context_id % 4 AND q.action = w.action GROUP BY w.agent""")
 def direct_and_doubly_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, test = event_train_test(spark, sf_dir)
-    ev = _unit_stats(spark, sf_dir, ("dm", "dr"), buckets=buckets_of(test))
+    ev = _unit_stats(spark, sf_dir, "dm", "dr")
     points = ope.estimate(ev, EvaluationParams(estimators=("dm", "dr")))
     return rounded(points.groupBy("agent").pivot("estimator", ["dm", "dr"]).agg(F.first("value")), "dm", "dr")
 
@@ -321,8 +321,7 @@ SELECT mf.agent, round(avg(eq + w * (reward - coalesce(q, 0))), 9) AS mrdr FROM
   LEFT JOIN mq ON mq.agent = mf.agent AND mq.fold = mfold AND mq.bucket = mf.context_id % 4 AND mq.action = mf.action GROUP BY mf.agent""")
 def more_robust_doubly_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reward model refitted per policy under variance weights."""
-    _, test = event_train_test(spark, sf_dir)
-    ev = _unit_stats(spark, sf_dir, ("mrdr",), buckets=buckets_of(test))
+    ev = _unit_stats(spark, sf_dir, "mrdr")
     points = ope.estimate(ev, EvaluationParams(estimators=("mrdr",)))
     return points.select("agent", r9("value").alias("mrdr"))
 
@@ -381,7 +380,7 @@ _DRAWS = f"""dr AS (SELECT rep, {hash32_sql(SEED, 'rep', 'j')} % (SELECT count(*
 """ + _DRAWS + """, rp AS (SELECT agent, rep, sum(w * reward) / sum(w) AS v FROM dr JOIN un USING (i) JOIN w USING (round_id) GROUP BY ALL)
 SELECT agent, round(quantile_cont(v, 0.025), 9) AS ci_lower, round(quantile_cont(v, 0.975), 9) AS ci_upper FROM rp GROUP BY agent""")
 def bootstrap_over_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _unit_stats(spark, sf_dir, ("snipw",))
+    ev = _unit_stats(spark, sf_dir, "snipw")
     reps, _, _ = bootstrap.replicate_sums(ev.unit_stats, ["w", "wr"], 20, SEED)
     out = bootstrap.percentile_interval(reps, ope.snipw_value(), 0.95)
     return rounded(out.select("agent", "ci_lower", "ci_upper"), "ci_lower", "ci_upper")
@@ -405,7 +404,7 @@ def bootstrap_over_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("OPE17", "OPE18")
 def poisson_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The form used beyond the draw budget: a Poisson count per unit and replicate."""
-    ev = _unit_stats(spark, sf_dir, ("snipw",))
+    ev = _unit_stats(spark, sf_dir, "snipw")
     reps, method, _ = bootstrap.replicate_sums(ev.unit_stats, ["w", "wr"], 50, SEED, max_draws=0)
     out = bootstrap.percentile_interval(reps, ope.snipw_value(), 0.95).withColumn("method", F.lit(method))
     return rounded(out.select("agent", "ci_lower", "ci_upper", "method"), "ci_lower", "ci_upper")
