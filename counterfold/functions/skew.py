@@ -12,13 +12,13 @@ PLAIN_JOIN_ROWS = 5_000_000
 HOT_SHARE = 1_000
 
 
-#: Planned input size (an upper estimate) below which rows need not be counted.
-PLAIN_JOIN_BYTES = 64 * 1024 * 1024
+#: Planned size below which rows need not be counted before choosing the join.
+PLAIN_JOIN_BYTES = 16 * 1024 * 1024
 
 
 def _planned_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; without statistics it errs on the large side."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """The optimizer's size estimate; it only ever saves the count, never a row."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def spread_join(
