@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from counterfold.functions.hashing import hash32
+from counterfold.functions.statistics import correlation
 from counterfold.operators.ordering import average_rank, dense_index, prefix_sums
 
 N_PERMUTATIONS = 200
@@ -76,7 +77,7 @@ def feature_confound(features: DataFrame, values: DataFrame) -> DataFrame:
     ).select("action", "item_feature", "value")
     ranked = average_rank(average_rank(both, "item_feature", "rx", ["action"]), "value", "ry", ["action"])
     return ranked.agg(
-        F.count("*").alias("n_items"), F.corr("rx", "ry").alias("spearman_rho"),
+        F.count("*").alias("n_items"), correlation(F.col("rx"), F.col("ry")).alias("spearman_rho"),
         F.percentile("item_feature", F.lit(0.5)).alias("median_feature"),
     ).withColumn(
         "t_statistic",

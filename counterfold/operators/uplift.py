@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from counterfold.errors import refuse_if
 from counterfold.functions.hashing import hash32
+from counterfold.functions.statistics import correlation
 from counterfold.operators.ordering import prefix_sums
 from counterfold.operators.sampling import sample_exact
 
@@ -17,6 +18,7 @@ from counterfold.operators.sampling import sample_exact
 CORRELATION_LIMIT = 0.99
 DEPENDENCE_LIMIT = 0.995
 DEPENDENCE_ROWS = 20_000
+DEPENDENCE_BINS = 2_048  # fine enough for a split to land on a rule's bound
 OVERLAP_EPSILON = 1e-3
 IMBALANCE = 0.01
 DEGENERATE = 1e-12
@@ -44,13 +46,11 @@ def causal_diagnostics(
     aggs = [
         F.count("*").alias("n_units"), F.count_distinct(treatment).alias("n_arms"),
         F.avg(t).alias("treatment_balance"),
-        F.when((F.stddev_pop(t) > 0) & (F.stddev_pop(y) > 0), F.corr(t, y)).otherwise(0.0)
-        .alias("outcome_treatment_correlation"),
+        F.coalesce(correlation(t, y), F.lit(0.0)).alias("outcome_treatment_correlation"),
     ]
     for c in covariates:
         x = F.col(c).cast("double")
-        aggs.append(F.when((F.stddev_pop(t) > 0) & (F.stddev_pop(x) > 0), F.abs(F.corr(t, x))).otherwise(0.0)
-                    .alias(f"abs_corr_{c}"))
+        aggs.append(F.coalesce(F.abs(correlation(t, x)), F.lit(0.0)).alias(f"abs_corr_{c}"))
     if propensity is not None:
         p = F.col(propensity)
         aggs += [F.min(p).alias("propensity_min"), F.max(p).alias("propensity_max"),
@@ -101,7 +101,7 @@ def functional_dependence(
     data = VectorAssembler(inputCols=list(columns), outputCol="features").transform(data).select("label", "fold", "features")
     scored = None
     for fold in range(3):
-        tree = DecisionTreeClassifier(maxDepth=3, seed=seed).fit(data.filter(F.col("fold") != fold))
+        tree = DecisionTreeClassifier(maxDepth=3, maxBins=DEPENDENCE_BINS, seed=seed).fit(data.filter(F.col("fold") != fold))
         part = tree.transform(data.filter(F.col("fold") == fold)).select("fold", "label", "prediction")
         scored = part if scored is None else scored.unionByName(part)
     folds = scored.groupBy("fold").agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("a"))
