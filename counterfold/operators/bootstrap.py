@@ -90,7 +90,10 @@ def _poisson(unit_stats, sums, n_bootstrap, seed, unit, by) -> DataFrame:
 def percentile_interval(
     replicates: DataFrame, value: Column, level: float, by: list[str] | None = None
 ) -> DataFrame:
-    """``ci_lower``/``ci_upper`` per group; one undefined replicate drops the interval."""
+    """``ci_lower``/``ci_upper`` per group; one undefined replicate drops the interval.
+
+    A group has one value per replicate, so the percentile's memory is bounded.
+    """
     by = by or ["agent"]
     alpha = (1.0 - level) / 2.0
     out = replicates.withColumn("__v", value).groupBy(*by).agg(

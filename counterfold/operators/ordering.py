@@ -273,3 +273,31 @@ def average_rank(
         value, (F.col("__cum") - (F.col("__n") - 1) / 2.0).cast("double").alias(name)
     )
     return df.join(ranks, value)
+
+
+def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float]) -> list[float | None]:
+    """Linearly interpolated quantiles of one column by the rank search.
+
+    Unlike the exact percentile aggregate it holds no value list in memory, so
+    it serves columns with as many distinct values as rows.
+    """
+    known = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("__q"))
+    span = extent(known, "__q")
+    if span[2] == 0:
+        return [None] * len(probabilities)
+    places = [(span[2] - 1) * p for p in probabilities]
+    ranks = sorted({int(x) for x in places} | {min(int(x) + 1, span[2] - 1) for x in places})
+    at = {rank: found[0] for rank, found in _values_at(known, "__q", ranks, span).items()}
+    out = []
+    for x in places:
+        low, high = at[int(x)], at[min(int(x) + 1, span[2] - 1)]
+        out.append(low + (high - low) * (x - int(x)))
+    return out
+
+
+def median_row(df: DataFrame, value: str, name: str, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """One row holding the median: an aggregate for few rows, a rank search for many."""
+    if df.limit(one_task_rows + 1).count() <= one_task_rows:
+        return df.agg(F.percentile(value, F.lit(0.5)).alias(name))
+    (median,) = exact_quantiles(df, value, [0.5])
+    return df.sparkSession.createDataFrame([(median,)], f"{name} double")

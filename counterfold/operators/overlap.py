@@ -55,6 +55,8 @@ def evaluation_reachability(graph_rows: DataFrame, train: DataFrame, test: DataF
     evaluated = test.select("user_idx").distinct()
     history = graph_rows.groupBy("user_idx").agg(F.count("*").alias("n"))
     per_user = evaluated.join(history, "user_idx", "left")
+    # the exact percentile keeps one counter per distinct history length, and N
+    # rows can show at most sqrt(2N) different lengths
     users = per_user.agg(
         F.count("*").alias("evaluation_users"),
         F.count("n").alias("reachable_users"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from counterfold.functions.hashing import hash32
 from counterfold.functions.statistics import correlation
-from counterfold.operators.ordering import average_rank, dense_index, prefix_sums
+from counterfold.operators.ordering import average_rank, dense_index, median_row, prefix_sums
 
 N_PERMUTATIONS = 200
 TIE_TOLERANCE = 1e-12
@@ -78,8 +78,7 @@ def feature_confound(features: DataFrame, values: DataFrame) -> DataFrame:
     ranked = average_rank(average_rank(both, "item_feature", "rx", ["action"]), "value", "ry", ["action"])
     return ranked.agg(
         F.count("*").alias("n_items"), correlation(F.col("rx"), F.col("ry")).alias("spearman_rho"),
-        F.percentile("item_feature", F.lit(0.5)).alias("median_feature"),
-    ).withColumn(
+    ).join(median_row(both, "item_feature", "median_feature"), F.lit(True)).withColumn(
         "t_statistic",
         F.col("spearman_rho") * F.sqrt((F.col("n_items") - 2)
                                        / F.nullif(1 - F.col("spearman_rho") ** 2, F.lit(0.0))),
@@ -88,7 +87,7 @@ def feature_confound(features: DataFrame, values: DataFrame) -> DataFrame:
 
 def top_constants_against_median(features: DataFrame, values: DataFrame, k: int = 5) -> DataFrame:
     both = features.join(values, "action")
-    median = both.agg(F.percentile("item_feature", F.lit(0.5)).alias("median_feature"))
+    median = median_row(both, "item_feature", "median_feature")
     return best_constants(both, k).join(median, F.lit(True)).withColumn(
         "feature_vs_median", F.col("item_feature") / F.nullif("median_feature", F.lit(0.0)))
 
@@ -100,7 +99,7 @@ def feature_baseline(features: DataFrame, values: DataFrame) -> DataFrame:
     """
     both = values.join(features, "action", "left")
     usable = both.filter(F.col("item_feature").isNotNull() & F.col("value").isNotNull())
-    median = usable.agg(F.percentile("item_feature", F.lit(0.5)).alias("__m"))
+    median = median_row(usable, "item_feature", "__m")
     filled = both.join(median, F.lit(True)).withColumn(
         "x", F.coalesce("item_feature", "__m")).drop("__m")
     assembler = VectorAssembler(inputCols=["x"], outputCol="features")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from counterfold.errors import refuse_if
 from counterfold.functions.hashing import hash32
 from counterfold.functions.statistics import correlation
-from counterfold.operators.ordering import prefix_sums
+from counterfold.operators.ordering import ONE_TASK_ROWS, exact_quantiles, prefix_sums
 from counterfold.operators.sampling import sample_exact
 
 # Thresholds a setup is judged by.
@@ -185,17 +185,27 @@ def residual_learner(
 # ------------------------------------------------------------------ comparison
 
 
-def cate_summary(cate: DataFrame, by: tuple[str, ...] = ("estimator",)) -> DataFrame:
-    """Distribution of the estimated effects, with a constant estimator made visible."""
+def cate_summary(cate: DataFrame, by: str = "estimator", one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+    """Distribution of the estimated effects, with a constant estimator made visible.
+
+    Up to ``one_task_rows`` rows the quartiles are an aggregate; beyond, they are
+    searched by rank for each estimator (of which there are a handful).
+    """
     c = F.col("cate")
-    quart = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return cate.groupBy(*by).agg(
+    moments = cate.groupBy(by).agg(
         F.count("*").alias("n"), F.avg(c).alias("mean"), F.var_pop(c).alias("variance"),
-        F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), quart.alias("__q"),
+        F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"),
         F.avg((c > 0).cast("double")).alias("fraction_positive"),
-    ).select(*by, "n", "mean", "variance", "std", "min", "max", F.col("__q")[0].alias("q25"),
-             F.col("__q")[1].alias("median"), F.col("__q")[2].alias("q75"), "fraction_positive",
-             (F.col("variance") < DEGENERATE).alias("is_degenerate"))
+    ).withColumn("is_degenerate", F.col("variance") < DEGENERATE)
+    quartiles = (0.25, 0.5, 0.75)
+    if cate.limit(one_task_rows + 1).count() <= one_task_rows:
+        found = cate.groupBy(by).agg(F.percentile(c, F.array(*[F.lit(q) for q in quartiles])).alias("__q")).select(
+            by, *[F.col("__q")[i].alias(name) for i, name in enumerate(("q25", "median", "q75"))])
+    else:
+        names = [r[0] for r in cate.select(by).distinct().collect()]
+        rows = [(n, *exact_quantiles(cate.filter(F.col(by) == n), "cate", quartiles)) for n in names]
+        found = cate.sparkSession.createDataFrame(rows, f"{by} string, q25 double, median double, q75 double")
+    return moments.join(found, by)
 
 
 def assert_finite(cate: DataFrame) -> DataFrame:

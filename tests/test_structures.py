@@ -183,6 +183,13 @@ def test_effects_must_be_finite_and_constants_show(spark):
     assert uplift.cate_summary(bad.withColumn("cate", F.lit(0.2))).first()["is_degenerate"]
 
 
+def test_quartiles_by_rank_search_equal_the_aggregate(trial):
+    cate = trial.select("round_id", F.when(F.col("round_id") % 2 == 0, "a").otherwise("b").alias("estimator"), F.col("x0").alias("cate"))
+    a = uplift.cate_summary(cate).orderBy("estimator").toPandas()
+    b = uplift.cate_summary(cate, one_task_rows=10).orderBy("estimator").toPandas()
+    pd.testing.assert_frame_equal(a, b)
+
+
 # ------------------------------------------------------------------ comparison tables
 
 
