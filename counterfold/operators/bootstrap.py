@@ -26,30 +26,34 @@ def replicate_sums(
 ) -> tuple[DataFrame, str, int]:
     """``(by..., rep, sums...)`` for every replicate, the method used and the unit count.
 
+    A row of ``unit_stats`` stands for ``mult`` alike units (1 without that
+    column) and holds the sums over all of them.
+
     Up to ``max_draws`` draws: exactly ``n`` units with replacement per
     replicate.  Beyond, each unit gets an independent Poisson(1) count, which
     needs neither an index of the units nor a join; the method name says so.
     """
     by = by or ["agent"]
-    ids = unit_stats.select(unit).distinct()
-    n_units = ids.count()
+    if "mult" not in unit_stats.columns:
+        unit_stats = unit_stats.withColumn("mult", F.lit(1).cast("long"))
+    ids = unit_stats.select(unit, "mult").distinct()
+    n_units = int(ids.agg(F.coalesce(F.sum("mult"), F.lit(0))).first()[0])
     if n_units * n_bootstrap <= max_draws:
         return _drawn(unit_stats, ids, sums, n_bootstrap, seed, unit, by, n_units), "percentile", n_units
     return _poisson(unit_stats, sums, n_bootstrap, seed, unit, by), "percentile_poisson", n_units
 
 
 def _drawn(unit_stats, ids, sums, n_bootstrap, seed, unit, by, n_units) -> DataFrame:
-    indexed = dense_index(ids, [unit], "__i")
+    each = ids.select(unit, F.explode(F.sequence(F.lit(1).cast("long"), F.col("mult"))).alias("__k"))
+    indexed = dense_index(each, [unit, "__k"], "__i")
     draws = unit_stats.sparkSession.range(n_bootstrap * n_units).select(
         F.floor(F.col("id") / F.lit(n_units)).cast("int").alias("rep"),
         F.pmod(hash32(seed, F.floor(F.col("id") / F.lit(n_units)), F.col("id") % F.lit(n_units)),
                F.lit(n_units)).alias("__i"),
     )
-    counts = draws.groupBy("rep", "__i").agg(F.count("*").alias("__c"))
-    return (
-        counts.join(indexed, "__i").join(unit_stats, unit)
-        .groupBy(*by, "rep").agg(*[F.sum(F.col("__c") * F.col(s)).alias(s) for s in sums])
-    )
+    counts = draws.join(indexed, "__i").groupBy("rep", unit).agg(F.count("*").alias("__c"))
+    share = F.col("__c") / F.col("mult")
+    return counts.join(unit_stats, unit).groupBy(*by, "rep").agg(*[F.sum(share * F.col(s)).alias(s) for s in sums])
 
 
 def _poisson(unit_stats, sums, n_bootstrap, seed, unit, by) -> DataFrame:
@@ -68,6 +72,11 @@ def _poisson(unit_stats, sums, n_bootstrap, seed, unit, by) -> DataFrame:
                     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
                     z = z ^ (z >> np.uint64(31))
                 counts = np.searchsorted(cdf, (z >> np.uint64(11)) * 2.0**-53).astype(np.float64)
+                mult = piece["mult"].to_numpy(np.int64)
+                for j in np.flatnonzero(mult > 1):
+                    # the sum of m Poisson(1) counts is one Poisson(m) count
+                    keyed = np.random.Generator(np.random.Philox(key=[int(key[0, j]), seed]))
+                    counts[:, j] = keyed.poisson(mult[j], n_bootstrap) / mult[j]
                 values = piece[sums].to_numpy(np.float64)
                 for group, rows in piece.reset_index(drop=True).groupby(by, sort=False).indices.items():
                     group = group if isinstance(group, tuple) else (group,)
@@ -82,7 +91,7 @@ def _poisson(unit_stats, sums, n_bootstrap, seed, unit, by) -> DataFrame:
 
     types = {f.name: f.dataType.simpleString() for f in unit_stats.schema.fields}
     schema = ", ".join([*[f"{b} {types[b]}" for b in by], "rep int", *[f"{s} double" for s in sums]])
-    keyed = unit_stats.select(*by, F.xxhash64(unit).alias("__h"),
+    keyed = unit_stats.select(*by, F.xxhash64(unit).alias("__h"), "mult",
                               *[F.col(s).cast("double").alias(s) for s in sums])
     return keyed.mapInPandas(partial, schema).groupBy(*by, "rep").agg(*[F.sum(s).alias(s) for s in sums])
 

@@ -70,7 +70,9 @@ def estimator_value(name: str) -> Column:
 # ------------------------------------------------------------------ cells
 
 
-def logged_cells(rounds: DataFrame, keys: tuple[str, ...] = ("context_id", "fold", "action")) -> DataFrame:
+def logged_cells(
+    rounds: DataFrame, keys: tuple[str, ...] = ("context_id", "fold", "action"), *extra: Column
+) -> DataFrame:
     """Cell sums that serve every policy and every weighted estimator."""
     p = F.greatest(F.col("propensity"), F.lit(EPSILON))
     m = mrdr_weight(F.lit(1.0))
@@ -81,10 +83,20 @@ def logged_cells(rounds: DataFrame, keys: tuple[str, ...] = ("context_id", "fold
         F.count("*").alias("n"), F.sum("reward").alias("r"),
         F.sum(1.0 / p).alias("inv"), F.sum(F.col("reward") / p).alias("rinv"),
         F.sum(1.0 / (p * p)).alias("inv2"),
-        F.sum(m).alias("m"), F.sum(m * F.col("reward")).alias("mr"), F.count_if(m > 0).alias("m_rounds"),
+        F.sum(m).alias("m"), F.sum(m * F.col("reward")).alias("mr"), F.count_if(m > 0).alias("m_rounds"), *extra,
     )
 
 
+def alike_rounds(rounds: DataFrame) -> DataFrame:
+    """Rounds equal in context, fold, action, reward and propensity, as one row each.
+
+    They are exchangeable, so a bootstrap need only know how many there are.  The
+    row is named by its first round.
+    """
+    sums = logged_cells(rounds, ("context_id", "fold", "action", "reward", "propensity"), F.min("round_id").alias("round_id"))
+    return sums.drop("reward", "propensity")
+
+
 def rounds_per_cell(rounds: DataFrame) -> DataFrame:
     cells = rounds.groupBy("context_id", "action").agg(F.count("*").alias("n"))
     return cells.agg(
@@ -195,8 +207,8 @@ def _unit_cells(rounds: DataFrame, n_actions: int, params: EvaluationParams, fol
     """Cell sums per independent unit with their fold, the unit, and the context count.
 
     The rounds are scanned once into (context, action) cells, which also settle
-    the invariants and the unit.  Only when the round is the unit is a second,
-    narrow copy of the rounds made.
+    the invariants and the unit.  When the round is the unit, rounds that agree in
+    everything an estimator reads are kept as one row with their number.
     """
     cells = durable(logged_cells(rounds, ("context_id", "action")))
     row = cells.agg(
@@ -212,9 +224,9 @@ def _unit_cells(rounds: DataFrame, n_actions: int, params: EvaluationParams, fol
     refuse_if(bool(bad), "invalid_rounds", "rows break the rounds contract", **bad)
     unit = resolve_unit(row["n_rounds"], row["n_cells"], row["n_contexts"], params.independent_unit)
     if unit == "round":
-        narrow = durable(rounds.select("round_id", "context_id", "action", "reward", "propensity"))
+        narrow = rounds.select("round_id", "context_id", "action", "reward", "propensity")
         narrow = context_folds(narrow, params.folds, seed, key="round_id") if folded else narrow.withColumn("fold", F.lit(0))
-        cells = durable(logged_cells(narrow, ("round_id", "context_id", "fold", "action")))
+        cells = durable(alike_rounds(narrow))
     elif folded:
         folds = context_folds(cells.select("context_id").distinct(), params.folds, seed)
         cells = durable(cells.join(folds, "context_id"))
@@ -351,10 +363,12 @@ def prepare_evaluation(
         F.coalesce(F.col("value") * F.col("n"), F.lit(0.0)).alias("rsum"),
         F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0).cast("double").alias("rn"),
         zero("m_rounds").alias("m_rounds"),
+        # how many independent units the row stands for
+        (F.col("n") if unit == "round" else F.lit(1)).cast("long").alias("mult"),
     ))
     support = final.groupBy("agent").agg(
         F.sum("m_rounds").cast("long").alias("supported_rounds"),
-        F.count_if(F.col("m_rounds") > 0).alias("supported_units"), F.sum("rn").alias("rn"),
+        F.count_if(F.col("m_rounds") > 0).alias("supported_rows"), F.sum("rn").alias("rn"),
     )
     if "exact" in params.estimators:
         empty = [r["agent"] for r in support.filter("rn = 0").collect()]
@@ -390,10 +404,13 @@ def _mrdr_stats(cells, policies, uniform, n_actions, buckets, params, unit, unit
 def estimate(evaluation: Evaluation, params: EvaluationParams) -> DataFrame:
     """Point estimates with status and warnings, one row per (agent, estimator)."""
     totals = evaluation.unit_stats.groupBy("agent").agg(
-        *[F.sum(s).alias(s) for s in _SUMS], F.count("*").alias("n_independent_units"))
+        *[F.sum(s).alias(s) for s in _SUMS], F.sum("mult").alias("n_independent_units"))
     totals = totals.join(evaluation.support.drop("rn"), "agent")
     no_overlap = F.col("w") <= EPSILON
-    thin = F.least("supported_rounds", "supported_units") < params.folds
+    # too few supported contexts to spread over the folds; a single kind of
+    # supported round would leave the model that scores it without any weight
+    least_rows = params.folds if evaluation.unit == "context" else 2
+    thin = (F.col("supported_rounds") < params.folds) | (F.col("supported_rows") < least_rows)
     rows = []
     for name in params.estimators:
         value, warn = estimator_value(name), F.array().cast("array<string>")

@@ -7,6 +7,7 @@ partitions are joined by their offsets: one row per partition and group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -89,6 +90,31 @@ def dense_index(
     )
 
 
+def hashed_index(
+    df: DataFrame, hashed: str, key: str, name: str = "idx", group: Sequence[str] = (),
+    rows: int | None = None, bucket_rows: int = 50_000,
+) -> DataFrame:
+    """Add ``name`` = 0..n-1 per group in the order of a 32-bit hash, then ``key``.
+
+    The hash is uniform, so its leading bits cut a group into even buckets without
+    sampling; ranks are local to a bucket and shifted by the counts before it.
+    ``rows`` is an upper bound of a group's rows (the whole count if not given).
+    """
+    groups = list(group)
+    rows = df.count() if rows is None else rows
+    bits = max(0, math.ceil(math.log2(max(1, rows / bucket_rows))))
+    bucketed = df.withColumn("__bucket", F.shiftright(F.col(hashed), 32 - min(bits, 20)))
+    on = [*groups, "__bucket"]
+    local = (F.row_number().over(Window.partitionBy(*on).orderBy(hashed, key)) - 1).cast("long")
+    ranked = bucketed.withColumn(name, local)
+    if bits == 0:
+        return ranked.drop("__bucket")
+    before = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = bucketed.groupBy(*on).agg(F.count("*").alias("__n")).select(
+        *on, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return ranked.join(starts, on).withColumn(name, F.col(name) + F.col("__start")).drop("__bucket", "__start")
+
+
 def prefix_sums(
     df: DataFrame,
     order: Sequence[str | Column],

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from counterfold.functions.hashing import hash32
 from counterfold.functions.statistics import correlation
-from counterfold.operators.ordering import average_rank, dense_index, median_row, prefix_sums
+from counterfold.operators.ordering import average_rank, dense_index, hashed_index, median_row, prefix_sums
+from counterfold.session import durable
 
 N_PERMUTATIONS = 200
 TIE_TOLERANCE = 1e-12
@@ -131,24 +132,23 @@ def feature_adjusted_value(
 
 def personalisation_test(
     policy: DataFrame, block: DataFrame, weights: DataFrame, n_permutations: int = N_PERMUTATIONS,
-    seed: int = 42, one_task_rows: int | None = None,
+    seed: int = 42, bucket_rows: int = 50_000,
 ) -> DataFrame:
     """Does it matter WHO gets which item?  A permutation test on the assignment.
 
     In every replicate the contexts are ranked by a hash; the context of rank i
     receives the action of the i-th context.  The multiset of actions is kept
-    exactly.  Ranks come from a distributed index per replicate, so a replicate
-    is never sorted in one task.
+    exactly.  Ranks are taken in hash buckets of about ``bucket_rows``, so a
+    replicate is never sorted in one task.
     """
-    kw = {} if one_task_rows is None else {"one_task_rows": one_task_rows}
     cells = policy_cells(policy, block, weights)
     realised = weighted_masked_mean(cells, "reward", "n_rounds").select(F.col("value").alias("realised"))
     chosen = policy.select("context_id", "action").join(weights.select("context_id", "n_rounds"), "context_id")
-    indexed = dense_index(chosen, ["context_id"], "i", **kw)
+    indexed = durable(dense_index(chosen, ["context_id"], "i"))
     drawn = indexed.select(
         "context_id", "n_rounds", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("rep")
     ).withColumn("__h", hash32(seed, "rep", "context_id"))
-    ranked = dense_index(drawn, ["__h", "context_id"], "i", group=["rep"], **kw)
+    ranked = hashed_index(drawn, "__h", "context_id", "i", ["rep"], indexed.count(), bucket_rows)
     shuffled = ranked.join(indexed.select("i", "action"), "i").join(_truth(block), ["context_id", "action"], "left")
     null = weighted_masked_mean(shuffled, "reward", "n_rounds", ("rep",)).filter(F.col("value").isNotNull())
     return null.join(realised, F.lit(True)).agg(

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from counterfold.errors import refuse_if
 from counterfold.functions.hashing import hash32
-from counterfold.operators.ordering import cut_by_rank, dense_index, extent
+from counterfold.operators.ordering import cut_by_rank, extent, hashed_index
 from counterfold.params import SplitParams
 
 PARTS = ("train", "validation", "test")
@@ -112,9 +112,7 @@ def stratified_folds(
     that no training fold can lose all its weight.
     """
     groups = [*group, stratum]
-    ranked = dense_index(
-        contexts.withColumn("__h", hash32(seed, key)), ["__h", key], "__i", group=groups
-    )
+    ranked = hashed_index(contexts.withColumn("__h", hash32(seed, key)), "__h", key, "__i", groups)
     sizes = ranked.groupBy(*groups).agg((F.max("__i") + 1).alias("__n"))
     base, rest = F.floor(F.col("__n") / n_folds), F.col("__n") % n_folds
     wide = rest * (base + 1)

@@ -22,8 +22,9 @@ _ENUM = ctes(EVENT_SPLIT, GREEDY)
 def event_train_test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Training rounds, and later rounds weighted by their own action shares."""
     rounds = event_parts(spark, sf_dir)
-    scored = rounds.filter("part <> 'train'")
-    return rounds.filter("part = 'train'"), propensity.enumerated_propensities(scored, ["round_id"])
+    scored = propensity.enumerated_propensities(rounds.filter("part <> 'train'"), ["round_id"])
+    # evaluation scans the rounds several times: written once, as a prepared dataset is
+    return rounds.filter("part = 'train'"), durable(scored)
 
 
 def event_policies(rounds: DataFrame, train: DataFrame) -> DataFrame:
@@ -299,11 +300,12 @@ def direct_and_doubly_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(points.groupBy("agent").pivot("estimator", ["dm", "dr"]).agg(F.first("value")), "dm", "dr")
 
 
-_MRDR = f"""mf AS (SELECT *, CASE WHEN s THEN CASE WHEN mrk < (mn % 5) * (mn // 5 + 1) THEN mrk // (mn // 5 + 1)
-    ELSE mn % 5 + (mrk - (mn % 5) * (mn // 5 + 1)) // (mn // 5) END ELSE fold END AS mfold FROM
-  (SELECT *, row_number() OVER (PARTITION BY agent, s ORDER BY {hash32_sql(SEED, 'round_id')}, round_id) - 1 AS mrk,
-    count(*) OVER (PARTITION BY agent, s) AS mn FROM (SELECT *, mw > 0 AS s FROM
-    (SELECT *, pi * (1 - propensity) / greatest(propensity * propensity, 1e-12) AS mw FROM w)))),
+_MRDR = f"""mw0 AS (SELECT *, mw > 0 AS s, min(round_id) OVER (PARTITION BY agent, context_id, fold, action, reward, propensity) AS rep FROM
+    (SELECT *, pi * (1 - propensity) / greatest(propensity * propensity, 1e-12) AS mw FROM w)),
+mr AS (SELECT agent, rep, row_number() OVER (PARTITION BY agent ORDER BY {hash32_sql(SEED, 'rep')}, rep) - 1 AS mrk, count(*) OVER (PARTITION BY agent) AS mn
+  FROM (SELECT DISTINCT agent, rep FROM mw0 WHERE s)),
+mf AS (SELECT mw0.*, CASE WHEN mrk IS NULL THEN fold WHEN mrk < (mn % 5) * (mn // 5 + 1) THEN mrk // (mn // 5 + 1)
+    ELSE mn % 5 + (mrk - (mn % 5) * (mn // 5 + 1)) // greatest(mn // 5, 1) END AS mfold FROM mw0 LEFT JOIN mr USING (agent, rep)),
 mg AS (SELECT agent, f.fold, sum(mw * reward) / sum(mw) AS g FROM mf, folds f WHERE mfold <> f.fold GROUP BY ALL),
 ma AS (SELECT g.agent, g.fold, a.action, (coalesce(sum(mw * reward) FILTER (mfold <> g.fold), 0) + 10 * any_value(g.g))
     / (coalesce(sum(mw) FILTER (mfold <> g.fold), 0) + 10) AS m
@@ -376,7 +378,8 @@ _DRAWS = f"""dr AS (SELECT rep, {hash32_sql(SEED, 'rep', 'j')} % (SELECT count(*
   FROM (SELECT unnest(range(20)) AS rep), (SELECT unnest(range((SELECT count(*) FROM un))) AS j))"""
 
 
-@query("OPE17", "WIN6", sql=ctes(EVENT_SPLIT, GREEDY) + _WEIGHTS + """, un AS (SELECT round_id, row_number() OVER (ORDER BY round_id::VARCHAR) - 1 AS i FROM test),
+@query("OPE17", "WIN6", sql=ctes(EVENT_SPLIT, GREEDY) + _WEIGHTS + """, un AS (SELECT round_id, row_number() OVER (ORDER BY rep::VARCHAR, round_id) - 1 AS i FROM
+  (SELECT round_id, min(round_id) OVER (PARTITION BY context_id, action, reward, propensity) AS rep FROM test)),
 """ + _DRAWS + """, rp AS (SELECT agent, rep, sum(w * reward) / sum(w) AS v FROM dr JOIN un USING (i) JOIN w USING (round_id) GROUP BY ALL)
 SELECT agent, round(quantile_cont(v, 0.025), 9) AS ci_lower, round(quantile_cont(v, 0.975), 9) AS ci_upper FROM rp GROUP BY agent""")
 def bootstrap_over_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:

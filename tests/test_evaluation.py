@@ -198,6 +198,21 @@ def test_poisson_and_drawn_intervals_agree(spark):
     assert np.allclose(a, b)
 
 
+@pytest.mark.parametrize("limit", [10**9, 0])
+def test_alike_units_may_share_a_row(spark, limit):
+    """400 rows of 10 units each resample like 4000 units."""
+    rng = np.random.default_rng(11)
+    x = rng.random(400)
+    rows = spark.createDataFrame(pd.DataFrame({"agent": "a", "unit_id": [str(i) for i in range(400)], "w": 10.0, "wr": 10 * x, "mult": 10}))
+    reps, _, n = bootstrap.replicate_sums(rows, ["w", "wr"], 300, 2, max_draws=limit)
+    got = reps.toPandas()
+    assert n == 4000
+    if limit:
+        assert (got["w"].round(6) == 4000).all()
+    want = np.sqrt((x**2).mean() - x.mean() ** 2) / np.sqrt(4000)
+    assert (got.wr / got.w).std() == pytest.approx(want, rel=0.2) and (got.wr / got.w).mean() == pytest.approx(x.mean(), abs=4 * want)
+
+
 def test_drawn_replicates_have_exactly_n_units(spark):
     frame = spark.range(500).select(F.lit("a").alias("agent"), F.col("id").cast("string").alias("unit_id"), F.lit(1.0).alias("n"))
     reps, _, _ = bootstrap.replicate_sums(frame, ["n"], 25, 4)
@@ -324,8 +339,8 @@ def test_personalisation_test_reads_matching(spark):
         "reward", (F.col("user_idx") % 4 == F.col("action")).cast("double"))
     weights = spark.range(n).select(F.col("id").alias("context_id"), F.lit(3).alias("n_rounds"))
     matched = spark.range(n).select(F.col("id").alias("context_id"), (F.col("id") % 4).alias("action"))
-    for one_task in (None, 0):
-        row = reference.personalisation_test(matched, block, weights, 50, one_task_rows=one_task).first()
+    for size in (50_000, 7):
+        row = reference.personalisation_test(matched, block, weights, 50, bucket_rows=size).first()
         assert row["realised"] == 1.0 and abs(row["shuffled_mean"] - 0.25) < 0.05
         assert row["p_value"] == pytest.approx(1 / 51) and row["z_score"] > 5
     collapsed = matched.withColumn("action", F.lit(1).cast("long"))

@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from counterfold.functions.hashing import hash32
 from counterfold.functions.skew import spread_join
 from counterfold.operators.ordering import (
-    average_rank, dense_index, extent, key_before, order_boundaries, prefix_sums,
+    average_rank, dense_index, extent, hashed_index, key_before, order_boundaries, prefix_sums,
 )
 from counterfold.operators.sampling import sample_by_chunk, sample_exact
 
@@ -36,6 +37,14 @@ def test_dense_index_per_group_spans_slices(rows, pdf):
     assert sorted(out["i"]) == list(range(len(pdf)))
 
 
+@pytest.mark.parametrize("bucket_rows", [50_000, 100])
+def test_hashed_index_counts_through_buckets(rows, bucket_rows):
+    hashed = rows.withColumn("h", hash32(1, "id"))
+    out = hashed_index(hashed, "h", "id", "i", ["g"], bucket_rows=bucket_rows).toPandas()
+    want = out.sort_values(["g", "h", "id"]).groupby("g").cumcount()
+    assert (out.loc[want.index, "i"] == want).all()
+
+
 @pytest.mark.parametrize("one_task", [0, 10_000])
 def test_prefix_sums_per_group(rows, pdf, one_task):
     out = prefix_sums(rows, ["v", "id"], {"s": "v"}, "i", group=["g"], one_task_rows=one_task).toPandas()
