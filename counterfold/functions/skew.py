@@ -61,3 +61,22 @@ def spread_join(
         "__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))
     ).drop("__salts")
     return salted_big.join(salted_dim, [*on, "__salt"], how).drop("__salt")
+
+
+#: Rows up to which a narrow lookup table (keys and a few scalars) is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def lookup_join(
+    big: DataFrame, dim: DataFrame, on: list[str], how: str = "left", salt_by: list[str] | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Join a lookup table that is cheap to count, such as one already written.
+
+    Shuffling rows by a key with few values would put them into few tasks.  A
+    table counted to be small is broadcast instead; a larger one has many keys
+    and goes through :func:`spread_join`.
+    """
+    if dim.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return big.join(F.broadcast(dim), on, how)
+    return spread_join(big, dim, on, how, salt_by)

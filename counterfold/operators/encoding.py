@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from counterfold.errors import refuse_if
-from counterfold.functions.skew import spread_join
+from counterfold.functions.skew import lookup_join
 from counterfold.operators.ordering import ONE_TASK_ROWS, dense_index
+from counterfold.session import durable
 
 #: Code of a value the vocabulary does not hold.
 UNKNOWN = -1
@@ -23,7 +24,7 @@ def fit_vocabulary(df: DataFrame, column: str, one_task_rows: int = ONE_TASK_ROW
     """``(column_name, value, code)`` with codes 0..k-1 in sorted value order."""
     distinct = df.select(as_category(column).alias("value")).distinct()
     coded = dense_index(distinct, ["value"], "code", one_task_rows=one_task_rows)
-    return coded.select(F.lit(column).alias("column_name"), "value", "code")
+    return durable(coded.select(F.lit(column).alias("column_name"), "value", "code"))
 
 
 def extend_vocabulary(vocab: DataFrame, df: DataFrame, column: str) -> DataFrame:
@@ -48,8 +49,7 @@ def encode_categories(df: DataFrame, vocab: DataFrame, columns: list[str]) -> Da
             F.col("value").alias("__value"), F.col("code").alias("__code")
         )
         out = (
-            out.withColumn("__value", as_category(column))
-            .join(dim, "__value", "left")
+            lookup_join(out.withColumn("__value", as_category(column)), dim, ["__value"])
             .withColumn(column, F.coalesce("__code", F.lit(UNKNOWN)).cast("long"))
             .drop("__value", "__code")
         )
@@ -82,7 +82,7 @@ def fit_index(
         part = frame.select(F.col(column).alias("raw_id")).filter(F.col("raw_id").isNotNull()).distinct()
         ids = part if ids is None else ids.unionByName(part)
     ids = ids.distinct() if len(frames) > 1 else ids
-    return dense_index(ids, ["raw_id"], "idx", one_task_rows=one_task_rows)
+    return durable(dense_index(ids, ["raw_id"], "idx", one_task_rows=one_task_rows))
 
 
 def apply_index(
@@ -101,7 +101,7 @@ def apply_index(
         if examples:
             refuse_if(True, "unseen_identifier", f"{column} holds ids the index was not fitted on",
                       count=unseen.count(), examples=examples)
-    joined = spread_join(df, dim, [column], "left", salt_by)
+    joined = lookup_join(df, dim, [column], "left", salt_by)
     return joined.withColumn(name, F.coalesce(name, F.lit(UNKNOWN)).cast("long"))
 
 

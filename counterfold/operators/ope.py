@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from counterfold.errors import refuse_if
+from counterfold.functions.rows import one_row
+from counterfold.functions.skew import lookup_join
 from counterfold.operators.bootstrap import MAX_DRAWS, percentile_interval, replicate_sums
 from counterfold.operators.checks import validate_policy
 from counterfold.operators.ordering import dense_index
@@ -185,7 +187,7 @@ def block_coverage(rounds: DataFrame, rows: DataFrame, n_actions: int) -> DataFr
         (F.sum("n") * n_actions).alias("cells_consulted"),
         F.sum(F.col("n") * F.coalesce("observed", F.lit(0))).alias("cells_observed"),
     )
-    return consulted.join(duplicate_cells(rows), F.lit(True)).withColumn(
+    return consulted.join(one_row(duplicate_cells(rows)), F.lit(True)).withColumn(
         "coverage", F.col("cells_observed") / F.col("cells_consulted"))
 
 
@@ -254,8 +256,8 @@ def _expected_q(
     out = None
     if policies is not None:
         keys = model.keys
-        rows = policies.join(keys, [*model.group, "context_id"]).join(
-            model.table, [*model.group, "model_key", "action"], "left")
+        rows = lookup_join(policies.join(keys, [*model.group, "context_id"]), model.table,
+                           [*model.group, "model_key", "action"])
         out = rows.groupBy("agent", "context_id", "fold").agg(F.sum(F.col("prob") * F.col("q")).alias(name))
     for agent in uniform:
         part = model.uniform_q(name)
@@ -390,6 +392,7 @@ def _mrdr_stats(cells, policies, uniform, n_actions, buckets, params, unit, unit
     model = tabular_reward_model(
         fit, buckets, n_actions, params.folds, prior, weight="mw", weighted_reward="ms", group=("agent",),
         keys=folds.select("agent", "context_id", "fold").distinct())
+    model = dc.replace(model, table=durable(model.table))
     correction = model.q_at(mine).groupBy("agent", unit_key).agg(
         F.sum(F.col("pi") * (F.col("rinv") - F.col("q") * F.col("inv"))).alias("mcorr"))
     expected = _expected_q(model, policies, uniform, "__meq")

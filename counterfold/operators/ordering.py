@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from counterfold.functions.skew import spread_join
 from counterfold.session import durable
 
 #: Up to this many rows (checked by a count) one task sorts them directly.
@@ -298,7 +299,7 @@ def average_rank(
     ranks = cumulative.select(
         value, (F.col("__cum") - (F.col("__n") - 1) / 2.0).cast("double").alias(name)
     )
-    return df.join(ranks, value)
+    return spread_join(df, ranks, [value], "inner", list(key))
 
 
 def exact_quantiles(df: DataFrame, value: str, probabilities: Sequence[float]) -> list[float | None]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from counterfold.errors import refuse_if
+from counterfold.functions.rows import one_row
 
 #: Median history below which an evaluation user's representation is thin.
 THIN_HISTORY = 20
@@ -41,7 +42,7 @@ def block_overlap(
     n_items = items.agg(F.count("*").alias("eval_items"))
     # three one-row tables side by side
     return (
-        n_users.join(n_items, F.lit(True)).join(in_log, F.lit(True))
+        n_users.join(one_row(n_items), F.lit(True)).join(one_row(in_log), F.lit(True))
         .withColumn("regime", F.when(F.col("overlap_rows") == 0, F.lit("cold_item"))
                     .otherwise(F.concat(F.lit("warm: "), F.col("overlap_cells"), F.lit(" cells"))))
     )
@@ -68,7 +69,7 @@ def evaluation_reachability(graph_rows: DataFrame, train: DataFrame, test: DataF
         train.select("user_idx", "action").intersect(test.select("user_idx", "action"))
         .agg(F.count("*").alias("overlap_cells"))
     )
-    return users.join(cells, F.lit(True)).withColumn(
+    return users.join(one_row(cells), F.lit(True)).withColumn(
         "thin_history", F.col("median_history") < THIN_HISTORY
     ).withColumn(
         "regime", F.when(F.col("overlap_cells") == 0, F.lit("cold_item"))

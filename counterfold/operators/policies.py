@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from counterfold.errors import refuse_if
+from counterfold.functions.rows import one_row
 from counterfold.operators.propensity import BehaviourPolicy, score_cells
 from counterfold.params import PolicyParams
 
@@ -60,7 +61,7 @@ def supported_actions(rounds: DataFrame, behaviour: BehaviourPolicy, flexibility
     floor = F.lit(behaviour.shrinkage) * F.col("top_marginal") / (
         F.coalesce("n_user", F.lit(0)) + F.lit(behaviour.shrinkage))
     peak = F.greatest(F.max("propensity").over(Window.partitionBy("context_id")), floor)
-    return scored.join(top, F.lit(True)).withColumn("support", F.col("propensity") / peak).filter(
+    return scored.join(one_row(top), F.lit(True)).withColumn("support", F.col("propensity") / peak).filter(
         F.col("support") >= flexibility
     ).select("context_id", "action", "n", "q", "propensity", "support")
 
@@ -120,7 +121,7 @@ def popularity_constants(train: DataFrame, min_count: int = 100) -> DataFrame:
     stats = train.groupBy("action").agg(F.count("*").alias("n"), F.avg("reward").alias("rate"))
     any_popular = stats.agg((F.max("n") >= min_count).alias("__popular"))
     eligible = F.when(~F.col("__popular") | (F.col("n") >= min_count), F.col("rate"))
-    picks = stats.join(any_popular, F.lit(True)).agg(
+    picks = stats.join(one_row(any_popular), F.lit(True)).agg(
         F.max_by(F.struct("action", "n", "rate"), F.struct(F.col("n"), -F.col("action"))).alias("most"),
         F.max_by(F.struct("action", "n", "rate"), F.struct(eligible, -F.col("action"))).alias("best"),
     )

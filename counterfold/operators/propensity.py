@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from counterfold.errors import refuse_if
-from counterfold.functions.skew import spread_join
+from counterfold.functions.rows import one_row
+from counterfold.functions.skew import BROADCAST_ROWS, spread_join
 from counterfold.params import NEEDS_PROPENSITY, EvaluationParams
 
 #: Rounds per cell above which a block is a log rather than an enumeration.
@@ -42,7 +43,7 @@ def fit_behaviour_policy(train: DataFrame, n_actions: int, shrinkage: float = 10
     counts = pairs.groupBy("action").agg(F.sum("n_pair").alias("n_action"))
     grand = counts.agg(F.sum("n_action").alias("n_all"))
     actions = train.sparkSession.range(n_actions).select(F.col("id").alias("action"))
-    marginal = actions.join(counts, "action", "left").join(grand, F.lit(True)).select(
+    marginal = actions.join(counts, "action", "left").join(one_row(grand), F.lit(True)).select(
         "action",
         ((F.coalesce("n_action", F.lit(0)) + 1.0) / (F.col("n_all") + float(n_actions))).alias("marginal"),
     )
@@ -56,8 +57,10 @@ def score_cells(policy: BehaviourPolicy, cells: DataFrame) -> DataFrame:
     never breaks.
     """
     a = F.lit(policy.shrinkage)
+    # one row per action, and their number is known
+    marginal = F.broadcast(policy.marginal) if policy.n_actions <= BROADCAST_ROWS else policy.marginal
     return (
-        cells.join(policy.marginal, "action")
+        cells.join(marginal, "action")
         .join(policy.pairs, ["user_idx", "action"], "left")
         .join(policy.totals, "user_idx", "left")
         .withColumn("propensity", (F.coalesce("n_pair", F.lit(0)) + a * F.col("marginal"))

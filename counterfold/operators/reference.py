@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from counterfold.functions.hashing import hash32
+from counterfold.functions.rows import one_row
+from counterfold.functions.skew import lookup_join
 from counterfold.functions.statistics import correlation
 from counterfold.operators.ordering import average_rank, dense_index, hashed_index, median_row, prefix_sums
 from counterfold.session import durable
@@ -79,7 +81,7 @@ def feature_confound(features: DataFrame, values: DataFrame) -> DataFrame:
     ranked = average_rank(average_rank(both, "item_feature", "rx", ["action"]), "value", "ry", ["action"])
     return ranked.agg(
         F.count("*").alias("n_items"), correlation(F.col("rx"), F.col("ry")).alias("spearman_rho"),
-    ).join(median_row(both, "item_feature", "median_feature"), F.lit(True)).withColumn(
+    ).join(one_row(median_row(both, "item_feature", "median_feature")), F.lit(True)).withColumn(
         "t_statistic",
         F.col("spearman_rho") * F.sqrt((F.col("n_items") - 2)
                                        / F.nullif(1 - F.col("spearman_rho") ** 2, F.lit(0.0))),
@@ -89,7 +91,7 @@ def feature_confound(features: DataFrame, values: DataFrame) -> DataFrame:
 def top_constants_against_median(features: DataFrame, values: DataFrame, k: int = 5) -> DataFrame:
     both = features.join(values, "action")
     median = median_row(both, "item_feature", "median_feature")
-    return best_constants(both, k).join(median, F.lit(True)).withColumn(
+    return best_constants(both, k).join(one_row(median), F.lit(True)).withColumn(
         "feature_vs_median", F.col("item_feature") / F.nullif("median_feature", F.lit(0.0)))
 
 
@@ -101,7 +103,7 @@ def feature_baseline(features: DataFrame, values: DataFrame) -> DataFrame:
     both = values.join(features, "action", "left")
     usable = both.filter(F.col("item_feature").isNotNull() & F.col("value").isNotNull())
     median = median_row(usable, "item_feature", "__m")
-    filled = both.join(median, F.lit(True)).withColumn(
+    filled = both.join(one_row(median), F.lit(True)).withColumn(
         "x", F.coalesce("item_feature", "__m")).drop("__m")
     assembler = VectorAssembler(inputCols=["x"], outputCol="features")
     model = IsotonicRegression(isotonic=False, labelCol="value", predictionCol="baseline").fit(
@@ -119,7 +121,7 @@ def feature_adjusted_value(
     policy: DataFrame, block: DataFrame, weights: DataFrame, baseline: DataFrame
 ) -> DataFrame:
     """A policy's value, the part its items' feature predicts, and the residual."""
-    cells = policy_cells(policy, block, weights).join(baseline, "action", "left")
+    cells = lookup_join(policy_cells(policy, block, weights), durable(baseline), ["action"])
     seen = F.col("reward").isNotNull()
     w = F.sum(F.when(seen, F.col("n_rounds")))
     return cells.agg(
@@ -151,7 +153,7 @@ def personalisation_test(
     ranked = hashed_index(drawn, "__h", "context_id", "i", ["rep"], indexed.count(), bucket_rows)
     shuffled = ranked.join(indexed.select("i", "action"), "i").join(_truth(block), ["context_id", "action"], "left")
     null = weighted_masked_mean(shuffled, "reward", "n_rounds", ("rep",)).filter(F.col("value").isNotNull())
-    return null.join(realised, F.lit(True)).agg(
+    return null.join(one_row(realised), F.lit(True)).agg(
         F.first("realised").alias("realised"), F.avg("value").alias("shuffled_mean"),
         F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("shuffled_std"),
         F.count_if(F.col("value") >= F.col("realised") - F.lit(TIE_TOLERANCE)).alias("exceed"),
@@ -173,7 +175,7 @@ def concentration(policy: DataFrame, weights: DataFrame, n_actions: int) -> Data
         F.sum("n_rounds").alias("w"), F.count("*").alias("contexts")).filter("w > 0")
     total = used.agg(F.sum("w").alias("total"), F.sum("contexts").alias("n_contexts"))
     share = F.col("w") / F.col("total")
-    return used.join(total, F.lit(True)).agg(
+    return used.join(one_row(total), F.lit(True)).agg(
         F.count("*").alias("n_distinct_actions"), F.first("n_contexts").alias("n_contexts"),
         F.max_by("action", F.struct(F.col("w"), -F.col("action"))).alias("top_action"),
         F.max(share).alias("top_action_share"), (-F.sum(share * F.log(share))).alias("entropy_nats"),
@@ -194,13 +196,13 @@ def reference_report(
     out = None
     for agent, policy in policies.items():
         value = weighted_masked_mean(policy_cells(policy, block, weights), "reward", "n_rounds")
-        row = value.join(concentration(policy, weights, n_actions), F.lit(True))
+        row = value.join(one_row(concentration(policy, weights, n_actions)), F.lit(True))
         row = row.join(ranks, "top_action", "left")
         test = personalisation_test(policy, block, weights, n_permutations, seed)
-        row = row.join(test.select("shuffled_mean", "gain_from_matching", "z_score", "p_value"), F.lit(True))
+        row = row.join(one_row(test.select("shuffled_mean", "gain_from_matching", "z_score", "p_value")), F.lit(True))
         if baseline is not None:
             adjusted = feature_adjusted_value(policy, block, weights, baseline)
-            row = row.join(adjusted.select("feature_predicted", "feature_adjusted_residual"), F.lit(True))
+            row = row.join(one_row(adjusted.select("feature_predicted", "feature_adjusted_residual")), F.lit(True))
         row = row.withColumn("agent", F.lit(agent))
         out = row if out is None else out.unionByName(row)
     return out

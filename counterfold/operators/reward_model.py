@@ -15,6 +15,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from counterfold.functions.skew import lookup_join
 from counterfold.operators.checks import plan_cells
 
 #: Pseudo-observations that pull a thin (bucket, action) mean to the action's mean.
@@ -33,14 +34,14 @@ class RewardModel:
     def q_at(self, rows: DataFrame, name: str = "q") -> DataFrame:
         """Add q to rows that carry (context_id, fold, action)."""
         on = [*self.group, "context_id", "fold"]
-        return rows.join(self.keys, on).join(
-            self.table.withColumnRenamed("q", name), [*self.group, "model_key", "action"], "left"
+        return lookup_join(
+            rows.join(self.keys, on), self.table.withColumnRenamed("q", name), [*self.group, "model_key", "action"]
         ).drop("model_key")
 
     def uniform_q(self, name: str = "eq") -> DataFrame:
         """Mean q over ALL actions per (context_id, fold)."""
         per_key = self.table.groupBy(*self.group, "model_key").agg(F.avg("q").alias(name))
-        return self.keys.join(per_key, [*self.group, "model_key"]).drop("model_key")
+        return lookup_join(self.keys, per_key, [*self.group, "model_key"], "inner").drop("model_key")
 
 
 def tabular_reward_model(

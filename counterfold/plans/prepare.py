@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from counterfold.errors import refuse_if
+from counterfold.functions.rows import one_row
 from counterfold.operators.checks import constant_propensity
 from counterfold.operators.encoding import apply_index, encode_categories, fit_index, fit_vocabulary
 from counterfold.operators.graph import bipartite_graph, social_edges
@@ -111,7 +112,7 @@ def rounds_summary(rounds: DataFrame) -> DataFrame:
     return rounds.agg(
         F.count("*").alias("n_interactions"), F.avg("reward").alias("mean_reward"),
         part("train").alias("n_train"), part("validation").alias("n_validation"), part("test").alias("n_test"),
-    ).join(constant_propensity(rounds), F.lit(True))
+    ).join(one_row(constant_propensity(rounds)), F.lit(True))
 
 
 def dataset_summary(
@@ -130,8 +131,8 @@ def dataset_summary(
     for name, value in constants.items():
         out = out.withColumn(name, F.lit(value))
     out = out.withColumn("policy_rows", F.col("n_train"))
-    out = out.join(graph_rows.agg(F.count("*").alias("representation_rows")), F.lit(True))
-    return out.join(graph.agg(F.count("*").alias("graph_edges")), F.lit(True))
+    out = out.join(one_row(graph_rows.agg(F.count("*").alias("representation_rows"))), F.lit(True))
+    return out.join(one_row(graph.agg(F.count("*").alias("graph_edges"))), F.lit(True))
 
 
 def describe_matrix(frame: DataFrame, item: str, reward: str) -> DataFrame:

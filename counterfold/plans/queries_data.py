@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterfold.functions.hashing import hash32_sql
+from counterfold.functions.rows import one_row
 from counterfold.operators import checks, encoding, overlap, projections, propensity, sampling, splits
 from counterfold.operators.ordering import micros
 from counterfold.params import DatasetParams, EvaluationParams, Params, SplitParams
@@ -134,9 +135,9 @@ def train_eval_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = logs.assemble_train_eval(log, block, item="item_id")
     return (
         pair.log.agg(F.count("*").alias("log_rows"))
-        .join(pair.eval_block.agg(F.count("*").alias("block_rows")), F.lit(True))
-        .join(pair.action_universe.agg(F.count("*").alias("universe_items")), F.lit(True))
-        .join(pair.overlap.select("overlap_cells"), F.lit(True))
+        .join(one_row(pair.eval_block.agg(F.count("*").alias("block_rows"))), F.lit(True))
+        .join(one_row(pair.action_universe.agg(F.count("*").alias("universe_items"))), F.lit(True))
+        .join(one_row(pair.overlap.select("overlap_cells")), F.lit(True))
     )
 
 
@@ -257,7 +258,7 @@ def policy_rows_of_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training rows whose action is in the universe: a semi join on the actions."""
     actions = encoding.fit_vocabulary(table(spark, sf_dir, "events"), "event_type")
     universe = actions.filter(F.col("value").contains("i")).select(F.col("code").alias("action"))
-    return projections.part_arrays(event_parts(spark, sf_dir), "train").join(universe, "action", "left_semi")
+    return projections.keep_actions(projections.part_arrays(event_parts(spark, sf_dir), "train"), universe)
 
 
 @query("PRJ7", "PRJ8", sql="""SELECT o_orderkey AS round_id, CASE WHEN o_orderpriority <> '1-URGENT' THEN 1 ELSE 0 END AS treatment,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterfold.functions.hashing import hash32_sql
+from counterfold.functions.rows import one_row
 from counterfold.operators import bootstrap, checks, ope, policies, propensity, reference, reward_model
 from counterfold.operators.splits import context_folds
 from counterfold.params import EvaluationParams
@@ -19,9 +20,9 @@ from counterfold.sources.tables import event_rounds, line_rounds, order_rows, us
 _ENUM = ctes(EVENT_SPLIT, GREEDY)
 
 
-def event_train_test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def event_train_test(spark: SparkSession, sf_dir: str, rounds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Training rounds, and later rounds weighted by their own action shares."""
-    rounds = event_parts(spark, sf_dir)
+    rounds = event_parts(spark, sf_dir) if rounds is None else rounds
     scored = propensity.enumerated_propensities(rounds.filter("part <> 'train'"), ["round_id"])
     # evaluation scans the rounds several times: written once, as a prepared dataset is
     return rounds.filter("part = 'train'"), durable(scored)
@@ -175,8 +176,8 @@ _WEIGHTS = """, w AS (SELECT e.agent, t.*, coalesce(p.prob, 0) / greatest(t.prop
 
 
 def _unit_stats(spark: SparkSession, sf_dir: str, *estimators: str) -> ope.Evaluation:
-    train, test = event_train_test(spark, sf_dir)
-    rounds = event_rounds(spark, sf_dir)
+    rounds = event_parts(spark, sf_dir)
+    train, test = event_train_test(spark, sf_dir, rounds)
     return ope.prepare_evaluation(
         test, event_policies(rounds, train), n_events_actions(spark, sf_dir), EvaluationParams(estimators=estimators),
         uniform=("random",), buckets=buckets_of(rounds))
@@ -203,9 +204,10 @@ SELECT agent, count(*) AS n_samples, round(sum(w * reward) / count(*), 9) AS ipw
   round(sum(w) * sum(w) / sum(w * w), 6) AS effective_sample_size FROM w GROUP BY agent""")
 def weighted_policy_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IPW, SNIPW and effective sample size of three policies on held-out rounds."""
-    train, test = event_train_test(spark, sf_dir)
+    rounds = event_parts(spark, sf_dir)
+    train, test = event_train_test(spark, sf_dir, rounds)
     cells = ope.logged_cells(test, ("context_id", "action"))
-    pols = event_policies(event_rounds(spark, sf_dir), train)
+    pols = event_policies(rounds, train)
     n_actions = n_events_actions(spark, sf_dir)
     mine = cells.join(pols, ["context_id", "action"]).select(*cells.columns, "agent", "prob").unionByName(
         cells.select("*", F.lit("random").alias("agent"), F.lit(1.0 / n_actions).alias("prob")))
@@ -213,7 +215,7 @@ def weighted_policy_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = mine.groupBy("agent").agg(F.sum(p * F.col("inv")).alias("w"), F.sum(p * p * F.col("inv2")).alias("w2"),
                                      F.sum(p * F.col("rinv")).alias("wr"))
     total = cells.agg(F.sum("n").alias("n"))
-    return sums.join(total, F.lit(True)).select(
+    return sums.join(one_row(total), F.lit(True)).select(
         "agent", F.col("n").alias("n_samples"), r9(ope.ipw_value()).alias("ipw"), r9(ope.snipw_value()).alias("snipw"),
         r9(ope.kish_ess(), 6).alias("effective_sample_size"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterfold.functions.hashing import hash32_sql
+from counterfold.functions.rows import one_row
 from counterfold.operators import graph, ope, policies, rollup, splits, uplift
 from counterfold.operators.ordering import micros, prefix_sums
 from counterfold.plans.queries_data import SEED, n_events_actions
@@ -76,7 +77,7 @@ def mapped_social_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = fit_index([table(spark, sf_dir, "orders").filter("o_custkey % 7 <> 0")], "o_custkey")
     raw = table(spark, sf_dir, "events").select(F.col("user_id").alias("src"), (F.col("event_id") % 200).alias("dst"))
     kept, report = graph.social_edges(raw, index)
-    return report.join(kept.agg(F.sum(F.col("src") + F.col("dst")).alias("checksum")), F.lit(True))
+    return report.join(one_row(kept.agg(F.sum(F.col("src") + F.col("dst")).alias("checksum"))), F.lit(True))
 
 
 @query("GRA3", sql=f"""WITH nd AS (SELECT c_custkey AS node_id, d FROM customer, (SELECT unnest(range(4)) AS d))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from counterfold.functions.skew import lookup_join
 from counterfold.operators.encoding import as_category, fit_vocabulary
 from counterfold.operators.ordering import micros
 
@@ -20,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _with_action(df: DataFrame, source: DataFrame, column: str) -> DataFrame:
     vocab = fit_vocabulary(source, column).select(F.col("value").alias("__v"), F.col("code").alias("action"))
-    return df.withColumn("__v", as_category(column)).join(vocab, "__v").drop("__v")
+    return lookup_join(df.withColumn("__v", as_category(column)), vocab, ["__v"], "inner").drop("__v")
 
 
 def event_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
