@@ -1,10 +1,10 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes ratios.
 
-Each text is the set of its hashed character n-grams.  From a bounded sample of
-labelled texts, the log-count ratio of every n-gram (smoothed share of toxic
-texts that have it, against that of other texts) is counted; the n-grams with
-the largest ratios are the features, each scaled by its ratio, and a logistic
-model is fitted on them.  Scoring is one map over the documents.
+A text is the log counts of its hashed character n-grams.  From a bounded
+sample of labelled texts, the log-count ratio of every n-gram (its smoothed
+mean in toxic texts against that in others) is taken; the n-grams whose means
+differ most, in standard errors, are the features, each scaled by its ratio,
+and a logistic model is fitted on them.  Scoring is one map over the documents.
 """
 
 from __future__ import annotations
@@ -27,11 +27,12 @@ class ToxicityParams:
     train_rows: int = 8_000
     #: Lengths of n-grams, in bytes of lower-cased UTF-8.
     shortest: int = 3
-    longest: int = 5
+    longest: int = 6
     #: n-grams are hashed to this many bits.
-    bits: int = 18
-    #: Features kept, by the size of their ratio times the root of their count.
-    features: int = 30_000
+    bits: int = 19
+    #: Features kept at most, and the standard errors their means differ by at least.
+    features: int = 2_000
+    least_errors: float = 5.0
     smoothing: float = 1.0
     #: Weight of the squared norm in the loss, and steps of its descent.
     penalty: float = 1e-3
@@ -39,36 +40,30 @@ class ToxicityParams:
     threshold: float = 0.7
 
 
-class _Grams:
-    """Distinct hashed n-grams of a text, without sorting."""
-
-    def __init__(self, p: ToxicityParams) -> None:
-        self.p, self.mask = p, (1 << p.bits) - 1
-        self.last = np.zeros(1 << p.bits, np.int32)
-
-    def __call__(self, text: str) -> np.ndarray:
-        data = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
-        parts, h = [], np.zeros(len(data), np.uint32)
-        for k in range(self.p.longest):
-            if len(data) <= k:
-                break
-            h = h[:len(data) - k] * np.uint32(0x01000193) + data[k:] + np.uint32(1)
-            if k + 1 >= self.p.shortest:
-                mixed = h ^ (h >> np.uint32(15))
-                mixed = mixed * np.uint32(0x2C1B3C6D)
-                parts.append(((mixed ^ (mixed >> np.uint32(12))) & np.uint32(self.mask)).astype(np.int32))
-        if not parts:
-            return np.zeros(0, np.int32)
-        all_grams = np.concatenate(parts)
-        order = np.arange(len(all_grams), dtype=np.int32)
-        self.last[all_grams] = order
-        return all_grams[self.last[all_grams] == order]
+def _grams(text: str, p: ToxicityParams) -> np.ndarray:
+    """Hashed n-grams of a text, with repeats."""
+    data = np.frombuffer((" " + " ".join(text.lower().split()) + " ").encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
+    parts, h = [], np.zeros(len(data), np.uint32)
+    for k in range(min(p.longest, len(data))):
+        h = h[:len(data) - k] * np.uint32(0x01000193) + data[k:] + np.uint32(1)
+        if k + 1 >= p.shortest:
+            mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+            parts.append((mixed ^ (mixed >> np.uint32(12))) & np.uint32((1 << p.bits) - 1))
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
+
+def _placed(text: str, place: np.ndarray, p: ToxicityParams) -> tuple[np.ndarray, np.ndarray]:
+    """Features of a text and their log counts."""
+    at = place[_grams(text, p)]
+    at, n = np.unique(at[at >= 0], return_counts=True)
+    return at, np.log1p(n)
 
 
 @dc.dataclass(frozen=True)
 class ToxicityModel:
-    """``weight`` by hashed n-gram (0: no feature) and the intercept; about 1 MB."""
+    """Place of each hashed n-gram among the features (-1: none), their weights and the intercept; about 2 MB."""
 
+    place: np.ndarray
     weight: np.ndarray
     intercept: float
     params: ToxicityParams
@@ -93,69 +88,73 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams | No
     """Fit on at most about ``train_rows`` labelled rows that aren't held out.
 
     Without usable labels, or with one class only, the model scores every text
-    with the share of toxic rows (0 without any).
+    as its one class (0 without any).
     """
     p = params or ToxicityParams()
-    rows = durable(_sample(docs, labels, p).repartition(16))
+    rows = durable(_sample(docs, labels, p).repartition(8))
     size = 1 << p.bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, have, n = _Grams(p), np.zeros((2, size), np.int32), [0, 0]
+        sums, n = np.zeros((3, size), np.float32), [0, 0]  # by class, and of squares
         for batch in batches:
             for text, toxic in zip(texts(batch), batch.column("toxic").to_pylist(), strict=True):
-                have[toxic, grams(text)] += 1
+                at, times = np.unique(_grams(text, p), return_counts=True)
+                value = np.log1p(times)
+                sums[toxic, at] += value
+                sums[2, at] += value * value
                 n[toxic] += 1
         yield pa.RecordBatch.from_arrays(
-            [pa.array([0, 1], pa.int32()), pa.array(n, pa.int64()), pa.array([h.tobytes() for h in have], pa.binary())],
-            names=["toxic", "n", "have"])
+            [pa.array([n[0]], pa.int64()), pa.array([n[1]], pa.int64()), pa.array([sums.tobytes()], pa.binary())],
+            names=["n0", "n1", "sums"])
 
-    have, n = np.zeros((2, size)), np.zeros(2)
-    for r in rows.mapInArrow(count, "toxic int, n long, have binary").toLocalIterator():  # 16 tasks
-        have[r.toxic] += np.frombuffer(r.have, np.int32)
-        n[r.toxic] += r.n
+    sums, n = np.zeros((3, size)), np.zeros(2)
+    for r in rows.mapInArrow(count, "n0 long, n1 long, sums binary").toLocalIterator():  # 8 rows of fixed size
+        sums += np.frombuffer(r.sums, np.float32).reshape(3, size)
+        n += (r.n0, r.n1)
     if not n.all():
-        odds = n[1] / max(1, n.sum())
-        return ToxicityModel(np.zeros(size, np.float32), float(np.clip(np.log(odds / (1 - odds)) if 0 < odds < 1 else 50 * (2 * odds - 1), -50, 50)), p)
-    share = (have + p.smoothing) / (n + 2 * p.smoothing)[:, None]
-    ratio = np.log(share[1] / share[0])
-    strength = np.abs(ratio) * np.sqrt(have.sum(0))
-    chosen = np.sort(np.argsort(-strength, kind="stable")[:p.features])
+        share = n[1] / max(1, n.sum())
+        return ToxicityModel(np.full(size, -1, np.int32), np.zeros(0), 50 * (2 * share - 1), p)
+    mean, overall = sums[:2] / n[:, None], sums[:2].sum(0) / n.sum()
+    spread = np.maximum(sums[2] / n.sum() - overall**2, 0)
+    errors = np.abs(mean[1] - mean[0]) / np.sqrt(spread * (1 / n[0] + 1 / n[1]) + 1e-9)
+    chosen = np.argsort(-errors, kind="stable")[:p.features]
+    chosen = np.sort(chosen[errors[chosen] > p.least_errors])
+    ratio = np.log((mean[1, chosen] + p.smoothing / n.sum()) / (mean[0, chosen] + p.smoothing / n.sum()))
     place = np.full(size, -1, np.int32)
     place[chosen] = np.arange(len(chosen), dtype=np.int32)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = _Grams(p)
         for batch in batches:
-            at = [place[grams(t)] for t in texts(batch)]
+            got = [_placed(t, place, p) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("toxic"), pa.array([a[a >= 0].tobytes() for a in at], pa.binary())],
-                names=["doc_id", "toxic", "at"])
+                [batch.column("doc_id"), batch.column("toxic"), pa.array([a.tobytes() for a, _ in got], pa.binary()),
+                 pa.array([v.tobytes() for _, v in got], pa.binary())],
+                names=["doc_id", "toxic", "at", "value"])
 
-    got = rows.mapInArrow(features, "doc_id long, toxic int, at binary").orderBy("doc_id").collect()
+    got = rows.mapInArrow(features, "doc_id long, toxic int, at binary, value binary").collect()
+    got.sort(key=lambda r: r.doc_id)
     at = [np.frombuffer(r["at"], np.int32) for r in got]
-    y = np.array([r["toxic"] for r in got], float)
-    w, b = _logistic(at, y, ratio[chosen], p)
-    weight = np.zeros(size, np.float32)
-    weight[chosen] = w * ratio[chosen]
-    return ToxicityModel(weight, b, p)
+    value = [np.frombuffer(r["value"], np.float64) for r in got]
+    weight, intercept = _logistic(at, value, np.array([r.toxic for r in got], float), ratio, p)
+    return ToxicityModel(place, weight * ratio, intercept, p)
 
 
-def _logistic(at: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, p: ToxicityParams) -> tuple[np.ndarray, float]:
-    """Gradient descent with momentum and per-weight steps on the mean log loss."""
+def _logistic(
+    at: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, p: ToxicityParams,
+) -> tuple[np.ndarray, float]:
+    """Descent with momentum and a step for each weight on the log loss; both classes weigh the same."""
     where, owner = np.concatenate(at), np.repeat(np.arange(len(at)), [len(a) for a in at])
-    value = ratio[where]
-    w, b, v, s, rate = np.zeros(len(ratio) + 1), 0.0, 0.0, 0.0, 0.05
-    # both classes weigh the same in the fit, so that a rare one is learned as well
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    value = ratio[where] * np.concatenate(values)
+    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    w, pull, size = np.zeros(len(ratio) + 1), 0.0, 0.0
     for step in range(1, p.steps + 1):
         z = np.bincount(owner, value * w[where], len(at)) + w[-1]
-        error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * weight
-        g = np.append(np.bincount(where, value * error[owner], len(ratio)) + p.penalty * w[:-1], error.sum())
-        v = 0.9 * v + 0.1 * g
-        s = 0.99 * s + 0.01 * g * g
-        w = w - rate * (v / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
-    b = float(w[-1])
-    return w[:-1], b
+        error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * share
+        slope = np.append(np.bincount(where, value * error[owner], len(ratio)) + p.penalty * w[:-1], error.sum())
+        pull = 0.9 * pull + 0.1 * slope
+        size = 0.99 * size + 0.01 * slope * slope
+        w = w - 0.05 * (pull / (1 - 0.9**step)) / (np.sqrt(size / (1 - 0.99**step)) + 1e-8)
+    return w[:-1], float(w[-1])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -171,9 +170,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        grams = _Grams(m.params)
         for batch in in_slices(batches, 1024):
-            z = np.array([float(m.weight[grams(t)].sum(dtype=np.float64)) for t in texts(batch)]) + m.intercept
+            found = [_placed(t, m.place, m.params) for t in texts(batch)]
+            z = np.array([float(m.weight[at] @ n) for at, n in found]) + m.intercept
             score = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())],
