@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from counterfold.llm.common import read_table
 from counterfold.llm.html_extraction import extract_main_text
 from counterfold.llm.line_dedup import drop_repeated_lines
+from counterfold.llm.mixing import mix_units
 from counterfold.llm.packing import pack_documents
 from counterfold.llm.pii import find_personal_data
 from counterfold.llm.token_counts import count_tokens
@@ -68,3 +69,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix_units(docs).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
