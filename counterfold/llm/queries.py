@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from counterfold.llm.ann import approximate_top_k
 from counterfold.llm.common import read_table
+from counterfold.llm.exact_topk import exact_top_k
 from counterfold.llm.html_extraction import extract_main_text
 from counterfold.llm.line_dedup import drop_repeated_lines
 from counterfold.llm.mixing import mix_units
@@ -15,6 +17,7 @@ from counterfold.llm.packing import pack_documents
 from counterfold.llm.pii import find_personal_data
 from counterfold.llm.token_counts import count_tokens
 from counterfold.llm.toxicity import fit_toxicity, held_out, score_toxicity
+from counterfold.llm.vectors import usable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,3 +79,26 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix_units(docs).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+@query
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").where(usable(F.col("embedding"))).select(
+        "vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 64)).alias("vector"))
+    return exact_top_k(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
+SQL["op6_exact_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+
+@query
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    return approximate_top_k(vectors, F.col("vec_id") % 20 == 0, 20)
