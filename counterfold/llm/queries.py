@@ -13,6 +13,7 @@ from counterfold.llm.exact_topk import exact_top_k
 from counterfold.llm.html_extraction import extract_main_text
 from counterfold.llm.line_dedup import drop_repeated_lines
 from counterfold.llm.mixing import mix_units
+from counterfold.llm.ngram_join import near_duplicates
 from counterfold.llm.packing import pack_documents
 from counterfold.llm.pii import find_personal_data
 from counterfold.llm.token_counts import count_tokens
@@ -102,3 +103,8 @@ def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings").select(
         "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
     return approximate_top_k(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
+@query
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
