@@ -6,6 +6,7 @@ units, it never copies rounds.  Every estimator is an expression over the sums.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,31 +17,33 @@ from pyspark.sql import functions as F
 from counterfold.functions.hashing import hash32
 from counterfold.operators.ordering import dense_index
 
-#: Draws (replicates x units) up to which units are drawn one by one.
-MAX_DRAWS = 50_000_000
+#: How a replicate weights the units; a choice of the caller, never of the size.
+METHODS = ("percentile", "percentile_poisson")
 
 
 def replicate_sums(
     unit_stats: DataFrame, sums: list[str], n_bootstrap: int, seed: int, unit: str = "unit_id",
-    by: list[str] | None = None, max_draws: int = MAX_DRAWS,
+    by: list[str] | None = None, method: str = METHODS[0],
 ) -> tuple[DataFrame, str, int]:
-    """``(by..., rep, sums...)`` for every replicate, the method used and the unit count.
+    """``(by..., rep, sums...)`` for every replicate, the method and the unit count.
 
     A row of ``unit_stats`` stands for ``mult`` alike units (1 without that
     column) and holds the sums over all of them.
 
-    Up to ``max_draws`` draws: exactly ``n`` units with replacement per
-    replicate.  Beyond, each unit gets an independent Poisson(1) count, which
-    needs neither an index of the units nor a join; the method name says so.
+    ``percentile`` draws exactly ``n`` units with replacement per replicate;
+    ``percentile_poisson`` gives each unit an independent Poisson(1) count,
+    which needs neither an index of the units nor a join.
     """
+    if method not in METHODS:
+        raise ValueError(f"unknown bootstrap method {method!r}; one of {METHODS}")
     by = by or ["agent"]
     if "mult" not in unit_stats.columns:
         unit_stats = unit_stats.withColumn("mult", F.lit(1).cast("long"))
     ids = unit_stats.select(unit, "mult").distinct()
     n_units = int(ids.agg(F.coalesce(F.sum("mult"), F.lit(0))).first()[0])
-    if n_units * n_bootstrap <= max_draws:
-        return _drawn(unit_stats, ids, sums, n_bootstrap, seed, unit, by, n_units), "percentile", n_units
-    return _poisson(unit_stats, sums, n_bootstrap, seed, unit, by), "percentile_poisson", n_units
+    if method == "percentile":
+        return _drawn(unit_stats, ids, sums, n_bootstrap, seed, unit, by, n_units), method, n_units
+    return _poisson(unit_stats, sums, n_bootstrap, seed, unit, by), method, n_units
 
 
 def _drawn(unit_stats, ids, sums, n_bootstrap, seed, unit, by, n_units) -> DataFrame:
@@ -56,9 +59,15 @@ def _drawn(unit_stats, ids, sums, n_bootstrap, seed, unit, by, n_units) -> DataF
     return counts.join(unit_stats, unit).groupBy(*by, "rep").agg(*[F.sum(share * F.col(s)).alias(s) for s in sums])
 
 
-def _poisson(unit_stats, sums, n_bootstrap, seed, unit, by) -> DataFrame:
-    cdf = np.cumsum(np.exp(-1.0) / np.cumprod(np.maximum(np.arange(20), 1)))
+def _poisson_cdf(mean: int) -> tuple[int, np.ndarray]:
+    """A count and the cumulative probabilities from it on; what lies outside is below 1e-20."""
+    reach = 12 * math.sqrt(mean) + 30
+    k = np.arange(max(0, int(mean - reach)), int(mean + reach))
+    log_p = k * math.log(mean) - mean - np.array([math.lgamma(x + 1) for x in k.tolist()])
+    return int(k[0]), np.cumsum(np.exp(log_p))
+
 
+def _poisson(unit_stats, sums, n_bootstrap, seed, unit, by) -> DataFrame:
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[tuple, np.ndarray] = {}
         base = np.arange(n_bootstrap, dtype=np.uint64)[:, None]
@@ -71,12 +80,13 @@ def _poisson(unit_stats, sums, n_bootstrap, seed, unit, by) -> DataFrame:
                     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
                     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
                     z = z ^ (z >> np.uint64(31))
-                counts = np.searchsorted(cdf, (z >> np.uint64(11)) * 2.0**-53).astype(np.float64)
                 mult = piece["mult"].to_numpy(np.int64)
-                for j in np.flatnonzero(mult > 1):
+                counts = np.zeros(z.shape)
+                for m in np.unique(mult).tolist():
                     # the sum of m Poisson(1) counts is one Poisson(m) count
-                    keyed = np.random.Generator(np.random.Philox(key=[int(key[0, j]), seed]))
-                    counts[:, j] = keyed.poisson(mult[j], n_bootstrap) / mult[j]
+                    least, cdf = _poisson_cdf(m)
+                    alike = mult == m
+                    counts[:, alike] = (least + np.searchsorted(cdf, (z[:, alike] >> np.uint64(11)) * 2.0**-53)) / m
                 values = piece[sums].to_numpy(np.float64)
                 for group, rows in piece.reset_index(drop=True).groupby(by, sort=False).indices.items():
                     group = group if isinstance(group, tuple) else (group,)

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from counterfold.errors import refuse_if
 
-#: Rows a contexts x actions table may have before it is refused.
-CELL_BUDGET = 2_000_000_000
-
-
 def round_violations(rounds: DataFrame, n_actions: int) -> DataFrame:
     """Counts of rows breaking each rule of a rounds table."""
     bad_p = F.col("propensity").isNull() | ~((F.col("propensity") > 0) & (F.col("propensity") <= 1))
@@ -100,10 +96,7 @@ def inconsistent_contexts(rounds: DataFrame) -> DataFrame:
     )
 
 
-def plan_cells(n_contexts: int, n_actions: int, budget: int = CELL_BUDGET) -> int:
-    """Rows of a contexts x actions table, refused above the budget."""
-    cells = int(n_contexts) * int(n_actions)
-    refuse_if(cells > budget, "too_many_cells",
-              f"{n_contexts:,} contexts x {n_actions:,} actions = {cells:,} rows",
-              budget=budget)
-    return cells
+def planned_cells(contexts: DataFrame, actions: DataFrame) -> DataFrame:
+    """One row: how many rows a table of all contexts with all actions would have."""
+    return contexts.distinct().agg(F.count("*").alias("__c")).crossJoin(
+        actions.distinct().agg(F.count("*").alias("__a"))).select((F.col("__c") * F.col("__a")).alias("cells"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from counterfold.errors import refuse_if
 from counterfold.functions.skew import lookup_join
-from counterfold.operators.ordering import ONE_TASK_ROWS, dense_index
+from counterfold.operators.ordering import dense_index
 from counterfold.session import durable
 
 #: Code of a value the vocabulary does not hold.
@@ -20,10 +20,10 @@ def as_category(col: str | Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("nan"))
 
 
-def fit_vocabulary(df: DataFrame, column: str, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def fit_vocabulary(df: DataFrame, column: str) -> DataFrame:
     """``(column_name, value, code)`` with codes 0..k-1 in sorted value order."""
     distinct = df.select(as_category(column).alias("value")).distinct()
-    coded = dense_index(distinct, ["value"], "code", one_task_rows=one_task_rows)
+    coded = dense_index(distinct, ["value"], "code")
     return durable(coded.select(F.lit(column).alias("column_name"), "value", "code"))
 
 
@@ -70,7 +70,7 @@ def unknown_rate(df: DataFrame, vocab: DataFrame, columns: list[str]) -> DataFra
 
 
 def fit_index(
-    frames: list[DataFrame], column: str, one_task_rows: int = ONE_TASK_ROWS
+    frames: list[DataFrame], column: str
 ) -> DataFrame:
     """``(raw_id, idx)`` over the sorted distinct ids of all ``frames``.
 
@@ -82,7 +82,7 @@ def fit_index(
         part = frame.select(F.col(column).alias("raw_id")).filter(F.col("raw_id").isNotNull()).distinct()
         ids = part if ids is None else ids.unionByName(part)
     ids = ids.distinct() if len(frames) > 1 else ids
-    return durable(dense_index(ids, ["raw_id"], "idx", one_task_rows=one_task_rows))
+    return durable(dense_index(ids, ["raw_id"], "idx"))
 
 
 def apply_index(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from counterfold.errors import refuse_if
 from counterfold.functions.rows import one_row
 from counterfold.functions.skew import lookup_join
-from counterfold.operators.bootstrap import MAX_DRAWS, percentile_interval, replicate_sums
+from counterfold.operators.bootstrap import METHODS, percentile_interval, replicate_sums
 from counterfold.operators.checks import validate_policy
 from counterfold.operators.ordering import dense_index
 from counterfold.operators.propensity import ENUMERATED_ROUNDS_PER_CELL
@@ -449,12 +449,12 @@ def evaluate_policies(
     rounds: DataFrame, policies: DataFrame | None, n_actions: int, params: EvaluationParams,
     uniform: tuple[str, ...] = (), buckets: DataFrame | None = None, block: DataFrame | None = None,
     model: RewardModel | None = None, seed: int = 42, provenance: dict[str, object] | None = None,
-    max_draws: int = MAX_DRAWS, prior: float = PRIOR_WEIGHT,
+    method: str = METHODS[0], prior: float = PRIOR_WEIGHT,
 ) -> DataFrame:
     """Result rows: every estimator of every agent with its interval and provenance."""
     ev = prepare_evaluation(rounds, policies, n_actions, params, uniform, buckets, block, model, prior, seed)
     points = estimate(ev, params)
-    replicates, method, _ = replicate_sums(ev.unit_stats, _SUMS, params.n_bootstrap, seed, max_draws=max_draws)
+    replicates, method, _ = replicate_sums(ev.unit_stats, _SUMS, params.n_bootstrap, seed, method=method)
     replicates = durable(replicates)
     intervals = None
     for name in params.estimators:

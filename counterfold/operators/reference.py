@@ -134,14 +134,13 @@ def feature_adjusted_value(
 
 def personalisation_test(
     policy: DataFrame, block: DataFrame, weights: DataFrame, n_permutations: int = N_PERMUTATIONS,
-    seed: int = 42, bucket_rows: int = 50_000,
+    seed: int = 42,
 ) -> DataFrame:
     """Does it matter WHO gets which item?  A permutation test on the assignment.
 
     In every replicate the contexts are ranked by a hash; the context of rank i
     receives the action of the i-th context.  The multiset of actions is kept
-    exactly.  Ranks are taken in hash buckets of about ``bucket_rows``, so a
-    replicate is never sorted in one task.
+    exactly, and no replicate is sorted in one task.
     """
     cells = policy_cells(policy, block, weights)
     realised = weighted_masked_mean(cells, "reward", "n_rounds").select(F.col("value").alias("realised"))
@@ -150,7 +149,7 @@ def personalisation_test(
     drawn = indexed.select(
         "context_id", "n_rounds", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("rep")
     ).withColumn("__h", hash32(seed, "rep", "context_id"))
-    ranked = hashed_index(drawn, "__h", "context_id", "i", ["rep"], indexed.count(), bucket_rows)
+    ranked = hashed_index(drawn, "__h", "context_id", "i", ["rep"])
     shuffled = ranked.join(indexed.select("i", "action"), "i").join(_truth(block), ["context_id", "action"], "left")
     null = weighted_masked_mean(shuffled, "reward", "n_rounds", ("rep",)).filter(F.col("value").isNotNull())
     return null.join(one_row(realised), F.lit(True)).agg(

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from counterfold.functions.skew import lookup_join
-from counterfold.operators.checks import plan_cells
 
 #: Pseudo-observations that pull a thin (bucket, action) mean to the action's mean.
 PRIOR_WEIGHT = 10.0
@@ -79,7 +78,6 @@ def tabular_reward_model(
         *g, "context_id", "fold", F.concat_ws("|", "fold", "bucket").alias("model_key"), "bucket"
     )
     inputs = keyed.select(*g, "fold", "bucket", "model_key").distinct()
-    plan_cells(inputs.count(), n_actions)
     grid = inputs.withColumn("action", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_actions - 1).cast("long"))))
     p = F.lit(float(prior))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
@@ -103,7 +101,7 @@ def boosted_reward_model(
     """Boosted trees on [context, one-hot action], one fit per fold.
 
     The one-hot part is sparse.  Each context is scored once with all actions, by
-    the model that never saw it; the number of scored rows is checked first.
+    the model that never saw it.
     """
     spark = cells.sparkSession
     data = cells.join(features, "context_id").select(
@@ -117,7 +115,6 @@ def boosted_reward_model(
     assembler = VectorAssembler(inputCols=["x", "a"], outputCol="features")
     ready = assembler.transform(encoder_model.transform(data))
     contexts = cells.select("context_id", "fold").distinct()
-    plan_cells(contexts.count(), n_actions)
     scored = None
     for fold in ([0] if in_sample else range(n_folds)):
         fit_rows = ready if in_sample else ready.filter(F.col("fold") != fold)

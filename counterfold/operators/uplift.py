@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from counterfold.errors import refuse_if
 from counterfold.functions.hashing import hash32
 from counterfold.functions.statistics import correlation
-from counterfold.operators.ordering import ONE_TASK_ROWS, exact_quantiles, prefix_sums
+from counterfold.operators.ordering import exact_quantiles, prefix_sums
 from counterfold.operators.sampling import sample_exact
 
 # Thresholds a setup is judged by.
@@ -26,15 +26,11 @@ DEGENERATE = 1e-12
 
 def check_lineage(treatment: str, outcome: str, lineage: dict[str, list[str]] | None) -> None:
     """Refuse a treatment that the declared lineage derives from the outcome."""
-    lineage = lineage or {}
-    open_, seen = [treatment], set()
-    while open_:
-        column = open_.pop()
-        if column in seen:
-            continue
-        seen.add(column)
-        open_.extend(lineage.get(column, []))
-    refuse_if(outcome in seen, "treatment_from_outcome", f"{treatment} is derived from {outcome}")
+    sources = {treatment}
+    # the closure: add the inputs of all known sources until nothing is new
+    while more := {c for s in sources for c in (lineage or {}).get(s, ())} - sources:
+        sources |= more
+    refuse_if(outcome in sources, "treatment_from_outcome", f"{treatment} is derived from {outcome}")
 
 
 def causal_diagnostics(
@@ -185,11 +181,11 @@ def residual_learner(
 # ------------------------------------------------------------------ comparison
 
 
-def cate_summary(cate: DataFrame, by: str = "estimator", one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def cate_summary(cate: DataFrame, by: str = "estimator") -> DataFrame:
     """Distribution of the estimated effects, with a constant estimator made visible.
 
-    Up to ``one_task_rows`` rows the quartiles are an aggregate; beyond, they are
-    searched by rank for each estimator (of which there are a handful).
+    Quartiles are searched by rank for each estimator (of which there are a
+    handful; a null one counts as one of them).
     """
     c = F.col("cate")
     moments = cate.groupBy(by).agg(
@@ -198,14 +194,11 @@ def cate_summary(cate: DataFrame, by: str = "estimator", one_task_rows: int = ON
         F.avg((c > 0).cast("double")).alias("fraction_positive"),
     ).withColumn("is_degenerate", F.col("variance") < DEGENERATE)
     quartiles = (0.25, 0.5, 0.75)
-    if cate.limit(one_task_rows + 1).count() <= one_task_rows:
-        found = cate.groupBy(by).agg(F.percentile(c, F.array(*[F.lit(q) for q in quartiles])).alias("__q")).select(
-            by, *[F.col("__q")[i].alias(name) for i, name in enumerate(("q25", "median", "q75"))])
-    else:
-        names = [r[0] for r in cate.select(by).distinct().collect()]
-        rows = [(n, *exact_quantiles(cate.filter(F.col(by) == n), "cate", quartiles)) for n in names]
-        found = cate.sparkSession.createDataFrame(rows, f"{by} string, q25 double, median double, q75 double")
-    return moments.join(found, by)
+    names = [r[0] for r in cate.select(by).distinct().collect()]
+    rows = [(n, *exact_quantiles(cate.filter(F.col(by).eqNullSafe(F.lit(n))), "cate", quartiles)) for n in names]
+    found = cate.sparkSession.createDataFrame(
+        rows, f"__by {cate.schema[by].dataType.simpleString()}, q25 double, median double, q75 double")
+    return moments.join(F.broadcast(found), F.col(by).eqNullSafe(F.col("__by"))).drop("__by")
 
 
 def assert_finite(cate: DataFrame) -> DataFrame:
@@ -218,19 +211,18 @@ def assert_finite(cate: DataFrame) -> DataFrame:
 
 def qini(
     effects: DataFrame, key: str = "round_id", treatment: str = "treatment", outcome: str = "outcome",
-    by: tuple[str, ...] = (), one_task_rows: int | None = None,
+    by: tuple[str, ...] = (),
 ) -> DataFrame:
     """Normalised area between the targeting curve and random targeting.
 
     Units are ordered by descending effect (ties by key); the cumulative sums of
     both arms come from a distributed prefix sum.
     """
-    kw = {} if one_task_rows is None else {"one_task_rows": one_task_rows}
     t = F.col(treatment).cast("double")
     base = effects.select(
         *by, key, (-F.col("cate")).alias("__o"), t.alias("__t"), (1 - t).alias("__c"),
         (t * F.col(outcome)).alias("__yt"), ((1 - t) * F.col(outcome)).alias("__yc"))
-    cum = prefix_sums(base, ["__o", key], {"nt": "__t", "nc": "__c", "yt": "__yt", "yc": "__yc"}, "__i", by, **kw)
+    cum = prefix_sums(base, ["__o", key], {"nt": "__t", "nc": "__c", "yt": "__yt", "yc": "__yc"}, "__i", by)
     ratio = F.when(F.col("nc") > 0, F.col("nt") / F.col("nc")).otherwise(0.0)
     curve = cum.withColumn("u", F.col("yt") - F.col("yc") * ratio)
     # the random line sums to n * u_last / 2, whatever n is

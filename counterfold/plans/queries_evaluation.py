@@ -199,7 +199,7 @@ def variance_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("round_id", r9(ope.mrdr_weight(F.coalesce("prob", F.lit(0.0)))).alias("weight"))
 
 
-@query("OPE1", "OPE2", "OPE3", "OPE4", "OPE19", "OPE20", sql=ctes(EVENT_SPLIT, GREEDY) + _WEIGHTS + """
+@query("OPE1", "OPE2", "OPE3", "OPE4", sql=ctes(EVENT_SPLIT, GREEDY) + _WEIGHTS + """
 SELECT agent, count(*) AS n_samples, round(sum(w * reward) / count(*), 9) AS ipw, round(sum(w * reward) / sum(w), 9) AS snipw,
   round(sum(w) * sum(w) / sum(w * w), 6) AS effective_sample_size FROM w GROUP BY agent""")
 def weighted_policy_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,7 +377,7 @@ def ground_truth_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ intervals
 
 _DRAWS = f"""dr AS (SELECT rep, {hash32_sql(SEED, 'rep', 'j')} % (SELECT count(*) FROM un) AS i
-  FROM (SELECT unnest(range(20)) AS rep), (SELECT unnest(range((SELECT count(*) FROM un))) AS j))"""
+  FROM (SELECT unnest(range(100)) AS rep), (SELECT unnest(range((SELECT count(*) FROM un))) AS j))"""
 
 
 @query("OPE17", "WIN6", sql=ctes(EVENT_SPLIT, GREEDY) + _WEIGHTS + """, un AS (SELECT round_id, row_number() OVER (ORDER BY rep::VARCHAR, round_id) - 1 AS i FROM
@@ -386,7 +386,7 @@ _DRAWS = f"""dr AS (SELECT rep, {hash32_sql(SEED, 'rep', 'j')} % (SELECT count(*
 SELECT agent, round(quantile_cont(v, 0.025), 9) AS ci_lower, round(quantile_cont(v, 0.975), 9) AS ci_upper FROM rp GROUP BY agent""")
 def bootstrap_over_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _unit_stats(spark, sf_dir, "snipw")
-    reps, _, _ = bootstrap.replicate_sums(ev.unit_stats, ["w", "wr"], 20, SEED)
+    reps, _, _ = bootstrap.replicate_sums(ev.unit_stats, ["w", "wr"], 100, SEED)
     out = bootstrap.percentile_interval(reps, ope.snipw_value(), 0.95)
     return rounded(out.select("agent", "ci_lower", "ci_upper"), "ci_lower", "ci_upper")
 
@@ -401,16 +401,16 @@ def bootstrap_over_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pols = block_policy(block).withColumn("agent", F.lit("next_action"))
     params = EvaluationParams(estimators=("exact",))
     ev = ope.prepare_evaluation(rounds, pols, 5, params, block=block)
-    reps, _, _ = bootstrap.replicate_sums(ev.unit_stats, ["rsum", "rn"], 20, SEED)
+    reps, _, _ = bootstrap.replicate_sums(ev.unit_stats, ["rsum", "rn"], 100, SEED)
     out = bootstrap.percentile_interval(reps, ope.estimator_value("exact"), 0.95)
     return rounded(out.select("agent", "ci_lower", "ci_upper"), "ci_lower", "ci_upper")
 
 
 @query("OPE17", "OPE18")
 def poisson_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The form used beyond the draw budget: a Poisson count per unit and replicate."""
+    """The form without an index of the units: a Poisson count per unit and replicate."""
     ev = _unit_stats(spark, sf_dir, "snipw")
-    reps, method, _ = bootstrap.replicate_sums(ev.unit_stats, ["w", "wr"], 50, SEED, max_draws=0)
+    reps, method, _ = bootstrap.replicate_sums(ev.unit_stats, ["w", "wr"], 100, SEED, method="percentile_poisson")
     out = bootstrap.percentile_interval(reps, ope.snipw_value(), 0.95).withColumn("method", F.lit(method))
     return rounded(out.select("agent", "ci_lower", "ci_upper", "method"), "ci_lower", "ci_upper")
 
@@ -420,7 +420,7 @@ def evaluated_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete result rows on the block: all estimators, intervals, provenance."""
     _, block, rounds = block_rounds(spark, sf_dir)
     pols = block_policy(block).withColumn("agent", F.lit("next_action"))
-    params = EvaluationParams(estimators=("ipw", "snipw", "dm", "dr", "mrdr", "exact"), n_bootstrap=50)
+    params = EvaluationParams(estimators=("ipw", "snipw", "dm", "dr", "mrdr", "exact"), n_bootstrap=100)
     return ope.evaluate_policies(
         rounds, pols, 5, params, uniform=("random",), buckets=buckets_of(rounds), block=block,
         provenance={"dataset": "orders", "state_source": "raw_features", "propensity_source": "eval_block:enumerated_empirical"})
@@ -539,12 +539,11 @@ def reference_policy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = rows.withColumn("feature", (F.col("t") / 2.6e12) % 12)
     return reference.reference_report(
         {"next_action": durable(block_policy(block))}, block, durable(reference.context_weights(rounds)), train, 5,
-        n_permutations=50)
+        n_permutations=200)
 
 
 @query("CHK5", sql=ctes(EVENT_SPLIT) + "SELECT (SELECT count(DISTINCT context_id) FROM test) * (SELECT count(*) FROM acts) AS cells")
 def planned_grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The size of a contexts x actions table, checked before one is built."""
+    """The size of a contexts x actions table, counted before one is built."""
     _, test = event_train_test(spark, sf_dir)
-    n = checks.plan_cells(test.select("context_id").distinct().count(), n_events_actions(spark, sf_dir))
-    return spark.range(1).select(F.lit(n).cast("long").alias("cells"))
+    return checks.planned_cells(test.select("context_id"), table(spark, sf_dir, "events").select("event_type"))

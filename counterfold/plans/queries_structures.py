@@ -55,10 +55,10 @@ _GRAPH = """nu AS (SELECT (SELECT count(*) FROM customer) AS u, (SELECT count(*)
 fw AS (SELECT DISTINCT o_custkey AS src, l_partkey + u AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey, nu),
 ed AS (SELECT src, dst FROM fw UNION SELECT dst, src FROM fw),
 nd AS (SELECT unnest(range((SELECT u + i FROM nu))) AS node_id),
-ft AS (SELECT node_id, d, embedding[d + 1]::DOUBLE AS x FROM nd JOIN embeddings ON vec_id = node_id % (SELECT count(*) FROM embeddings),
+ft AS MATERIALIZED (SELECT node_id, d, embedding[d + 1]::DOUBLE AS x FROM nd JOIN embeddings ON vec_id = node_id % (SELECT count(*) FROM embeddings),
   (SELECT unnest(range(3)) AS d)),
 dg AS (SELECT src, count(*) AS degree FROM ed GROUP BY src),
-nm AS (SELECT ed.src, ed.dst, 1 / sqrt(a.degree::DOUBLE * b.degree) AS norm FROM ed JOIN dg a ON a.src = ed.src JOIN dg b ON b.src = ed.dst)"""
+nm AS MATERIALIZED (SELECT ed.src, ed.dst, 1 / sqrt(a.degree::DOUBLE * b.degree) AS norm FROM ed JOIN dg a ON a.src = ed.src JOIN dg b ON b.src = ed.dst)"""
 
 
 @query("GRA1", "GRA2", "D9", sql=ctes(_GRAPH) + "SELECT src, count(*) AS degree, CAST(sum(dst) AS BIGINT) AS neighbour_sum FROM ed GROUP BY src")
@@ -125,8 +125,8 @@ def neighbour_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(graph.aggregate_neighbours(normed, _node_features(spark, sf_dir), "norm"))
 
 
-_HOPS = """, h1 AS (SELECT ft.node_id, ft.d, coalesce(s, 0) AS x FROM ft LEFT JOIN (SELECT src AS node_id, d, sum(norm * x) AS s FROM nm JOIN ft ON node_id = dst GROUP BY ALL) USING (node_id, d)),
-h2 AS (SELECT ft.node_id, ft.d, coalesce(s, 0) AS x FROM ft LEFT JOIN (SELECT src AS node_id, d, sum(norm * x) AS s FROM nm JOIN h1 ON node_id = dst GROUP BY ALL) USING (node_id, d))"""
+_HOPS = """, h1 AS MATERIALIZED (SELECT ft.node_id, ft.d, coalesce(s, 0) AS x FROM ft LEFT JOIN (SELECT src AS node_id, d, sum(norm * x) AS s FROM nm JOIN ft ON node_id = dst GROUP BY ALL) USING (node_id, d)),
+h2 AS MATERIALIZED (SELECT ft.node_id, ft.d, coalesce(s, 0) AS x FROM ft LEFT JOIN (SELECT src AS node_id, d, sum(norm * x) AS s FROM nm JOIN h1 ON node_id = dst GROUP BY ALL) USING (node_id, d))"""
 
 
 @query("GRA8", sql=ctes(_GRAPH) + _HOPS + """
@@ -260,7 +260,7 @@ SELECT action, max(i) AS last_index, round(sum(cum), 3) AS area FROM s GROUP BY
 def running_reward_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative reward over time per action, by the distributed prefix sum."""
     out = prefix_sums(line_rounds(spark, sf_dir).select("action", "t", "round_id", "reward"), ["t", "round_id"],
-                      {"cum": "reward"}, "i", group=["action"], one_task_rows=0)
+                      {"cum": "reward"}, "i", group=["action"])
     return out.groupBy("action").agg(F.max("i").alias("last_index"), r9(F.sum("cum"), 3).alias("area"))
 
 

@@ -76,12 +76,28 @@ def read_bandit_log(
     refuse_if(campaign not in CAMPAIGNS, "unknown_campaign", campaign)
     path = f"{root}/{policy}/{campaign}/{campaign}.csv"
     log = _typed_csv(spark, path, _BANDIT_TYPES, BANDIT_REQUIRED, ("user-item_affinity",), types)
+    if "timestamp" not in (types or {}):
+        log = typed_timestamps(log, "timestamp", path)
     if subsample_rows is None:
         return log
     refuse_if(row_key is None, "missing_row_key", "sampling needs a unique row key")
     return sample_exact(log, subsample_rows, seed, row_key)
 
 
+def typed_timestamps(df: DataFrame, column: str, where: str = "the input") -> DataFrame:
+    """Times given as text as what all of them are: long, double or timestamp; refused if neither.
+
+    Text would order "10" before "2".  Null times stay null and order last.
+    """
+    text = F.trim(F.col(column))
+    forms = {"bigint": text.try_cast("bigint"), "double": text.try_cast("double"), "timestamp": text.try_cast("timestamp")}
+    given = F.col(column).isNotNull()
+    row = df.agg(*[F.count_if(given & value.isNull()).alias(name) for name, value in forms.items()]).first()
+    fitting = next((name for name in forms if row[name] == 0), None)
+    refuse_if(fitting is None, "bad_timestamp", f"{where} has times in no single form", unparsed=row["timestamp"])
+    return df.withColumn(column, forms[fitting])
+
+
 def with_watch_reward(matrix: DataFrame, threshold: float = REWARD_THRESHOLD) -> DataFrame:
     """Binary reward: the item was watched at least ``threshold`` times over."""
     return matrix.withColumn("reward", (F.col("watch_ratio") >= F.lit(threshold)).cast("double"))

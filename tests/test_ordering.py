@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from counterfold.functions.hashing import hash32
 from counterfold.functions.skew import spread_join
 from counterfold.operators.ordering import (
-    average_rank, dense_index, extent, hashed_index, key_before, order_boundaries, prefix_sums,
+    average_rank, dense_index, exact_quantiles, extent, hashed_index, key_before, order_boundaries, prefix_sums,
 )
 from counterfold.operators.sampling import sample_by_chunk, sample_exact
 
@@ -24,30 +24,27 @@ def pdf(rows):
     return rows.toPandas()
 
 
-@pytest.mark.parametrize("one_task", [0, 10_000])
-def test_dense_index_is_the_sorted_position(rows, pdf, one_task):
-    out = dense_index(rows, ["v", "id"], "i", one_task_rows=one_task).toPandas().sort_values("i")
+def test_dense_index_is_the_sorted_position(rows, pdf):
+    out = dense_index(rows, ["v", "id"], "i").toPandas().sort_values("i")
     want = pdf.sort_values(["v", "id"])
     assert out["id"].tolist() == want["id"].tolist()
     assert out["i"].tolist() == list(range(len(want)))
 
 
 def test_dense_index_per_group_spans_slices(rows, pdf):
-    out = dense_index(rows.withColumn("g", F.lit(1)), ["v", "id"], "i", group=["g"], one_task_rows=0).toPandas()
+    out = dense_index(rows.withColumn("g", F.lit(1)), ["v", "id"], "i", group=["g"]).toPandas()
     assert sorted(out["i"]) == list(range(len(pdf)))
 
 
-@pytest.mark.parametrize("bucket_rows", [50_000, 100])
-def test_hashed_index_counts_through_buckets(rows, bucket_rows):
+def test_hashed_index_counts_through_slices(rows):
     hashed = rows.withColumn("h", hash32(1, "id"))
-    out = hashed_index(hashed, "h", "id", "i", ["g"], bucket_rows=bucket_rows).toPandas()
+    out = hashed_index(hashed, "h", "id", "i", ["g"]).toPandas()
     want = out.sort_values(["g", "h", "id"]).groupby("g").cumcount()
     assert (out.loc[want.index, "i"] == want).all()
 
 
-@pytest.mark.parametrize("one_task", [0, 10_000])
-def test_prefix_sums_per_group(rows, pdf, one_task):
-    out = prefix_sums(rows, ["v", "id"], {"s": "v"}, "i", group=["g"], one_task_rows=one_task).toPandas()
+def test_prefix_sums_per_group(rows, pdf):
+    out = prefix_sums(rows, ["v", "id"], {"s": "v"}, "i", group=["g"]).toPandas()
     want = pdf.sort_values(["g", "v", "id"])
     want["s"] = want.groupby("g")["v"].cumsum()
     out = out.sort_values(["g", "v", "id"])
@@ -109,3 +106,38 @@ def test_chunked_sample_takes_the_rounded_share_of_each_chunk(rows):
     out = sample_by_chunk(rows, 600, 3, "id", chunk_rows=1000)
     per_chunk = out.groupBy(F.floor(F.col("id") / 1000)).count().collect()
     assert {r["count"] for r in per_chunk} == {100}
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_null_groups_and_layouts(spark, parts):
+    """A null group is a group; results don't depend on the number of partitions."""
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        g = F.when(F.col("id") % 10 == 0, None).otherwise(F.col("id") % 3)
+        df = spark.range(12_000).select("id", g.alias("g"), F.when(F.col("id") % 5 == 0, None).otherwise(F.col("id") % 7).alias("v"))
+        out = prefix_sums(df.repartition(parts), ["id"], {"s": "v"}, "i", group=["g"]).toPandas().sort_values("id")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    pdf = df.toPandas().sort_values("id")
+    by = pdf.groupby("g", dropna=False)
+    assert len(out) == 12_000 and (out["i"].to_numpy() == by.cumcount().to_numpy()).all()
+    want = pdf.assign(v=pdf["v"].fillna(0)).groupby("g", dropna=False)["v"].cumsum()
+    assert (out["s"].to_numpy() == want.to_numpy()).all()
+
+
+def test_ranks_of_null_nan_and_infinite_keys(spark):
+    special = {0: None, 1: float("nan"), 2: float("inf"), 3: float("-inf")}
+    rows = [(special.get(i % 40, float((i * 7919) % 10_007) - 5000), i) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "x double, id long").repartition(6)
+    order = lambda r: (r[0] is None, (r[0] != r[0], 0 if r[0] != r[0] else r[0]) if r[0] is not None else (), r[1])
+    want = sorted(rows, key=order)
+    ranks = [0, 150, 299, 300, 301, 5000, 11_399, 11_400, 11_699, 11_700, 11_999]
+    for rank, key in zip(ranks, order_boundaries(df, ["x", "id"], ranks), strict=True):
+        before = {r["id"] for r in df.filter(key_before(["x", "id"], key)).select("id").collect()}
+        assert before == {i for _, i in want[:rank]}
+    low, middle, high = exact_quantiles(df.where("NOT isnan(x)"), "x", [0.0, 0.5, 1.0])
+    assert (low, high) == (float("-inf"), float("inf")) and abs(middle) < 5100
+
+
+def test_quantiles_without_rows(spark):
+    assert exact_quantiles(spark.range(3).select(F.lit(None).cast("double").alias("x")), "x", [0.5]) == [None]
