@@ -55,6 +55,11 @@ _DOT = re.compile(rf"\s?{_AROUND % r'(?:dot|point|\.)'}\s?", re.I)
 _BARE = re.compile(
     r"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9_%+-]+(?:(?:\.|\sdot\s)[A-Za-z0-9_%+-]+){0,3}+)(?P<at>\sat\s|@)"
     r"(?P<host>[A-Za-z0-9-]+(?:(?:\.|\sdot\s)[A-Za-z0-9-]+){0,4})(?P<dot>\sdot\s)(?P<top>[A-Za-z]{2,12})\b", re.I)
+#: Last names of domains that bare words may end in; words of common
+#: languages ("on", "it", "in", ...) are left out.
+_TOPS = frozenset(
+    "ar au biz br ca ch cl cn co com cz de dk edu es eu fi fr gov gr hu ie info int io jp kr mil mobi mx name net nl nz "
+    "org pl pt ru se tech tv ua uk za app blog cloud dev online shop site store xyz example test".split())
 _IN_WORDS = re.compile(r"\sdot\s", re.I)
 _TRIGGER = re.compile(r"[\])}>]|\sdot\s|\s@|@\s", re.I)
 _PLUS = re.compile(r"\bplus[\s-]{1,3}(?=[0-9])", re.I)
@@ -138,6 +143,8 @@ def _at_dot_edits(text: str) -> list[tuple[int, int, str]]:
 def _bare_edits(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in _BARE.finditer(text):
+        if m["at"] != "@" and m["top"].lower() not in _TOPS:
+            continue
         edits.append((*m.span("at"), "@"))
         edits += [(d.start(), d.end(), ".") for d in _IN_WORDS.finditer(text, m.start(), m.end())]
     return edits
