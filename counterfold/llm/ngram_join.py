@@ -32,7 +32,7 @@ NUM, DEN = 3, 4
 #: n-grams known to be frequent, at most: they only come last in the order of a prefix.
 FREQUENT = 131_072
 #: An n-gram is reported by a task that meets it so often in this many n-grams.
-LOCAL_TIMES, LOCAL_GRAMS = 6, 4_000_000
+LOCAL_TIMES, LOCAL_GRAMS = 5, 2_000_000
 #: Lists up to this length are joined pair by pair; entries in a block of longer ones.
 SHORT_LIST, BLOCK = 24, 1_024
 #: Leaders of each block that all its sets are compared with first.
@@ -48,7 +48,7 @@ _MULTIPLIERS = np.array(
 class Shingler:
     """Distinct hashed word n-grams of a text, as sorted unsigned 64-bit numbers."""
 
-    def __init__(self, words: int = 5, limit: int = 500_000) -> None:
+    def __init__(self, words: int = 5, limit: int = 400_000) -> None:
         self.words, self.limit = words, limit
         self.known: dict[bytes, int] = {}
 
@@ -185,9 +185,9 @@ def _listed(pairs: np.ndarray, blocks: list[tuple]) -> pa.RecordBatch:
         names=["a", "b", "gram", "places", "ids", "place0", "id0"])
 
 
-def _as_blocks(gram: int, place: np.ndarray, ids: np.ndarray) -> list[tuple]:
-    return [(gram, place[s:s + BLOCK].tobytes(), ids[s:s + BLOCK].tobytes(), int(place[s]), int(ids[s]))
-            for s in range(0, len(ids), BLOCK)]
+def _as_blocks(gram: int, place: np.ndarray, ids: np.ndarray, block: int) -> list[tuple]:
+    return [(gram, place[s:s + block].tobytes(), ids[s:s + block].tobytes(), int(place[s]), int(ids[s]))
+            for s in range(0, len(ids), block)]
 
 
 def _pairs_of_runs(place: np.ndarray, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -205,41 +205,44 @@ def _pairs_of_runs(place: np.ndarray, ids: np.ndarray, starts: np.ndarray, lengt
     return np.unique(found, axis=0) if len(found) else found
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lists(short_list: int, block: int):
     """Sorted entries to pairs of short lists and blocks of long ones.
 
     The first and the last list of a partition may go on in the next, so they
     become blocks whatever their length.
     """
-    held = None  # the last list so far, which may go on
-    first = True
-    for batch in batches:
-        gram, place, ids = (batch.column(c).to_numpy().astype(np.int64) for c in ("gram", "place", "id"))
-        if not len(gram):
-            continue
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last list so far, which may go on
+        first = True
+        for batch in batches:
+            gram, place, ids = (batch.column(c).to_numpy().astype(np.int64) for c in ("gram", "place", "id"))
+            if not len(gram):
+                continue
+            if held is not None:
+                if held[0][0] == gram[0] and len(held[0]) >= block:  # a long list goes on: pass on what is full
+                    yield _listed(np.zeros((0, 2), np.int64), _as_blocks(int(held[0][0]), held[1], held[2], block))
+                    held, first = None, True
+                else:
+                    gram, place, ids = np.concatenate([held[0], gram]), np.concatenate([held[1], place]), np.concatenate([held[2], ids])
+            starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            lengths = np.diff(np.append(starts, len(gram)))
+            blocks: list[tuple] = []
+            last = starts[-1]
+            held = (gram[last:], place[last:], ids[last:])
+            starts, lengths = starts[:-1], lengths[:-1]
+            if first and len(starts):
+                blocks += _as_blocks(int(gram[0]), place[:lengths[0]], ids[:lengths[0]], block)
+                starts, lengths, first = starts[1:], lengths[1:], False
+            for s, n in zip(starts[lengths > short_list].tolist(), lengths[lengths > short_list].tolist(), strict=True):
+                blocks += _as_blocks(int(gram[s]), place[s:s + n], ids[s:s + n], block)
+            short = lengths <= short_list
+            pairs = _pairs_of_runs(place, ids, starts[short], lengths[short])
+            if len(pairs) or blocks:
+                yield _listed(pairs, blocks)
         if held is not None:
-            if held[0][0] == gram[0] and len(held[0]) >= BLOCK:  # a long list goes on: pass on what is full
-                yield _listed(np.zeros((0, 2), np.int64), _as_blocks(int(held[0][0]), held[1], held[2]))
-                held, first = None, True
-            else:
-                gram, place, ids = np.concatenate([held[0], gram]), np.concatenate([held[1], place]), np.concatenate([held[2], ids])
-        starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-        lengths = np.diff(np.append(starts, len(gram)))
-        blocks: list[tuple] = []
-        last = starts[-1]
-        held = (gram[last:], place[last:], ids[last:])
-        starts, lengths = starts[:-1], lengths[:-1]
-        if first and len(starts):
-            blocks += _as_blocks(int(gram[0]), place[:lengths[0]], ids[:lengths[0]])
-            starts, lengths, first = starts[1:], lengths[1:], False
-        for s, n in zip(starts[lengths > SHORT_LIST].tolist(), lengths[lengths > SHORT_LIST].tolist(), strict=True):
-            blocks += _as_blocks(int(gram[s]), place[s:s + n], ids[s:s + n])
-        short = lengths <= SHORT_LIST
-        pairs = _pairs_of_runs(place, ids, starts[short], lengths[short])
-        if len(pairs) or blocks:
-            yield _listed(pairs, blocks)
-    if held is not None:
-        yield _listed(np.zeros((0, 2), np.int64), _as_blocks(int(held[0][0]), held[1], held[2]))
+            yield _listed(np.zeros((0, 2), np.int64), _as_blocks(int(held[0][0]), held[1], held[2], block))
+    return run
 
 
 def _mixed(ids: np.ndarray) -> np.ndarray:
@@ -293,14 +296,14 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     [pa.array(pairs[s:s + 100_000, 0]), pa.array(pairs[s:s + 100_000, 1])], names=["a", "b"])
 
 
-def _sets(words: int):
+def _sketches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in in_slices(batches, 256):
             got = [shingle(t) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in got], pa.int64()), pa.array([_sketch(s) for s in got], pa.binary()),
-                 pa.array([s.tobytes() for s in got], pa.binary())], names=["id", "n", "sketch", "grams"])
+                [batch.column("doc_id"), pa.array([len(s) for s in got], pa.int64()), pa.array([_sketch(s) for s in got], pa.binary())],
+                names=["id", "n", "sketch"])
     return run
 
 
@@ -315,30 +318,40 @@ def _sketches_allow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in in_slices(batches, 512):
-        differ, linked = [], []
-        for x, y in zip(batch.column("grams_a").to_pylist(), batch.column("grams_b").to_pylist(), strict=True):
-            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = np.concatenate([a, b])
-            both.sort(kind="stable")
-            overlap = int((both[1:] == both[:-1]).sum())
-            differ.append(len(a) + len(b) - 2 * overlap)
-            linked.append(_linked(overlap, len(a), len(b)))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("a"), batch.column("b"), pa.array(differ, pa.int64()), pa.array(linked, pa.bool_())],
-            names=["a", "b", "differ", "linked"])
+def _overlaps(words: int):
+    """Exact symmetric differences of pairs of texts; rows come sorted by ``b``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, last, b = Shingler(words), None, np.zeros(0, np.uint64)
+        for batch in in_slices(batches, 256):
+            differ, linked = [], []
+            for x, y in zip(texts(batch, "text_a"), texts(batch, "text_b"), strict=True):
+                if y != last:
+                    last, b = y, shingle(y)
+                a = shingle(x)
+                both = np.concatenate([a, b])
+                both.sort(kind="stable")
+                overlap = int((both[1:] == both[:-1]).sum())
+                differ.append(len(a) + len(b) - 2 * overlap)
+                linked.append(_linked(overlap, len(a), len(b)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(differ, pa.int64()), pa.array(linked, pa.bool_())],
+                names=["a", "b", "differ", "linked"])
+    return run
 
-def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a``, ``b``, ``differ`` (symmetric difference) and ``linked`` of the pairs that their sketches allow."""
-    light = sets.select("id", "n", "sketch")
+
+def _compare(pairs: DataFrame, light: DataFrame, full: DataFrame, words: int) -> DataFrame:
+    """``a``, ``b``, ``differ`` (symmetric difference) and ``linked`` of the pairs that their sketches allow.
+
+    Texts travel to the comparison rather than sets of hashes: they are shorter, and they compress.
+    """
     one = light.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
     two = light.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
     left = durable(pairs.join(one, "a").join(two, "b").mapInArrow(_sketches_allow, "a long, b long"))
-    full_one = sets.select(F.col("id").alias("a"), F.col("grams").alias("grams_a"))
-    full_two = sets.select(F.col("id").alias("b"), F.col("grams").alias("grams_b"))
-    return durable(left.join(full_one, "a").join(full_two, "b").mapInArrow(_overlaps, "a long, b long, differ long, linked boolean"))
+    full_one = full.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    full_two = full.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    return durable(left.join(full_one, "a").join(full_two, "b").mapInArrow(
+        _overlaps(words), "a long, b long, differ long, linked boolean"))
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
@@ -350,10 +363,11 @@ def _possible(ids: DataFrame):
     """A filter of 8 MB, whatever the number of ids: what it refuses is not among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.zeros(_FILTER_BITS, bool)
+        have = np.zeros(_FILTER_BITS // 8, np.uint8)
         for batch in batches:
-            have[_bits(batch.column("id").to_numpy().astype(np.int64)).ravel()] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(have).tobytes()], pa.binary())], names=["bits"])
+            at = _bits(batch.column("id").to_numpy().astype(np.int64)).ravel().astype(np.int64)
+            np.bitwise_or.at(have, at >> 3, (1 << (7 - (at & 7))).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([have.tobytes()], pa.binary())], names=["bits"])
 
     total = np.zeros(_FILTER_BITS // 8, np.uint8)
     for r in ids.coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
@@ -369,7 +383,7 @@ def _only(possible):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, short_list: int = SHORT_LIST, block: int = BLOCK) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs`` (``doc_id``, ``text``).
 
     Words are runs of other than ASCII white space with A-Z lower-cased; a
@@ -378,8 +392,8 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     3/4; ``component_id`` is the least ``doc_id`` that links reach.  Texts that
     are null, empty or without words have an empty set and link with nothing.  A row without an id
     links with nothing and has a null ``component_id``.  Rows that repeat are
-    returned each; rows of one id with several texts count as one document for
-    linking only through equal sets.  No rows give none; other columns are ignored.
+    returned each; rows of one id with several texts are one document that
+    links by any of them.  No rows give none; other columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -391,7 +405,7 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     order = ["gram", "place", "id"]
     listed = durable(
         firsts.mapInArrow(_entries, "gram long, place long, id long").repartitionByRange(*order)
-        .sortWithinPartitions(*order).mapInArrow(_lists, _LISTED))
+        .sortWithinPartitions(*order).mapInArrow(_lists(short_list, block), _LISTED))
     pairs = durable(listed.where(F.col("a").isNotNull()).select("a", "b").distinct())
     blocks = listed.where(F.col("ids").isNotNull()).drop("a", "b")
     heads = blocks.groupBy("gram").agg(
@@ -408,10 +422,10 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     active = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(in_blocks.select("id")).distinct())
     possible = _possible(active)
     picked = docs.mapInArrow(_only(possible), "doc_id long, text string")
-    sets = durable(picked.join(active, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(
-        _sets(words), "id long, n long, sketch binary, grams binary").dropDuplicates(["id"]))
+    full = durable(picked.join(active, F.col("doc_id") == F.col("id"), "left_semi"))
+    light = durable(full.mapInArrow(_sketches(words), "id long, n long, sketch binary"))
 
-    answers = _compare(star, sets)
+    answers = _compare(star, light, full, words)
     labels = connected_components(answers.where("linked").select("a", "b"))
     label_of = active.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("label"))
     label_of = durable(label_of)
@@ -432,7 +446,7 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     apart = pairs.join(label_of.select(F.col("id").alias("a"), F.col("label").alias("label_a")), "a").join(
         label_of.select(F.col("id").alias("b"), F.col("label").alias("label_b")), "b").where("label_a <> label_b").select("a", "b")
     rest = durable(across.unionByName(apart).distinct().join(answers.select("a", "b"), ["a", "b"], "left_anti"))
-    more = _compare(rest, sets)
+    more = _compare(rest, light, full, words)
     links = answers.unionByName(more).where("linked").select("a", "b")
     component = connected_components(links)
     of_class = classes.join(component, classes["rep"] == component["id"], "left").select(
