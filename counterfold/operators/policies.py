@@ -22,6 +22,7 @@ from counterfold.errors import refuse_if
 from counterfold.functions.rows import one_row
 from counterfold.operators.propensity import BehaviourPolicy, score_cells
 from counterfold.params import PolicyParams
+from counterfold.session import durable
 
 #: Bytes of arm parameters sent to executors at once; more arms go in shards.
 ARM_BROADCAST_BYTES = 128 * 1024 * 1024
@@ -168,12 +169,14 @@ def linucb_statistics(rounds: DataFrame, dim: int) -> DataFrame:
                 raise ValueError(f"context has {x.shape[1]} entries, expected {dim}")
             r = batch["reward"].to_numpy(np.float64)
             a = batch["action"].to_numpy()
-            for arm in np.unique(a):
-                mine = a == arm
-                arm = int(arm)
-                xx[arm] = xx.get(arm, 0.0) + x[mine].T @ x[mine]
-                xr[arm] = xr.get(arm, 0.0) + x[mine].T @ r[mine]
-                n[arm] = n.get(arm, 0) + int(mine.sum())
+            order = np.argsort(a, kind="stable")
+            x, r, a = x[order], r[order], a[order]
+            ends = np.append(np.flatnonzero(a[1:] != a[:-1]) + 1, len(a)).tolist()
+            for start, end in zip([0, *ends[:-1]], ends, strict=True):
+                arm, mine = int(a[start]), x[start:end]
+                xx[arm] = xx.get(arm, 0.0) + mine.T @ mine
+                xr[arm] = xr.get(arm, 0.0) + mine.T @ r[start:end]
+                n[arm] = n.get(arm, 0) + end - start
         if n:
             yield rows()
 
@@ -226,6 +229,7 @@ def linucb_decide(
     spark = contexts.sparkSession
     per_shard = max(1, broadcast_bytes // (8 * (dim * dim + dim)))
     best = None
+    arms = durable(arms)  # fitted once, whatever the number of shards
     for first in range(0, n_actions, per_shard):
         shard = arms.filter(F.col("action").between(first, first + per_shard - 1)).orderBy("action").toPandas()
         payload = spark.sparkContext.broadcast((

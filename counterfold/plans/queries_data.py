@@ -14,7 +14,7 @@ from counterfold.plans.prepare import describe_matrix, prepare, rounds_summary
 from counterfold.plans.registry import (
     BLOCK, EVENT_ROUNDS, EVENT_SPLIT, LINE_ROUNDS, ctes, query, r9, rounded,
 )
-from counterfold.session import scratch_path
+from counterfold.session import durable, scratch_path
 from counterfold.sources import logs, results
 from counterfold.sources.tables import (
     event_rounds, line_rounds, order_rows, purchase_pairs, table, user_contexts,
@@ -25,7 +25,8 @@ SEED = 42
 
 
 def event_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.split_rows(event_rounds(spark, sf_dir), BY_TIME, check=False)
+    # written once: a query reads its parts, policies and contexts from it
+    return durable(splits.split_rows(event_rounds(spark, sf_dir), BY_TIME, check=False))
 
 
 def n_events_actions(spark: SparkSession, sf_dir: str) -> int:

@@ -15,7 +15,7 @@ from counterfold.plans.registry import (
     BLOCK, EVENT_ROUNDS, EVENT_SPLIT, GREEDY, LINE_ROUNDS, ctes, query, r9, rounded,
 )
 from counterfold.session import durable
-from counterfold.sources.tables import event_rounds, line_rounds, order_rows, user_contexts
+from counterfold.sources.tables import event_rounds, line_rounds, order_rows, table, user_contexts
 
 _ENUM = ctes(EVENT_SPLIT, GREEDY)
 

@@ -17,26 +17,23 @@ from counterfold.sources.logs import _exists
 def running_estimates(rounds: DataFrame, policies: DataFrame) -> DataFrame:
     """IPW, SNIPW and ESS per agent so far; ``rounds`` may be a stream.
 
-    The state is one row of sums per agent.  Every agent's weight is zero where
-    its policy has no row, so the agents are attached to each round as one array
-    per (context, action) rather than by repeating the round.
+    The state is one row with the sums of every agent.  The agents of a (context,
+    action) travel with the round as one array, so no round is repeated; an
+    agent's weight is zero where its policy has no row.
     """
     per_cell = policies.groupBy("context_id", "action").agg(
-        F.collect_list(F.struct("agent", "prob")).alias("mine"))
+        F.map_from_entries(F.collect_list(F.struct("agent", "prob"))).alias("mine"))
     joined = rounds.join(per_cell, ["context_id", "action"], "left")
-    agents = policies.select("agent").distinct()
-    names = [r["agent"] for r in agents.orderBy("agent").collect()]
-    every = F.array(*[F.lit(n) for n in names])
-    probability = F.aggregate(
-        F.filter(F.coalesce("mine", F.array().cast("array<struct<agent:string,prob:double>>")),
-                 lambda m: m["agent"] == F.col("agent")),
-        F.lit(0.0), lambda a, m: a + m["prob"])
-    weighted = joined.select("reward", "propensity", "mine", F.explode(every).alias("agent")).withColumn(
-        "w", probability / F.greatest("propensity", F.lit(EPSILON)))
-    return weighted.groupBy("agent").agg(
-        F.count("*").alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("w2"),
-        F.sum(F.col("w") * F.col("reward")).alias("wr"),
-    ).select("agent", "n", ipw_value().alias("ipw"), snipw_value().alias("snipw"), kish_ess().alias("ess"))
+    names = [r["agent"] for r in policies.select("agent").distinct().orderBy("agent").collect()]
+    sums = [F.count("*").alias("n")]
+    for i, name in enumerate(names):
+        w = F.coalesce(F.try_element_at("mine", F.lit(name)), F.lit(0.0)) / F.greatest("propensity", F.lit(EPSILON))
+        sums += [F.sum(w).alias(f"w_{i}"), F.sum(w * w).alias(f"w2_{i}"), F.sum(w * F.col("reward")).alias(f"wr_{i}")]
+    each = F.array(*[F.struct(
+        F.lit(name).alias("agent"), F.col("n"), *[F.col(f"{c}_{i}").alias(c) for c in ("w", "w2", "wr")])
+        for i, name in enumerate(names)])
+    return joined.agg(*sums).select(F.explode(each).alias("a")).select("a.*").select(
+        "agent", "n", ipw_value().alias("ipw"), snipw_value().alias("snipw"), kish_ess().alias("ess"))
 
 
 class StoredState:
