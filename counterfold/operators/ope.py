@@ -465,6 +465,8 @@ def evaluate_policies(
     lost = has_value & (F.col("undefined") > 0)
     out = points.join(intervals, ["agent", "estimator"], "left").withColumn(
         "warnings", F.when(lost, F.array_append("warnings", F.lit(NO_INTERVAL))).otherwise(F.col("warnings"))
+    ).withColumn("detail", F.when(lost & F.col("detail").isNull(), F.concat(
+        F.lit("no interval: "), "undefined", F.lit(f" of {params.n_bootstrap} replicates have no value"))).otherwise(F.col("detail"))
     ).withColumn("ci_lower", F.when(has_value, F.col("ci_lower"))).withColumn(
         "ci_upper", F.when(has_value, F.col("ci_upper"))
     ).withColumn("low_ess", F.col("effective_sample_size") < LOW_ESS_SHARE * F.col("n_samples"))

@@ -135,7 +135,9 @@ def dataset_summary(
     return out.join(one_row(graph.agg(F.count("*").alias("graph_edges"))), F.lit(True))
 
 
-def describe_matrix(frame: DataFrame, item: str, reward: str) -> DataFrame:
-    """Rows, positive rate and distinct items of a raw frame."""
+def describe_matrix(frame: DataFrame, item: str, reward: str, propensity: str | None = None) -> DataFrame:
+    """Rows, positive rate, distinct items and, where logged, the propensity range of a raw frame."""
+    logged = [] if propensity is None else [
+        F.min(propensity).alias("propensity_min"), F.max(propensity).alias("propensity_max")]
     return frame.agg(F.count("*").alias("n_rows"), F.avg(reward).alias("positive_rate"),
-                     F.count_distinct(item).alias("n_items"))
+                     F.count_distinct(item).alias("n_items"), *logged)

@@ -455,6 +455,14 @@ def log_description(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(describe_matrix(line_rounds(spark, sf_dir), "action", "reward"), "positive_rate")
 
 
+@query("SUM2", sql=ctes(EVENT_SPLIT) + """SELECT count(*) AS n_rows, round(avg(reward), 9) AS positive_rate, count(DISTINCT action) AS n_items,
+  round(min(propensity), 9) AS propensity_min, round(max(propensity), 9) AS propensity_max FROM test""")
+def scored_log_description(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log with propensities: click rate and propensity range as well."""
+    test = propensity.enumerated_propensities(event_parts(spark, sf_dir).filter("part <> 'train'"))
+    return rounded(describe_matrix(test, "action", "reward", "propensity"), "positive_rate", "propensity_min", "propensity_max")
+
+
 # ------------------------------------------------------------------ propensities
 
 _BEHAVIOUR = """bp AS (SELECT user_idx, action, count(*) AS n_pair FROM train GROUP BY ALL),

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from counterfold.errors import AnalysisRefused
 from counterfold.functions.hashing import hash32_sql
 from counterfold.functions.rows import one_row
 from counterfold.operators import graph, ope, policies, rollup, splits, uplift
@@ -361,6 +362,24 @@ def aggregated_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "mean", "std", "ci_lower", "ci_upper", "ess")
 
 
+@query("RES4", sql=ctes(_RES) + """SELECT experiment, count(*) AS n_cells, false AS refused FROM cl GROUP BY experiment
+UNION ALL SELECT 'all together', count(*), count(DISTINCT experiment) > 1 FROM cl""")
+def cells_of_one_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of each experiment pass into a table of their own; all together are refused."""
+    cells = durable(_cells(spark, sf_dir).select("experiment"))
+    tables = {r[0]: cells.filter(F.col("experiment") == r[0]) for r in cells.distinct().collect()}  # the experiments of a report
+    out = None
+    for name, part in {**tables, "all together": cells}.items():
+        try:
+            rollup.one_group(part)
+            refused = False
+        except AnalysisRefused:
+            refused = True
+        row = part.agg(F.count("*").alias("n_cells")).select(F.lit(name).alias("experiment"), "n_cells", F.lit(refused).alias("refused"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 _FAMILY = "regexp_replace(experiment, '^(.+)(_main|_ablation_raw|_ablation_cate)$', '\\1')"
 
 
@@ -502,9 +521,15 @@ def missing_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SRC10", sql="""SELECT label::VARCHAR AS architecture, round(avg(embedding[1]::DOUBLE), 9) AS mean_loss, round(coalesce(stddev_samp(embedding[1]::DOUBLE), 0), 9) AS std_loss, count(*) AS n_runs
 FROM embeddings GROUP BY label""")
 def encoder_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = table(spark, sf_dir, "embeddings").select(
-        F.col("label").cast("string").alias("architecture"), F.col("embedding")[0].cast("double").alias("best_val_loss"))
-    return rounded(results.summarise_encoders(runs), "mean_loss", "std_loss")
+    """Encoder result files written, scanned by their name and summarised per architecture."""
+    folder = scratch_path(spark, "encoder-files")
+    runs = table(spark, sf_dir, "embeddings").select(F.struct(
+        F.col("label").cast("string").alias("architecture"), F.lit("events").alias("dataset"), F.col("vec_id").alias("seed"),
+        F.col("embedding")[0].cast("double").alias("best_val_loss"), F.lit(1.0).alias("train_seconds")).alias("run"))
+    # a file holds one list of at most about a thousand runs
+    lists = runs.groupBy("run.architecture", F.floor(F.col("run.seed") / 1000)).agg(F.to_json(F.collect_list("run")).alias("value"))
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(f"{folder}/phase1_encoders.json")
+    return rounded(results.summarise_encoders(results.read_encoder_runs(spark, folder)), "mean_loss", "std_loss")
 
 
 def write_result_files(rows: DataFrame, folder: str) -> None:
