@@ -30,9 +30,9 @@ from counterfold.session import durable
 #: Two sets link when ``DEN * intersection >= NUM * union``.
 NUM, DEN = 3, 4
 #: n-grams known to be frequent, at most: they only come last in the order of a prefix.
-FREQUENT = 131_072
+FREQUENT = 262_144
 #: An n-gram is reported by a task that meets it so often in this many n-grams.
-LOCAL_TIMES, LOCAL_GRAMS = 5, 2_000_000
+LOCAL_TIMES, LOCAL_GRAMS = 3, 2_000_000
 #: Lists up to this length are joined pair by pair; entries in a block of longer ones.
 SHORT_LIST, BLOCK = 24, 1_024
 #: Leaders of each block that all its sets are compared with first.
@@ -274,11 +274,16 @@ def _with_leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in two blocks of one list (or within one), unless a known distance forbids them."""
-    names = ("block", "places", "ids", "labels", "leaders", "far", "block2", "places2", "ids2", "labels2", "leaders2", "far2")
+    """Pairs of different components in two blocks of one list (or within one).
+
+    Left out are those that a known distance or their sketches forbid.
+    """
+    of_block = ("block", "places", "ids", "labels", "leaders", "far", "sketches")
+    names = [*of_block, *(f"{c}2" for c in of_block)]
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-            one, p1, i1, l1, d1, f1, two, p2, i2, l2, d2, f2 = row
+            one, p1, i1, l1, d1, f1, s1, two, p2, i2, l2, d2, f2, s2 = row
+            s1, s2 = (np.frombuffer(x, np.uint64).reshape(-1, SKETCH_BITS // 64) for x in (s1, s2))
             n1, at1, w1 = _parsed(p1, i1)
             n2, at2, w2 = _parsed(p2, i2)
             l1, d1, f1, l2, d2, f2 = (np.frombuffer(x, np.int64) for x in (l1, d1, f1, l2, d2, f2))
@@ -289,6 +294,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     # both know their distance to the same leader: theirs is at least the difference
                     same = (d1[i] == d2[js]) & (f1[i] >= 0) & (f2[js] >= 0)
                     js = js[~same | (np.abs(f1[i] - f2[js]) * (NUM + DEN) <= (DEN - NUM) * (n1[i] + n2[js]))]
+                    differ = np.bitwise_count(s1[i] ^ s2[js]).sum(1).astype(np.int64)
+                    js = js[(differ * (NUM + DEN) <= (DEN - NUM) * (n1[i] + n2[js])) | (f1[i] == -2) | (f2[js] == -2)]
                     found.append(np.stack([np.minimum(w1[i], w2[js]), np.maximum(w1[i], w2[js])], 1))
             pairs = np.unique(np.concatenate(found), axis=0)
             for s in range(0, len(pairs), 100_000):
@@ -432,12 +439,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, short_list: int = SHORT_LIS
     # of each set, the leader it was compared with that is least by id, and its distance
     known = answers.select(F.col("a").alias("id"), F.struct("b", "differ").alias("k")).unionByName(
         answers.select(F.col("b").alias("id"), F.struct(F.col("a").alias("b"), "differ").alias("k"))).groupBy("id").agg(F.min("k").alias("k"))
-    seated = in_blocks.join(label_of, "id").join(known, "id", "left").groupBy("block").agg(
+    # an id with several texts has no one sketch: -2 in place of a distance says so
+    sketch_of = light.groupBy("id").agg(F.max("sketch").alias("sketch"), (F.min("sketch") != F.max("sketch")).alias("several"))
+    seated = in_blocks.join(label_of, "id").join(known, "id", "left").join(sketch_of, "id").groupBy("block").agg(
         F.sort_array(F.collect_list(F.struct("seat", "label", F.coalesce("k.b", F.lit(-1)).alias("leader"),
-                                             F.coalesce("k.differ", F.lit(-1)).alias("far")))).alias("seats"),
+                                             F.when(F.col("several"), -2).otherwise(F.coalesce("k.differ", F.lit(-1))).alias("far"), "sketch"))).alias("seats"),
         F.min("label").alias("least"), F.max("label").alias("most"))
     labelled = durable(blocks.join(seated, "block").mapInArrow(
-        _packed, "gram long, block long, places binary, ids binary, labels binary, leaders binary, far binary, least long, most long"))
+        _packed, "gram long, block long, places binary, ids binary, labels binary, leaders binary, far binary, sketches binary, least long, most long"))
     other = labelled.select(F.col("gram"), *[F.col(c).alias(f"{c}2") for c in labelled.columns if c != "gram"])
     meeting = labelled.join(other, "gram").where(
         (F.col("block") <= F.col("block2"))
@@ -469,10 +478,12 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         packed = {c: [] for c in ("label", "leader", "far")}
+        sketches = []
         for seats in batch.column("seats").to_pylist():
+            sketches.append(b"".join([s["sketch"] for s in seats]))
             for c, out in packed.items():
                 out.append(np.array([s[c] for s in seats], np.int64).tobytes())
         yield pa.RecordBatch.from_arrays(
             [batch.column("gram"), batch.column("block"), batch.column("places"), batch.column("ids"),
-             *(pa.array(v, pa.binary()) for v in packed.values()), batch.column("least"), batch.column("most")],
-            names=["gram", "block", "places", "ids", "labels", "leaders", "far", "least", "most"])
+             *(pa.array(v, pa.binary()) for v in packed.values()), pa.array(sketches, pa.binary()), batch.column("least"), batch.column("most")],
+            names=["gram", "block", "places", "ids", "labels", "leaders", "far", "sketches", "least", "most"])
