@@ -36,7 +36,7 @@ LOCAL_TIMES, LOCAL_GRAMS = 3, 2_000_000
 #: Lists up to this length are joined pair by pair; entries in a block of longer ones.
 SHORT_LIST, BLOCK = 24, 1_024
 #: Leaders of each block that all its sets are compared with first.
-LEADERS = 3
+LEADERS = 6
 #: Bits of the sketch of a set (parity of the n-grams in each cell).
 SKETCH_BITS = 1_024
 _FILTER_BITS = 1 << 26
@@ -130,6 +130,8 @@ def _summaries(words: int, frequent):
         grams = frequent.value
         by_value = np.argsort(grams)
         values = grams[by_value]
+        maybe = np.zeros(1 << 22, bool)  # most n-grams aren't frequent: these bits spare their search
+        maybe[(values & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
         for batch in in_slices(batches, 512):
             n, hi, lo, prefix = [], [], [], []
             for text in texts(batch):
@@ -143,9 +145,10 @@ def _summaries(words: int, frequent):
                     continue
                 p = prefix_length(len(s))
                 rank = np.zeros(len(s), np.int64)
-                if len(values):
-                    at = np.minimum(np.searchsorted(values, s), len(values) - 1)
-                    rank = np.where(values[at] == s, by_value[at] + 1, 0)
+                found = np.flatnonzero(maybe[(s & np.uint64((1 << 22) - 1)).astype(np.int64)])
+                if len(found):
+                    at = np.minimum(np.searchsorted(values, s[found]), len(values) - 1)
+                    rank[found] = np.where(values[at] == s[found], by_value[at] + 1, 0)
                 if (rank == 0).sum() >= p:
                     chosen = np.flatnonzero(rank == 0)[:p]  # by value, as the set is sorted
                 else:
@@ -355,8 +358,10 @@ def _compare(pairs: DataFrame, light: DataFrame, full: DataFrame, words: int) ->
     one = light.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
     two = light.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
     left = durable(pairs.join(one, "a").join(two, "b").mapInArrow(_sketches_allow, "a long, b long"))
-    full_one = full.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    full_two = full.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    needed = full.mapInArrow(
+        _only(_possible(left.select(F.explode(F.array("a", "b")).alias("id")))), "doc_id long, text string")
+    full_one = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    full_two = needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     return durable(left.join(full_one, "a").join(full_two, "b").mapInArrow(
         _overlaps(words), "a long, b long, differ long, linked boolean"))
 
@@ -455,9 +460,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, short_list: int = SHORT_LIS
     apart = pairs.join(label_of.select(F.col("id").alias("a"), F.col("label").alias("label_a")), "a").join(
         label_of.select(F.col("id").alias("b"), F.col("label").alias("label_b")), "b").where("label_a <> label_b").select("a", "b")
     rest = durable(across.unionByName(apart).distinct().join(answers.select("a", "b"), ["a", "b"], "left_anti"))
-    more = _compare(rest, light, full, words)
-    links = answers.unionByName(more).where("linked").select("a", "b")
-    component = connected_components(links)
+    more = _compare(rest, light, full, words).where("linked").select("a", "b")
+    # new links join what the first answers had joined: components of components
+    of_a, of_b = (label_of.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
+    joined = connected_components(more.join(of_a, "a").join(of_b, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
+    component = label_of.join(joined.withColumnRenamed("id", "label"), "label", "left").select(
+        "id", F.coalesce("component", "label").alias("component"))
     of_class = classes.join(component, classes["rep"] == component["id"], "left").select(
         "hi", "lo", F.coalesce("component", "rep").alias("component_id"))
     return summary.join(of_class, ["hi", "lo"], "left").select(
