@@ -13,13 +13,14 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from counterfold.llm.common import in_slices, texts
-from counterfold.llm.word_codec import WordCodec, split_words
+from counterfold.llm.word_codec import WordCodec, cut_words
 
 #: Documents on which the table of frequent pre-tokens is fitted, at most (expected).
 SAMPLE_DOCUMENTS = 4_000
@@ -39,8 +40,9 @@ def frequent_lengths(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         for batch in in_slices(batches, 256):
-            for text in texts(batch):
-                seen.update(split_words(text))
+            words, codes, _ = cut_words(texts(batch))
+            for word, n in zip(words, np.bincount(codes, minlength=len(words)).tolist(), strict=True):
+                seen[word] += n
             if len(seen) > 16 * entries:  # bounded, whatever the sample holds
                 seen = Counter(dict(seen.most_common(8 * entries)))
         words = [w for w, _ in seen.most_common(entries) if len(w) <= _LONGEST]
@@ -69,15 +71,16 @@ def count_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, codec, rare = table.value, WordCodec(vocabulary, limit=cache_entries // 2), {}
-        for batch in in_slices(batches, 256):
-            cut = [split_words(t) for t in texts(batch)]
-            new = {w for ws in cut for w in ws if w not in frequent and w not in rare}
+        for batch in in_slices(batches, 1024):
+            words, codes, bounds = cut_words(texts(batch))
+            new = [w for w in words if w not in frequent and w not in rare]
             if len(rare) + len(new) > cache_entries:
-                rare = {}
-                new = {w for ws in cut for w in ws if w not in frequent}
+                rare, new = {}, [w for w in words if w not in frequent]
             codec.learn(new)
-            rare |= {w: len(codec.words[w]) // 4 for w in new}
-            n = [sum([frequent[w] if w in frequent else rare[w] for w in ws]) for ws in cut]
+            for w in new:
+                rare[w] = len(codec.words[w]) // 4
+            each = np.array([frequent[w] if w in frequent else rare[w] for w in words], np.int64)
+            n = np.diff(np.concatenate([[0], np.cumsum(each[codes] if len(codes) else np.zeros(0, np.int64))])[bounds])
             tokens = pa.array(n, pa.int64())
             size = pc.fill_null(pc.binary_length(batch.column("text").cast(pa.large_string())), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
