@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ SHORT_LIST, BLOCK = 24, 1_024
 #: Leaders of each block that all its sets are compared with first.
 LEADERS = 6
 #: Bits of the sketch of a set (parity of the n-grams in each cell).
-SKETCH_BITS = 1_024
+SKETCH_BITS = 4_096
 _FILTER_BITS = 1 << 26
 
 _MULTIPLIERS = np.array(
@@ -308,9 +309,9 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sketches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(words)
+        shingle, unpack = Shingler(words), zstandard.ZstdDecompressor().decompress
         for batch in in_slices(batches, 256):
-            got = [shingle(t) for t in texts(batch)]
+            got = [shingle(unpack(t).decode("utf-8", "surrogatepass")) for t in batch.column("packed").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in got], pa.int64()), pa.array([_sketch(s) for s in got], pa.binary())],
                 names=["id", "n", "sketch"])
@@ -332,13 +333,14 @@ def _overlaps(words: int):
     """Exact symmetric differences of pairs of texts; rows come sorted by ``b``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, last, b = Shingler(words), None, np.zeros(0, np.uint64)
+        shingle, unpack = Shingler(words), zstandard.ZstdDecompressor().decompress
+        last, b = None, np.zeros(0, np.uint64)
         for batch in in_slices(batches, 256):
             differ, linked = [], []
-            for x, y in zip(texts(batch, "text_a"), texts(batch, "text_b"), strict=True):
+            for x, y in zip(batch.column("packed_a").to_pylist(), batch.column("packed_b").to_pylist(), strict=True):
                 if y != last:
-                    last, b = y, shingle(y)
-                a = shingle(x)
+                    last, b = y, shingle(unpack(y).decode("utf-8", "surrogatepass"))
+                a = shingle(unpack(x).decode("utf-8", "surrogatepass"))
                 both = np.concatenate([a, b])
                 both.sort(kind="stable")
                 overlap = int((both[1:] == both[:-1]).sum())
@@ -350,18 +352,23 @@ def _overlaps(words: int):
     return run
 
 
-def _compare(pairs: DataFrame, light: DataFrame, full: DataFrame, words: int) -> DataFrame:
-    """``a``, ``b``, ``differ`` (symmetric difference) and ``linked`` of the pairs that their sketches allow.
-
-    Texts travel to the comparison rather than sets of hashes: they are shorter, and they compress.
-    """
+def _allowed(pairs: DataFrame, light: DataFrame) -> DataFrame:
+    """The pairs that their sketches allow."""
     one = light.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
     two = light.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    left = durable(pairs.join(one, "a").join(two, "b").mapInArrow(_sketches_allow, "a long, b long"))
+    return pairs.join(one, "a").join(two, "b").mapInArrow(_sketches_allow, "a long, b long")
+
+
+def _compare(pairs: DataFrame, full: DataFrame, words: int) -> DataFrame:
+    """``a``, ``b``, ``differ`` (symmetric difference) and ``linked`` of pairs.
+
+    Packed texts travel to the comparison rather than sets of hashes, which are longer and don't compress.
+    """
+    left = durable(pairs)
     needed = full.mapInArrow(
-        _only(_possible(left.select(F.explode(F.array("a", "b")).alias("id")))), "doc_id long, text string")
-    full_one = needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    full_two = needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+        _only(_possible(left.select(F.explode(F.array("a", "b")).alias("id")))), "doc_id long, packed binary")
+    full_one = needed.select(F.col("doc_id").alias("a"), F.col("packed").alias("packed_a"))
+    full_two = needed.select(F.col("doc_id").alias("b"), F.col("packed").alias("packed_b"))
     return durable(left.join(full_one, "a").join(full_two, "b").mapInArrow(
         _overlaps(words), "a long, b long, differ long, linked boolean"))
 
@@ -387,6 +394,14 @@ def _possible(ids: DataFrame):
     return ids.sparkSession.sparkContext.broadcast(total)
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in in_slices(batches, 1024):
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array([pack(t.encode("utf-8", "surrogatepass")) for t in texts(batch)], pa.binary())],
+            names=["doc_id", "packed"])
+
+
 def _only(possible):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -433,11 +448,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, short_list: int = SHORT_LIS
     in_blocks = blocks.mapInArrow(_members, "block long, seat int, id long")
     active = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(in_blocks.select("id")).distinct())
     possible = _possible(active)
-    picked = docs.mapInArrow(_only(possible), "doc_id long, text string")
+    picked = docs.mapInArrow(_only(possible), "doc_id long, text string").mapInArrow(_pack, "doc_id long, packed binary")
     full = durable(picked.join(active, F.col("doc_id") == F.col("id"), "left_semi"))
     light = durable(full.mapInArrow(_sketches(words), "id long, n long, sketch binary"))
 
-    answers = _compare(star, light, full, words)
+    answers = _compare(_allowed(star, light), full, words)
     labels = connected_components(answers.where("linked").select("a", "b"))
     label_of = active.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("label"))
     label_of = durable(label_of)
@@ -459,8 +474,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, short_list: int = SHORT_LIS
     across = meeting.mapInArrow(_across, "a long, b long")
     apart = pairs.join(label_of.select(F.col("id").alias("a"), F.col("label").alias("label_a")), "a").join(
         label_of.select(F.col("id").alias("b"), F.col("label").alias("label_b")), "b").where("label_a <> label_b").select("a", "b")
-    rest = durable(across.unionByName(apart).distinct().join(answers.select("a", "b"), ["a", "b"], "left_anti"))
-    more = _compare(rest, light, full, words).where("linked").select("a", "b")
+    rest = across.unionByName(_allowed(apart, light)).distinct().join(answers.select("a", "b"), ["a", "b"], "left_anti")
+    more = _compare(rest, full, words).where("linked").select("a", "b")
     # new links join what the first answers had joined: components of components
     of_a, of_b = (label_of.select(F.col("id").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
     joined = connected_components(more.join(of_a, "a").join(of_b, "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
