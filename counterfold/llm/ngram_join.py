@@ -49,7 +49,7 @@ _MULTIPLIERS = np.array(
 class Shingler:
     """Distinct hashed word n-grams of a text, as sorted unsigned 64-bit numbers."""
 
-    def __init__(self, words: int = 5, limit: int = 400_000) -> None:
+    def __init__(self, words: int = 5, limit: int = 200_000) -> None:
         self.words, self.limit = words, limit
         self.known: dict[bytes, int] = {}
 

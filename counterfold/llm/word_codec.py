@@ -55,7 +55,7 @@ class WordCodec:
     A piece is a word of its own with the same ids, so one table holds both.
     """
 
-    def __init__(self, vocabulary: str, limit: int = 1_000_000) -> None:
+    def __init__(self, vocabulary: str, limit: int = 450_000) -> None:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self.limit = limit
         self.words: dict[str, bytes] = {"": b""}
