@@ -9,85 +9,69 @@ pieces never seen before go to the library, many in one call.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import public_tokenizers
-import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
 #: The pattern by which the vocabulary file cuts normalised text.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: What else than ASCII white space the tokenizer takes as white space.
-_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: What the tokenizer takes as white space.
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Characters that ``str.split`` takes as white space and the tokenizer doesn't.
+_NOT_SPACE = re.compile("[\x1c-\x1f]")
 #: Words of other characters than these (Latin letters, where normalisation is
 #: plain lower-casing), of '<' (special strings) or of this length go to the
 #: library whole.
 _PLAIN = re.compile("[!-;=-~\xa1-\u024f]{1,128}")
-#: Characters beyond plain Latin letters, whose lower case may hang on their neighbours.
-_CASED_APART = re.compile("[^\x00-\u012f\u0131-\u024f]")
 _PER_CALL = 1_000
 
 
-def cut_words(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct words of some texts, the number of each word of each text, and where each text ends.
-
-    ``bounds[i]:bounds[i + 1]`` are the places of text ``i``; an empty word, as
-    white space at either end leaves it, stands for nothing.
-    """
-    plain = [t if t.isascii() else _WIDE_SPACE.sub(" ", t) for t in map(lowered, texts)]
-    lists = pc.ascii_split_whitespace(pa.array(plain, pa.large_string()))
-    coded = lists.flatten().dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), lists.offsets.to_numpy()
-
-
-def lowered(text: str) -> str:
-    """The text in lower case where that changes no token, so that fewer words differ."""
-    if "<|" in text or not text.isascii() and _CASED_APART.search(text):
-        return text
-    return text.lower()
+def split_words(text: str) -> list[str]:
+    if _NOT_SPACE.search(text):
+        return [w for w in _SPACE.split(text) if w]
+    return text.split()
 
 
 class WordCodec:
-    """Ids of words; remembers at most about ``limit`` of them.
-
-    A piece is a word of its own with the same ids, so one table holds both.
-    """
+    """``ids(words)`` for words; remembers at most ``limit`` words and pieces."""
 
-    def __init__(self, vocabulary: str, limit: int = 450_000) -> None:
+    def __init__(self, vocabulary: str, limit: int = 300_000, known: dict[str, bytes] | None = None) -> None:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
         self.limit = limit
-        self.words: dict[str, bytes] = {"": b""}
+        self.known = known or {}
+        self.words: dict[str, bytes] = dict(self.known)
+        self.pieces: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: Iterable[str]) -> None:
         """Make sure that ``self.words`` holds each of ``words``."""
-        if len(self.words) > self.limit:
-            self.words = {"": b""}
-        known = self.words
-        missing = [w for w in words if w not in known]
-        letters = {w for w in missing if w.isalpha() and w.isascii() and w.islower() and len(w) <= 128}
+        missing = [w for w in words if w not in self.words]
+        if not missing:
+            return
+        if len(self.words) + len(missing) > self.limit + len(self.known):
+            self.words = dict(self.known)
+            missing = list(words)
+        if len(self.pieces) > self.limit:
+            self.pieces = {}
         cut: list[tuple[str, list[str]]] = []
         whole: list[str] = []
         for word in missing:
-            if word in letters:
-                continue
-            if word[:-1].isalpha() and word.isascii() and word[-1] in ".,;:!?" and len(word) <= 128:
-                cut.append((word, [word[:-1].lower(), word[-1]]))
-            elif _PLAIN.fullmatch(word):
+            if _PLAIN.fullmatch(word):
                 cut.append((word, PIECES.findall(word.lower())))
             else:
                 whole.append(word)
-        self._learn_pieces(letters | {p for _, ps in cut for p in ps if p not in known})
+        self._learn_pieces({p for _, ps in cut for p in ps if p not in self.pieces})
         for word, ps in cut:
-            known[word] = b"".join([known[p] for p in ps])
+            self.words[word] = b"".join([self.pieces[p] for p in ps])
         for start in range(0, len(whole), _PER_CALL):
             part = whole[start:start + _PER_CALL]
             for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, "<u4").tobytes()
+                self.words[word] = np.array(e.ids, "<u4").tobytes()
 
     def _learn_pieces(self, new: set[str]) -> None:
         order = list(new)
@@ -98,23 +82,22 @@ class WordCodec:
             if len(stops) != len(part):
                 raise AssertionError("a piece was cut again by the tokenizer")
             data, at = ids.tobytes(), 0
-            for piece, stop in zip(part, (4 * stops).tolist(), strict=True):
-                self.words[piece] = data[at:stop]
-                at = stop
+            for piece, stop in zip(part, stops.tolist(), strict=True):
+                self.pieces[piece] = data[at:4 * stop]
+                at = 4 * stop
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        words, codes, bounds = cut_words(batch)
-        self.learn(words)
-        each = [self.words[w] for w in words]
-        ids = np.frombuffer(b"".join(each), "<u4")
-        n = np.fromiter(map(len, each), np.int64, len(each)) // 4
-        if not len(codes):
-            return [b""] * len(batch)
-        # the ids of all words in a row: for each place in the result, its place among the distinct words' ids
-        count = n[codes]
-        ends = np.cumsum(count)
-        first = (np.cumsum(n) - n)[codes]
-        data = ids[np.repeat(first - (ends - count), count) + np.arange(ends[-1])].tobytes()
-        at = 4 * np.concatenate([[0], ends])[bounds]
-        return [data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        cut = [split_words(t) for t in batch]
+        known = self.words
+        self.learn({w for ws in cut for w in ws if w not in known})
+        known = self.words
+        out = []
+        for ws in cut:
+            try:
+                out.append(b"".join([known[w] for w in ws]))
+            except KeyError:  # the cache was emptied for this batch
+                self.learn(set(ws))
+                known = self.words
+                out.append(b"".join([known[w] for w in ws]))
+        return out
