@@ -189,6 +189,22 @@ def test_disguises_map_back_to_the_source(text, kind, source):
     assert [(k, text[a:b]) for k, a, b in pii.disguised_spans(text, plain)] == [(kind, source)]
 
 
+@pytest.mark.parametrize("text, kind, whole, part", [
+    ("to jоhn@mail.com now", "email", "jоhn@mail.com", "hn@mail.com"),
+    ("to jane@example.cоm now", "email", "jane@example.cоm", "jane@example.c"),
+    ("to jane@mаil.example.com now", "email", "jane@mаil.example.com", None),
+    ("to jane@mail.exаmple.com now", "email", "jane@mail.exаmple.com", "jane@mail.ex"),
+    ("to john@mail.example dot com now", "email", "john@mail.example dot com", "john@mail.example"),
+    ("call +44 20 7946 0９５８ now", "phone", "+44 20 7946 0９５８", "+44 20 7946 0"),
+])
+def test_whole_spans_beside_shorter_plain_ones(spark, text, kind, whole, part):
+    row = pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    want = sorted((text.index(w), text.index(w) + len(w)) for w in (whole, part) if w)
+    assert row.spans == ",".join(f"{kind}:{a}:{b}" for a, b in want) and row[f"n_{kind}"] == len(want)
+    plain = ",".join(f"{k}:{a}:{b}" for k, a, b in base_by_hand(text))
+    assert row.base_sha256 == hashlib.sha256(plain.encode()).hexdigest()
+
+
 def test_clean_texts_have_no_disguises():
     for text in ("meet me at noon (at the dot)", "one two three", "look at the dot on it", "café … “q” ™ 10²", "a@b", "[at]", "at dot at dot"):
         assert pii.disguised_spans(text, pii.plain_spans(text)) == []
