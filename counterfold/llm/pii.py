@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,16 +52,19 @@ _SPELLED = re.compile(rf"\b(?:{_WORD})\b(?:[\s.-]{{1,3}}(?:{_WORD}|dot|point|[0-
 _AROUND = r"[\[({<]\s{0,2}%s\s{0,2}[\])}>]"
 _AT = re.compile(rf"\s?{_AROUND % '(?:at|@)'}\s?|\s@\s|\s@|@\s", re.I)
 _DOT = re.compile(rf"\s?{_AROUND % r'(?:dot|point|\.)'}\s?", re.I)
+#: Pieces are bounded only against long chains: a local part has at most 64 characters, a domain 127 names.
 _BARE = re.compile(
-    r"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9_%+-]+(?:(?:\.|\sdot\s)[A-Za-z0-9_%+-]+){0,3}+)(?P<at>\sat\s|@)"
-    r"(?P<host>[A-Za-z0-9-]+(?:(?:\.|\sdot\s)[A-Za-z0-9-]+){0,4})(?P<dot>\sdot\s)(?P<top>[A-Za-z]{2,12})\b", re.I)
+    r"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9_%+-]+(?:(?:\.|\sdot\s)[A-Za-z0-9_%+-]+){0,63}+)(?P<at>\sat\s|@)"
+    r"(?P<domain>[A-Za-z0-9-]+(?:(?:\.|\sdot\s)[A-Za-z0-9-]+){1,127}+)", re.I)
+_LAST_NAME = re.compile(r"[A-Za-z]{2,12}\b")
 #: Last names of domains that bare words may end in; words of common
 #: languages ("on", "it", "in", ...) are left out.
 _TOPS = frozenset(
     "ar au biz br ca ch cl cn co com cz de dk edu es eu fi fr gov gr hu ie info int io jp kr mil mobi mx name net nl nz "
     "org pl pt ru se tech tv ua uk za app blog cloud dev online shop site store xyz example test".split())
 _IN_WORDS = re.compile(r"\sdot\s", re.I)
-_TRIGGER = re.compile(r"[\])}>]|\sdot\s|\s@|@\s", re.I)
+_ANY_DOT = re.compile(r"\.|\sdot\s", re.I)
+_TRIGGER = re.compile(r"[\])}>]|\sdot\s|\s@|@\s|\sat\s[a-z0-9-]+\.[a-z0-9]", re.I)
 _PLUS = re.compile(r"\bplus[\s-]{1,3}(?=[0-9])", re.I)
 
 
@@ -140,13 +143,28 @@ def _at_dot_edits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
-def _bare_edits(text: str) -> list[tuple[int, int, str]]:
-    edits = []
-    for m in _BARE.finditer(text):
-        if m["at"] != "@" and m["top"].lower() not in _TOPS:
-            continue
-        edits.append((*m.span("at"), "@"))
-        edits += [(d.start(), d.end(), ".") for d in _IN_WORDS.finditer(text, m.start(), m.end())]
+def _bare_edits(text: str, made: Callable[[int], bool]) -> list[tuple[int, int, str]]:
+    """``at`` and ``dot`` as bare words; ``made`` tells whether a dot comes from a rewriting.
+
+    Of the domain's dots the last one counts that is followed by a known last
+    name, or by any name where the address shows itself elsewhere: by its ``@``
+    or by this dot's having been rewritten.
+    """
+    edits, at = [], 0
+    while m := _BARE.search(text, at):
+        at = m.start("domain")
+        for dot in reversed(list(_ANY_DOT.finditer(text, *m.span("domain")))):
+            top = _LAST_NAME.match(text, dot.end(), m.end())
+            plain = dot[0] == "."
+            if top is None or plain and m["at"] == "@":
+                continue
+            if m["at"] != "@":
+                if top[0].lower() not in _TOPS and not (plain and made(dot.start())):
+                    continue
+                edits.append((*m.span("at"), "@"))
+            at = top.end()
+            edits += [(d.start(), d.end(), ".") for d in _IN_WORDS.finditer(text, m.start(), at)]
+            break
     return edits
 
 
@@ -191,7 +209,8 @@ def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[
     """Identifiers that only the rewritten text shows, as spans of the source."""
     odd = not text.isascii() and any(_map_char(c) != c for c in set(text) if not c.isascii())
     spelled = _SPELLED.search(text) is not None
-    marked = _TRIGGER.search(text) is not None and (_AT.search(text) or _DOT.search(text) or _BARE.search(text))
+    marked = _TRIGGER.search(text) is not None and (
+        _AT.search(text) or _DOT.search(text) or _bare_edits(text, lambda _: False))
     if not (odd or spelled or marked):
         return []
     new = Rewritten(text)
@@ -199,7 +218,7 @@ def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[
     new.replace(_spelled_edits(new.text))
     new.replace([(m.start(), m.end(), "+") for m in _PLUS.finditer(new.text)])
     new.replace(_at_dot_edits(new.text))
-    new.replace(_bare_edits(new.text))
+    new.replace(_bare_edits(new.text, lambda i: text[new.start[i]:new.stop[i]] != "."))
     if new.text == text:
         return []
     there = set(plain)

@@ -205,6 +205,20 @@ def test_whole_spans_beside_shorter_plain_ones(spark, text, kind, whole, part):
     assert row.base_sha256 == hashlib.sha256(plain.encode()).hexdigest()
 
 
+@pytest.mark.parametrize("source", [
+    "bob at example (dot) com", "bob at example [dot] com", "bob at example (dot) museum", "bob at example.com", "bob at mail dot example.com",
+    "a.b.c.d.e at example dot com", "a dot b dot c dot d dot e dot f at example dot com", "bob at a.b.c.d.e.f.g dot com",
+])
+def test_addresses_with_at_in_words(source):
+    for text in (source, f"write to {source} or so.", f"look at {source}. Then"):
+        assert [(k, text[a:b]) for k, a, b in pii.disguised_spans(text, pii.plain_spans(text))] == [("email", source)], text
+
+
+def test_at_in_words_needs_a_last_name():
+    for text in ("look at this.then", "at 3.50 or at 10.5", "we met at noon.Next day", "at a.b at c.d", "x dot " * 3000 + "at y"):
+        assert pii.disguised_spans(text, pii.plain_spans(text)) == []
+
+
 def test_clean_texts_have_no_disguises():
     for text in ("meet me at noon (at the dot)", "one two three", "look at the dot on it", "café … “q” ™ 10²", "a@b", "[at]", "at dot at dot"):
         assert pii.disguised_spans(text, pii.plain_spans(text)) == []
