@@ -1,11 +1,14 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
-The trees are fitted on a bounded sample: each node takes, of some random
+Vectors are centred and get one more coordinate, so that all have the same
+length: what is near a query then has a large inner product with it, whatever
+the lengths and the mean.  The trees are fitted on a bounded sample: each node takes, of some random
 directions, the one in which its vectors spread most, and splits them at the
 median.  Every vector is filed under one leaf of every tree.  A query walks
 all trees with one priority queue: the branch not taken waits under the squared
 distances to the planes that were crossed to it, and the nearest waiting branch
-of any tree is next, until the leaves seen hold a set share of the sample.
+of any tree is next, until the leaves seen hold a set share of the sample,
+or more where queries from the sample itself need more.
 All vectors in these leaves are candidates and are scored exactly.
 """
 
@@ -38,6 +41,10 @@ class ForestParams:
     #: (each tree holds it once, so at most ``trees``).  On vectors without structure 1.1
     #: means two thirds of all as candidates and a recall of 0.92 (500 vectors) to 0.99 (51,000).
     search_share: float = 1.1
+    #: Where more is needed to find this share of the sample's own neighbours (of so many
+    #: queries from it), the search goes on for longer.
+    least_recall: float = 0.93
+    trial_queries: int = 128
     #: Rows of the index in a group, at most about; queries in a block.
     group_rows: int = 32_768
     query_block: int = 512
@@ -53,9 +60,12 @@ class Forest:
     children: np.ndarray
     roots: np.ndarray
     leaf_share: np.ndarray
+    centre: np.ndarray
+    radius: float
 
     def leaves_of(self, x: np.ndarray) -> np.ndarray:
         """Leaf of every row of ``x`` in every tree."""
+        x = _lifted(x, self.centre, self.radius)
         out = np.zeros((len(x), len(self.roots)), np.int64)
         for t, root in enumerate(self.roots):
             at = np.full(len(x), root)
@@ -68,7 +78,9 @@ class Forest:
 
     def search(self, q: np.ndarray, share: float) -> list[int]:
         """Leaves to look into, in order of the shared queue."""
-        margin = (self.planes @ q - self.cuts).tolist()
+        # a query's length is free: that of the lifted vectors puts it among them
+        q = q / (_lengths(q[None])[0] or 1.0) * self.radius
+        margin = (self.planes[:, :-1] @ q - self.cuts).tolist()
         children = self.children_list
         queue = [(0.0, root) for root in self.roots.tolist()]
         heapq.heapify(queue)
@@ -89,6 +101,40 @@ class Forest:
         object.__setattr__(self, "leaf_share_list", self.leaf_share.tolist())
 
 
+def _lengths(x: np.ndarray) -> np.ndarray:
+    top = np.abs(x).max(1, initial=0.0)
+    return top * np.linalg.norm(x / np.where(top > 0, top, 1.0)[:, None], axis=1)
+
+
+def _lifted(x: np.ndarray, centre: np.ndarray, radius: float) -> np.ndarray:
+    """Centred, with one more coordinate that makes every row ``radius`` long.
+
+    Queries have 0 there, so the squared distance is a constant of the query less
+    twice the inner product.
+    """
+    x = x - centre
+    part = np.minimum(1.0, _lengths(x) / (radius or 1.0))
+    return np.column_stack([x, radius * np.sqrt(1.0 - part * part)])
+
+
+def _share_needed(forest: Forest, x: np.ndarray, k: int, p: ForestParams) -> float:
+    """``search_share``, or what finds ``least_recall`` of the ``k`` best within ``x``, if that is more."""
+    leaf, reach = forest.leaves_of(x), []
+    k = min(k, len(x) - 1)
+    for i in np.unique(np.linspace(0, len(x) - 1, min(len(x), p.trial_queries)).astype(int)) if k > 0 else []:
+        score = x @ x[i]
+        score[i] = -np.inf
+        best = np.argpartition(-score, k - 1)[:k]
+        order = forest.search(x[i], np.inf)
+        seen = np.cumsum(forest.leaf_share[order])
+        before = np.empty(len(forest.leaf_share))
+        before[order] = np.concatenate([[0.0], seen[:-1]])
+        reach.append(before[leaf[best]].min(1))  # a leaf is looked into if less than the share was seen before
+    if not reach:
+        return p.search_share
+    return max(p.search_share, float(np.nextafter(np.quantile(np.concatenate(reach), p.least_recall, method="higher"), np.inf)))
+
+
 def _grow(x: np.ndarray, p: ForestParams, seed: int) -> list[tuple]:
     """Nodes of one tree: (plane, cut, left, right), children below 0 are leaves; then leaf sizes."""
     rng = np.random.default_rng([p.seed, seed])
@@ -121,8 +167,11 @@ def _grow(x: np.ndarray, p: ForestParams, seed: int) -> list[tuple]:
     return nodes, sizes
 
 
-def fit_forest(vectors: DataFrame, n: int, dims: int, p: ForestParams) -> Forest:
-    """Trees are grown one per task on a sample of at most about ``sample_rows`` vectors."""
+def fit_forest(vectors: DataFrame, n: int, dims: int, k: int, p: ForestParams) -> tuple[Forest, float]:
+    """The forest and the share to search.
+
+    Trees are grown one per task on a sample of at most about ``sample_rows`` vectors.
+    """
     spark = vectors.sparkSession
     share = min(1.0, p.sample_rows / max(1, n))
     picked = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(p.seed)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
@@ -130,7 +179,15 @@ def fit_forest(vectors: DataFrame, n: int, dims: int, p: ForestParams) -> Forest
     x = np.zeros((len(rows), dims))
     for i, v in enumerate(rows["vector"]):
         x[i, :len(v)] = v
-    shared = spark.sparkContext.broadcast(x)
+    centre = (x / max(1, len(x))).sum(0)
+
+    def longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            top = _lengths(matrix(batch, dims, np.float64) - centre).max(initial=0.0)
+            yield pa.RecordBatch.from_arrays([pa.array([top], pa.float64())], names=["length"])
+
+    radius = vectors.mapInArrow(longest, "length double").agg(F.max("length")).first()[0]
+    shared = spark.sparkContext.broadcast(_lifted(x, centre, radius))
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,12 +209,15 @@ def fit_forest(vectors: DataFrame, n: int, dims: int, p: ForestParams) -> Forest
         sizes = np.frombuffer(t.sizes, np.int64)
         roots.append(node_base if len(own) else -1 - leaf_base)
         children.append(np.where(own >= 0, own + node_base, own - leaf_base))
-        planes.append(np.frombuffer(t.planes).reshape(len(own), -1) if len(own) else np.zeros((0, dims)))
+        planes.append(np.frombuffer(t.planes).reshape(len(own), -1) if len(own) else np.zeros((0, dims + 1)))
         cuts.append(np.frombuffer(t.cuts))
         leaves.append(sizes / max(1, len(x)))
         node_base += len(own)
         leaf_base += len(sizes)
-    return Forest(np.concatenate(planes), np.concatenate(cuts), np.concatenate(children), np.array(roots), np.concatenate(leaves))
+    forest = Forest(
+        np.concatenate(planes), np.concatenate(cuts), np.concatenate(children), np.array(roots), np.concatenate(leaves),
+        centre, radius)
+    return forest, _share_needed(forest, x, k, p)
 
 
 class _Kernel:
@@ -238,7 +298,8 @@ def approximate_top_k(vectors: DataFrame, is_query, k: int = 20, params: ForestP
         return clean.select(
             F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
     spark = clean.sparkSession
-    forest = spark.sparkContext.broadcast(fit_forest(clean, n, dims, p))
+    fitted, share = fit_forest(clean, n, dims, k, p)
+    forest = spark.sparkContext.broadcast(fitted)
     n_leaves = len(forest.value.leaf_share)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +347,7 @@ def approximate_top_k(vectors: DataFrame, is_query, k: int = 20, params: ForestP
                 ids = piece.column("vec_id").to_numpy().astype(np.int64)
                 found = []
                 for i, v in enumerate(q):
-                    leaves = forest.value.search(v, p.search_share)
+                    leaves = forest.value.search(v, share)
                     if held[leaves].max(initial=0) <= k and held[leaves].sum() <= k * p.trees < n * p.trees:
                         leaves = range(n_leaves)
                     found.append(np.stack([np.fromiter(leaves, np.int64), np.full(len(leaves), i)], 1))

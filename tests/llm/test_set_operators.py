@@ -256,6 +256,23 @@ def test_neighbours_found_and_scored(spark, sf_dir):
         assert all(s == pytest.approx(float(vectors[q] @ vectors[v]), abs=1e-12) for _, v, s in found)
 
 
+@pytest.mark.parametrize("n", [500, 2000])
+@pytest.mark.parametrize("shape", ["uneven", "shifted"])
+def test_neighbours_of_uneven_lengths_and_shifted_means(spark, shape, n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64))
+    x = x + 1.5 if shape == "shifted" else x / np.linalg.norm(x, axis=1, keepdims=True) * rng.lognormal(size=(n, 1))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vector array<double>")
+    got = answers(ann.approximate_top_k(frame, F.col("vec_id") % 20 == 0, 20))
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    want = {i: set(np.argsort(-score[i])[:20].tolist()) for i in range(0, n, 20)}
+    assert got.keys() == want.keys()
+    recall = np.mean([len({v for _, v, _ in got[q]} & want[q]) / 20 for q in want])
+    print(f"recall {shape} {n}: {recall:.3f}")
+    assert recall >= 0.9
+
+
 @pytest.mark.parametrize("n", [6, 400])
 def test_neighbours_of_awkward_vectors(spark, n):
     rng = np.random.default_rng(n)
