@@ -60,6 +60,7 @@ class Forest:
     children: np.ndarray
     roots: np.ndarray
     leaf_share: np.ndarray
+    tree_of: np.ndarray
     centre: np.ndarray
     radius: float
 
@@ -202,7 +203,7 @@ def fit_forest(vectors: DataFrame, n: int, dims: int, k: int, p: ForestParams) -
 
     trees = spark.range(0, p.trees, 1, p.trees).mapInArrow(
         grow, "id long, planes binary, cuts binary, children binary, sizes binary").collect()
-    planes, cuts, children, roots, leaves = [], [], [], [], []
+    planes, cuts, children, roots, leaves, tree_of = [], [], [], [], [], []
     node_base = leaf_base = 0
     for t in sorted(trees, key=lambda r: r.id):
         own = np.frombuffer(t.children, np.int64).reshape(-1, 2)
@@ -212,11 +213,12 @@ def fit_forest(vectors: DataFrame, n: int, dims: int, k: int, p: ForestParams) -
         planes.append(np.frombuffer(t.planes).reshape(len(own), -1) if len(own) else np.zeros((0, dims + 1)))
         cuts.append(np.frombuffer(t.cuts))
         leaves.append(sizes / max(1, len(x)))
+        tree_of.append(np.full(len(sizes), t.id))
         node_base += len(own)
         leaf_base += len(sizes)
     forest = Forest(
         np.concatenate(planes), np.concatenate(cuts), np.concatenate(children), np.array(roots), np.concatenate(leaves),
-        centre, radius)
+        np.concatenate(tree_of), centre, radius)
     return forest, _share_needed(forest, x, k, p)
 
 
@@ -285,8 +287,8 @@ def approximate_top_k(vectors: DataFrame, is_query, k: int = 20, params: ForestP
 
     ``vectors`` has ``vec_id`` and ``vector`` (array of double); ``is_query`` is a
     condition on ``vec_id``.  ``score`` is the exact inner product; ties go to
-    the smaller id.  A query whose leaves hold fewer than ``k`` others, while more exist,
-    looks into all leaves.  Vectors that are null, zero or hold null or
+    the smaller id.  A query whose leaves may hold fewer than ``k`` others, or not all
+    where there are fewer, looks into all leaves.  Vectors that are null, zero or hold null or
     non-finite components take no part, nor do rows without an id; rows with
     the same id count once (the least vector).  No vectors or queries give no rows.
     """
@@ -301,6 +303,7 @@ def approximate_top_k(vectors: DataFrame, is_query, k: int = 20, params: ForestP
     fitted, share = fit_forest(clean, n, dims, k, p)
     forest = spark.sparkContext.broadcast(fitted)
     n_leaves = len(forest.value.leaf_share)
+    tree_of = forest.value.tree_of
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(n_leaves, np.int64)
@@ -348,7 +351,8 @@ def approximate_top_k(vectors: DataFrame, is_query, k: int = 20, params: ForestP
                 found = []
                 for i, v in enumerate(q):
                     leaves = forest.value.search(v, share)
-                    if held[leaves].max(initial=0) <= k and held[leaves].sum() <= k * p.trees < n * p.trees:
+                    # a tree's leaves share no vectors, so these hold as many as in any one tree; the query may be one
+                    if np.bincount(tree_of[leaves], held[leaves]).max(initial=0) - 1 < min(k, n - 1):
                         leaves = range(n_leaves)
                     found.append(np.stack([np.fromiter(leaves, np.int64), np.full(len(leaves), i)], 1))
                 probes = np.concatenate(found)

@@ -273,6 +273,15 @@ def test_neighbours_of_uneven_lengths_and_shifted_means(spark, shape, n):
     assert recall >= 0.9
 
 
+def test_all_candidates_of_few_vectors(spark):
+    rng = np.random.default_rng(3)
+    for n in (2, 3, 8, 15, 20, 21):
+        rows = [(i, rng.normal(size=8).tolist()) for i in range(n)]
+        frame = spark.createDataFrame(rows, "vec_id long, vector array<double>").coalesce(1)
+        got = answers(ann.approximate_top_k(frame, F.lit(True), 20))
+        assert {q: {v for _, v, _ in found} for q, found in got.items()} == {q: set(range(n)) - {q} for q in range(n)}, n
+
+
 @pytest.mark.parametrize("n", [6, 400])
 def test_neighbours_of_awkward_vectors(spark, n):
     rng = np.random.default_rng(n)
