@@ -5,7 +5,9 @@ contiguous region with the highest sum.  The weights are learned from pages
 that mark their own content (exactly one ``article`` or ``main`` element):
 for each element name and class word, the log odds that words below it are
 content.  Elements whose odds are low (menus, footers, adverts, ...) are taken
-out of the region, and their words score nothing.
+out of the region, and their words score nothing.  On a page that marks its
+content nothing else scores: the region reaches from the first marked words to
+the last, and what stands between marked elements is taken out of it.
 """
 
 from __future__ import annotations
@@ -188,15 +190,14 @@ class Extractor:
 
     def _cost(self, odds: float, features: list[str], content: bool) -> float:
         """Tags cost: next to nothing within content, much where content ends."""
-        if features[0] in _ALWAYS_ELEMENT:
-            return 30.0
-        return 0.01 if content or odds > self.never else 5.0
+        return 0.01 if content or features[0] in _ALWAYS_ELEMENT or odds > self.never else 5.0
 
     def __call__(self, page: str) -> str:
         if not page:
             return ""
         marked = False
         items: list[tuple[str, str, bool]] = []  # kind, text or element, usable
+        within: list[bool] = []  # in marked content
         scores: list[float] = []
         path: list[tuple[str, bool, float]] = []
         count: dict[str, int] = {}
@@ -205,8 +206,10 @@ class Extractor:
             if kind == "text":
                 n = len(what.split())
                 items.append(("text", what, dead == 0))
-                scores.append(0.0 if dead else float(n) if content else -float(n) if marked else 0.5 * n)
+                scores.append(0.0 if dead else float(n) if content else 0.5 * n)
+                within.append(content > 0)
                 continue
+            within.append(False)
             if kind == "open":
                 odds = self._odds(features)
                 cost = self._cost(odds, features, content > 0)
@@ -222,10 +225,7 @@ class Extractor:
                     dead += gone
                     if what in _ALWAYS_ELEMENT:
                         content += 1
-                        if not marked and not dead:
-                            marked = True
-                            # what came before stands outside of the marked content
-                            scores = [s if items[i][0] != "text" or s <= 0 else -s for i, s in enumerate(scores)]
+                        marked = marked or not dead
                 items.append(("tag", what, True))
                 scores.append(-cost)
             elif count.get(what):
@@ -243,6 +243,9 @@ class Extractor:
             else:
                 items.append(("tag", what, True))
                 scores.append(-0.01)
+        if marked:
+            items = [(kind, what, usable and (kind == "tag" or inside)) for (kind, what, usable), inside in zip(items, within, strict=True)]
+            scores = [s if inside else 0.0 for s, inside in zip(scores, within, strict=True)]
         best, best_at, total, start = 0.0, (0, 0), 0.0, 0
         for i, s in enumerate(scores):
             if total <= 0:

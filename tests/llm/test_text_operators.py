@@ -255,6 +255,23 @@ def test_pages(spark, nothing):
     assert html_extraction.extract_main_text(pages.limit(0)).count() == 0
 
 
+INTRO = " ".join(f"intro{i}" for i in range(25))
+LONG = " ".join(f"w{i}" for i in range(200))
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<main><h1>Title</h1><p>{INTRO}</p><article><p>{LONG}</p></article></main>", f"Title\n\n{INTRO}\n\n{LONG}"),
+    (f"<main><article><p>{LONG}</p></article><p>{INTRO}</p></main>", f"{LONG}\n\n{INTRO}"),
+    (f"<article>{INTRO}</article><article>{LONG}</article>", f"{INTRO}\n\n{LONG}"),
+    (f"<article>{LONG}</article><article>short one</article>", f"{LONG}\n\nshort one"),
+    (f"<p>before</p><article>a b</article><div>{LONG}</div><nav>menu</nav><article>c d</article><p>after</p>", "a b\n\nc d"),
+    (f"<article>{INTRO}<article>inner words</article>{INTRO}</article>", f"{INTRO}\n\ninner words\n\n{INTRO}"),
+    ("<article><h1>Title</h1>" + "<div><img></div>" * 500 + f"<p>{LONG}</p></article>", f"Title\n\n{LONG}"),
+])
+def test_all_marked_content_is_kept(page, want):
+    assert html_extraction.Extractor({})(page) == want
+
+
 def test_weights_come_from_labelled_pages(spark):
     page = "<body><div class='zq'>some other words</div><article><div class='good'>body words</div></article></body>"
     pages = spark.createDataFrame([(i, "u", page) for i in range(50)], "page_id long, url string, html string")
