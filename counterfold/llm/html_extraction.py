@@ -53,25 +53,41 @@ _NEVER_CLASS = frozenset(
     "disqus reply replies share sharing social related recommended newsletter subscribe signup login search pagination "
     "pager toolbar widget contentinfo complementary".split())
 _ALWAYS_ELEMENT = frozenset(("article", "main"))
+#: What holds a page or its content, whatever its classes say.
+_FRAME = _ALWAYS_ELEMENT | {"html", "body"}
+#: Elements that a page itself sets apart; a form may hold a whole page.
+_APART = _NEVER_ELEMENT - {"form"}
+#: Words of a class that tell of a state of the page ("no-comments"), not of what the element is.
+_STATE = frozenset("has have with without no not".split())
 #: Belief before any page is seen, in words.
 _PRIOR = 50.0
 
 
 def _features(name: str, attributes: str) -> list[str]:
+    """The element's name and its whole class tokens, in lower case without numbers, words joined by hyphens."""
     out = [name]
     if attributes and "=" in attributes:
         for m in _CLASS.finditer(attributes):
-            out += [f".{w}" for w in _SPLIT.split((m[1] or m[2] or m[3] or "").lower()) if w and not w.isdigit()]
+            for token in (m[1] or m[2] or m[3] or "").lower().split():
+                words = [w for w in _SPLIT.split(token) if w and not w.isdigit()]
+                if words:
+                    out.append("." + "-".join(words))
     return out
 
 
+def _pieces(feature: str) -> list[str]:
+    """The words of a class token of several, none of one that tells of a state."""
+    words = feature[1:].split("-") if feature[0] == "." else []
+    return [f".{w}" for w in words] if len(words) > 1 and _STATE.isdisjoint(words) else []
+
+
 def prior(feature: str) -> float:
     """Which way a feature points before any page is seen: 1 content, -1 none, 0 unknown."""
     if feature in _ALWAYS_ELEMENT:
         return 1.0
     if feature in _NEVER_ELEMENT or feature[0] == "." and feature[1:] in _NEVER_CLASS:
         return -1.0
-    return 0.0
+    return min((prior(f) for f in _pieces(feature)), default=0.0)
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, list[str]]]:
@@ -131,7 +147,7 @@ def _labelled(page: str) -> list[tuple[str, int, int]]:
     path = _Path()
     for kind, what, features in tokens(page):
         if kind == "open":
-            path.enter(what, features)
+            path.enter(what, features + [piece for f in features for piece in _pieces(f)])
             marks += what in _ALWAYS_ELEMENT
         elif kind == "close":
             path.leave(what)
@@ -185,9 +201,18 @@ class Extractor:
         self.weights = dict(weights)
 
     def _odds(self, features: list[str]) -> float:
-        known = [self.weights[f] if f in self.weights else self.weights.setdefault(f, log_odds(f)) for f in features]
+        return self._joined([self._known(f) for f in features])
+
+    def _joined(self, known: list[float]) -> float:
         return min(known) if min(known) < self.never else max(known)
 
+    def _known(self, feature: str) -> float:
+        """A whole class token decides if it was seen, else its pieces do."""
+        if feature not in self.weights:
+            pieces = _pieces(feature)
+            self.weights[feature] = self._joined([self._known(f) for f in pieces]) if pieces else log_odds(feature)
+        return self.weights[feature]
+
     def _cost(self, odds: float, features: list[str], content: bool) -> float:
         """Tags cost: next to nothing within content, much where content ends."""
         return 0.01 if content or features[0] in _ALWAYS_ELEMENT or odds > self.never else 5.0
@@ -195,6 +220,52 @@ class Extractor:
     def __call__(self, page: str) -> str:
         if not page:
             return ""
+        seen = list(tokens(page))
+        return self._text(seen, self._holders(seen))
+
+    def _gone(self, what: str, odds: float, content: bool) -> bool:
+        # a site's header frames the page; one within the content holds its heading
+        return what in _RAW or what not in _FRAME and odds < self.never and not (what == "header" and content)
+
+    def _holders(self, seen: list[tuple[str, str, list[str]]]) -> set[int]:
+        """Places of elements that odds call no content, but that hold the page's marked content.
+
+        They count if all marks of the page are in such elements: where the page has
+        a main element or one mark, or its marks hold more words than the rest does.
+        """
+        if not any(kind == "open" and what in _ALWAYS_ELEMENT for kind, what, _ in seen):
+            return set()
+        path = _Path()
+        places: list[int] = []  # of the open elements, gone ones only, else -1
+        marks: list[tuple[bool, list[int]]] = []
+        words = rest = gone = 0
+        for at, (kind, what, features) in enumerate(seen):
+            content = path.count.get("article", 0) + path.count.get("main", 0) > 0
+            if kind == "text":
+                n = len(what.split())
+                words, rest = (words + n, rest) if content else (words, rest + n * (not gone))
+            elif kind == "close":
+                path.leave(what)
+                gone -= sum(i >= 0 for i in places[len(path.open):])
+                del places[len(path.open):]
+            elif what not in _VOID:
+                path.enter(what, features)
+                gone -= sum(i >= 0 for i in places[len(path.open) - 1:])
+                del places[len(path.open) - 1:]
+                if what in _ALWAYS_ELEMENT and not content:
+                    apart = any(n in _APART or n in _RAW for n, _ in path.open)
+                    holders = [i for i in places if i >= 0]
+                    if not holders:
+                        return set()  # the page marks its content in plain sight
+                    if not apart:
+                        marks.append((what == "main", holders))
+                places.append(at if self._gone(what, self._odds(features), content) else -1)
+                gone += places[-1] >= 0
+        if len(marks) == 1 or any(main for main, _ in marks) or words > rest:
+            return {i for _, holders in marks for i in holders}
+        return set()
+
+    def _text(self, seen: list[tuple[str, str, list[str]]], holders: set[int]) -> str:
         marked = False
         items: list[tuple[str, str, bool]] = []  # kind, text or element, usable
         within: list[bool] = []  # in marked content
@@ -202,7 +273,7 @@ class Extractor:
         path: list[tuple[str, bool, float]] = []
         count: dict[str, int] = {}
         dead = content = 0
-        for kind, what, features in tokens(page):
+        for at, (kind, what, features) in enumerate(seen):
             if kind == "text":
                 n = len(what.split())
                 items.append(("text", what, dead == 0))
@@ -218,8 +289,7 @@ class Extractor:
                         _, was_dead, _ = path.pop()
                         dead -= was_dead
                         count["p"] -= 1
-                    # a site's header frames the page; one within the content holds its heading
-                    gone = what in _RAW or odds < self.never and not (what == "header" and content)
+                    gone = at not in holders and self._gone(what, odds, content > 0)
                     path.append((what, gone, cost))
                     count[what] = count.get(what, 0) + 1
                     dead += gone

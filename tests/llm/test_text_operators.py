@@ -272,6 +272,28 @@ def test_all_marked_content_is_kept(page, want):
     assert html_extraction.Extractor({})(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    (f"<body class='has-sidebar'><p>{LONG}</p></body>", LONG),
+    (f"<body class='sidebar'><p>{LONG}</p><div class='sidebar'>s s s</div></body>", LONG),
+    (f"<div id='page-with-sidebar'><article><p>{LONG}</p></article></div><p>other words</p>", LONG),
+    (f"<div id='page-with-sidebar'><p>{LONG}</p></div>", LONG),
+    (f"<article class='post no-comments'><p>{LONG}</p><div class='comments-area'>reader says</div></article>", LONG),
+    (f"<form class='search'><div class='widget'><main><p>{LONG}</p></main></div></form>", LONG),
+    (f"<div class='left-sidebar'><article>{INTRO}</article><article>{INTRO}</article></div>", f"{INTRO}\n\n{INTRO}"),
+    (f"<p>{LONG}</p><div class='related-posts'><article>{INTRO}</article><article>{INTRO}</article></div>", LONG),
+    (f"<p>{LONG}</p><aside><article>{INTRO}</article></aside>", LONG),
+])
+def test_wrappers_do_not_take_the_page_away(page, want):
+    assert html_extraction.Extractor({})(page) == want
+
+
+def test_a_whole_class_token_decides_before_its_pieces():
+    extract = html_extraction.Extractor({".social-story": 3.0, ".plain-box": -4.0, ".box": 2.0})
+    assert extract("<div class='social-story'>one two</div>") == "one two"
+    assert extract("<div class='plain-box'>one two</div>") == ""
+    assert extract("<div class='social-box'>one two</div>") == ""  # not seen: its pieces decide
+
+
 def test_weights_come_from_labelled_pages(spark):
     page = "<body><div class='zq'>some other words</div><article><div class='good'>body words</div></article></body>"
     pages = spark.createDataFrame([(i, "u", page) for i in range(50)], "page_id long, url string, html string")
