@@ -165,9 +165,12 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
         return run
 
     kernel = _Kernel(dims, k, basis)
+    # the first group is copied for as many tasks as there are query blocks to deal among them
+    asking = durable(asked.mapInArrow(blocked(False), MEETING))
+    copies = max(1, min(at_once, asking.count()))
     seeds = durable(meet(
-        blocks.where(F.col("group") == first),
-        asked.mapInArrow(blocked(False), MEETING).withColumn("group", F.lit(first)), 1, kernel))
+        blocks.where(F.col("group") == first).withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long")))),
+        asking.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(copies)).cast("long")), copies, kernel))
     floors = seeds.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("got")).select(
         F.col("query_id"), F.when(F.col("got") >= k, F.col("low").cast("double")).alias("floor"))
     with_floor = asked.join(floors, asked["vec_id"] == floors["query_id"], "left").select("vec_id", "vector", "floor")

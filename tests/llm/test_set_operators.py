@@ -243,6 +243,25 @@ def test_exact_top_k_against_brute_force(spark, monkeypatch, n, k):
     assert exact_topk.exact_top_k(frame.limit(0), F.col("vec_id") % 20 == 0, k).count() == 0
 
 
+def test_first_group_is_searched_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(exact_topk, "BLOCK", 16)
+    monkeypatch.setattr(exact_topk, "QUERY_BLOCK", 2)
+    calls, meet = [], exact_topk.meet
+
+    def noted(candidates, queries, groups, kernel):
+        calls.append((groups, {r.group for r in candidates.select("group").collect()}, {r.group for r in queries.select("group").collect()}))
+        return meet(candidates, queries, groups, kernel)
+
+    monkeypatch.setattr(exact_topk, "meet", noted)
+    rng = np.random.default_rng(9)
+    rows = [(i, [int(x * 64) for x in v]) for i, v in vector_rows(rng, 700, 12)]
+    frame = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    got = answers(exact_topk.exact_top_k(frame, F.col("vec_id") % 20 == 0, 5))
+    assert got == best_by_hand({i: np.array(v) for i, v in rows}, 5, lambda x, y: int(x @ y))
+    groups, held, asking = calls[0]
+    assert groups == 4 and held == {0, 1, 2, 3} and len(asking) > 1
+
+
 def test_neighbours_found_and_scored(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
     vectors = {r.vec_id: np.array(r.embedding, float) for r in rows}
