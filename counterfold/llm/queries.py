@@ -16,6 +16,7 @@ from counterfold.llm.mixing import mix_units
 from counterfold.llm.ngram_join import near_duplicates
 from counterfold.llm.packing import pack_documents
 from counterfold.llm.pii import find_personal_data
+from counterfold.llm.substring_dedup import drop_repeated_passages
 from counterfold.llm.token_counts import count_tokens
 from counterfold.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from counterfold.llm.vectors import usable
@@ -123,3 +124,25 @@ ed AS MATERIALIZED (SELECT a, b FROM ln UNION ALL SELECT b, a FROM ln),
 re(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT re.x, ed.b FROM re JOIN ed ON re.y = ed.a),
 least_id AS (SELECT x, min(y) AS component_id FROM re GROUP BY x)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN least_id ON x = d.doc_id"""
+
+
+@query
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return drop_repeated_passages(docs, window=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+# The windows of equal words in order of document and place; a word goes if a later one of them began at most 19 words before it.
+SQL["op13_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(ws) - 18, 1)), lambda i: array_to_string(ws[i:i + 19], ' '))) AS g,
+    unnest(range(1, greatest(len(ws) - 18, 1))) AS i FROM w),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM g) WHERE k > 1),
+u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+c AS (SELECT u.doc_id, u.i, word,
+    max(r.i) OVER (PARTITION BY u.doc_id ORDER BY u.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) IS NULL AS kept
+  FROM u LEFT JOIN r ON r.doc_id = u.doc_id AND r.i = u.i),
+s AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE NOT kept) AS n_removed,
+    string_agg(word, ' ' ORDER BY i) FILTER (WHERE kept) AS t FROM c GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN s ON s.doc_id = w.doc_id"""

@@ -18,6 +18,7 @@ COLUMNS = {
     "op8_ann": ["query_id", "rank", "vec_id", "score"],
     "op9_line_dedup": ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
     "op10_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+    "op13_substring_dedup": ["doc_id", "n_words", "n_removed", "kept_sha256"],
 }
 
 
