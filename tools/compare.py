@@ -44,6 +44,9 @@ def differences(spark_df, con, sql: str) -> str | None:
         return f"columns {sorted(left.columns)} vs {sorted(right.columns)}"
     if len(left) != len(right):
         return f"rows {len(left)} vs {len(right)}"
+    for c in left:
+        if right[c].dtype == "Int64" and left[c].dtype.kind == "f":  # whole numbers with nulls
+            left[c] = left[c].astype("Int64")
     kinds = [(c, left[c].dtype.kind, right[c].dtype.kind) for c in left if left[c].dtype.kind != right[c].dtype.kind]
     a, b = canonical(left), canonical(right)
     bad = [(x, y) for x, y in zip(a, b, strict=True) if x != y]
