@@ -16,6 +16,7 @@ from counterfold.llm.mixing import mix_units
 from counterfold.llm.ngram_join import near_duplicates
 from counterfold.llm.packing import pack_documents
 from counterfold.llm.pii import find_personal_data
+from counterfold.llm.prefix_trie import prefix_trie
 from counterfold.llm.substring_dedup import drop_repeated_passages
 from counterfold.llm.token_counts import count_tokens
 from counterfold.llm.toxicity import fit_toxicity, held_out, score_toxicity
@@ -146,3 +147,34 @@ s AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE NOT kept) AS n_
     string_agg(word, ' ' ORDER BY i) FILTER (WHERE kept) AS t FROM c GROUP BY doc_id)
 SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN s ON s.doc_id = w.doc_id"""
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+# A node is the path of its turns' digests; a subtree is what starts with its path. crc32 goes bit by bit.
+SQL["op12_prefix_trie"] = r"""
+WITH o AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS t,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, c - c % 100 AS base, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(c::VARCHAR, ''),
+    lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, 3988292384 * (s & 1)) END), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT c FROM o)),
+re AS (SELECT k.c, 0 AS part, o.i, r, t FROM k JOIN o ON o.c = base AND o.i <= h
+  UNION ALL SELECT k.c, 1, o.i, r, t FROM k JOIN o ON o.c = k.c AND o.i > h),
+se AS (SELECT c, row_number() OVER w AS d, length(t) AS size, string_agg(md5(length(r) || ':' || r || t), ',') OVER w AS path
+  FROM re WINDOW w AS (PARTITION BY c ORDER BY part, i)
+  UNION ALL SELECT c, 0, 0, '' FROM k),
+le AS (SELECT c, max(d) AS n FROM se GROUP BY c),
+nd AS (SELECT path, d, min(se.c) AS c, count(*) AS m, max(size) AS size,
+    string_agg(se.c::VARCHAR, ',' ORDER BY se.c) FILTER (WHERE d = n) AS ends FROM se JOIN le USING (c) GROUP BY path, d),
+ch AS (SELECT v.path, p.c AS up FROM nd v JOIN nd p ON p.d = v.d - 1 AND p.path = substr(v.path, 1, greatest(33 * v.d - 34, 0))),
+le2 AS (SELECT path, NOT EXISTS (SELECT 1 FROM nd y WHERE y.d = x.d + 1 AND starts_with(y.path, x.path)) AS leaf FROM nd x),
+su AS (SELECT v.path, count(*) FILTER (WHERE leaf) AS n_leaves, sum((u.m - 1) * u.size)::BIGINT AS saved
+  FROM nd v JOIN nd u ON u.d >= v.d AND starts_with(u.path, v.path) JOIN le2 ON le2.path = u.path GROUP BY v.path)
+SELECT nd.c AS conv_id, nd.d AS depth, up AS parent_conv_id, nd.m AS n_convs,
+  (SELECT count(*) FROM nd y WHERE y.d = nd.d + 1 AND starts_with(y.path, nd.path)) AS n_children, n_leaves, saved AS saved_tokens,
+  sha256(coalesce(ends, '')) AS ends_sha256
+FROM nd JOIN su USING (path) LEFT JOIN ch USING (path)"""
