@@ -11,6 +11,7 @@ from counterfold.llm.ann import approximate_top_k
 from counterfold.llm.common import read_table
 from counterfold.llm.exact_topk import exact_top_k
 from counterfold.llm.html_extraction import extract_main_text
+from counterfold.llm.lexical_search import search_documents
 from counterfold.llm.line_dedup import drop_repeated_lines
 from counterfold.llm.mixing import mix_units
 from counterfold.llm.ngram_join import near_duplicates
@@ -178,3 +179,23 @@ SELECT nd.c AS conv_id, nd.d AS depth, up AS parent_conv_id, nd.m AS n_convs,
   (SELECT count(*) FROM nd y WHERE y.d = nd.d + 1 AND starts_with(y.path, nd.path)) AS n_children, n_leaves, saved AS saved_tokens,
   sha256(coalesce(ends, '')) AS ends_sha256
 FROM nd JOIN su USING (path) LEFT JOIN ch USING (path)"""
+
+
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=10)
+
+
+SQL["op11_lexical_search"] = r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM f GROUP BY doc_id),
+z AS (SELECT count(*) AS nn, sum(n)::BIGINT AS l FROM d),
+w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, z GROUP BY term, nn),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * nn) // l))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN f USING (term) JOIN d USING (doc_id), z GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10"""

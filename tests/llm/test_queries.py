@@ -18,6 +18,7 @@ COLUMNS = {
     "op8_ann": ["query_id", "rank", "vec_id", "score"],
     "op9_line_dedup": ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
     "op10_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+    "op11_lexical_search": ["item_id", "rank", "doc_id", "score"],
     "op12_prefix_trie": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
     "op13_substring_dedup": ["doc_id", "n_words", "n_removed", "kept_sha256"],
 }
@@ -27,7 +28,7 @@ def test_all_are_registered():
     import __spark_entry__ as entry
 
     assert set(QUERIES) == set(COLUMNS) and {*COLUMNS, "pipeline"} <= set(entry.queries())
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -40,7 +41,9 @@ def test_query_covers_its_table(spark, sf_dir, name):
     out = QUERIES[name](spark, sf_dir)
     assert out.columns == COLUMNS[name]
     table, key = {"op2_html_extraction": ("pages", "page_id"), "op6_exact_topk": ("embeddings", "vec_id"), "op8_ann": ("embeddings", "vec_id"),
-                  "op12_prefix_trie": ("conversations", "conv_id")}.get(
+                  "op11_lexical_search": ("benchmark", "item_id"),
+                  "op11_lexical_search": ["item_id", "rank", "doc_id", "score"],
+    "op12_prefix_trie": ("conversations", "conv_id")}.get(
         name, ("documents", "doc_id"))
     source = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key)
     if table == "embeddings":
