@@ -9,8 +9,7 @@ counted in two steps, both exact.  The anchor of a window is the place of the
 least hash among its short grams.  Equal windows have equal anchors, so a window
 whose anchor gram is found once in the whole corpus is not repeated.  About one
 place in seven is an anchor; only they are counted first.  Then only the windows
-whose anchors repeat are counted by their own hash, of which the anchor's is
-the second half.
+whose anchors repeat are counted, by their own 64-bit hash and 32 bits of the anchor's.
 
 Within a slice of a task equal grams and windows meet before the shuffle: one
 row for each goes on, the others are decided at once, so a passage that a third
@@ -136,7 +135,11 @@ def _keys(rows: pa.RecordBatch, owner: np.ndarray) -> list[pa.Array]:
 
 
 def _anchor_rows(window: int):
-    """A row per anchor: what its gram is dealt by, how often the gram is known to be there, and its place."""
+    """A row per anchor: what its gram is dealt by, and its place with a last bit that says that the gram is known to repeat.
+
+    Columns that differ from row to row come first and what a text's rows share comes
+    last, which takes far less to shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, hashes, owner in _slices(batches):
@@ -149,14 +152,14 @@ def _anchor_rows(window: int):
             ordered = value[order]
             head = np.concatenate([[True], ordered[1:] != ordered[:-1]])[:len(ordered)]
             begins = np.flatnonzero(head)
-            known = np.full(len(order), 2, np.int64)  # of later ones it is known that they repeat
-            known[begins] = np.diff(np.append(begins, len(order)))
-            place = anchors[order]
-            deal = np.where(head, ordered, _mixed(ordered ^ (place.astype(np.uint64) << np.uint64(20)) ^ np.uint64(len(hashes))))
-            at = owner[place]
+            known = np.ones(len(order), np.int64)  # of later ones it is known that they repeat
+            known[begins] = np.diff(np.append(begins, len(order))) > 1
+            deal = np.where(head, ordered, _mixed(ordered ^ (order.astype(np.uint64) << np.uint64(20)) ^ np.uint64(len(hashes))))
+            back = np.argsort(order)
+            at = owner[anchors]
+            place = anchors - _first_words(owner, rows.num_rows)[at]
             yield pa.RecordBatch.from_arrays(
-                [_signed(deal), pa.array(known), *_keys(rows, at), pa.array((place - _first_words(owner, rows.num_rows)[at]).astype(np.int32))],
-                names=["deal", "known", *_KEY, "place"])
+                [_signed(deal[back]), pa.array(place << 1 | known[back]), *_keys(rows, at)], names=["deal", "place", *_KEY])
     return run
 
 
@@ -165,6 +168,7 @@ def _window_rows(window: int):
 
     The earliest of each in a slice goes on by its hash with ``n`` = 0; runs of
     ``n`` later ones, which are already decided, are dealt out by their place.
+    ``second`` holds 32 bits of the anchor's hash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +179,7 @@ def _window_rows(window: int):
             first = _first_words(owner, rows.num_rows)
             repeats = np.zeros(len(hashes), bool)
             for row, places in enumerate(rows.column("places")):
-                repeats[first[row] + np.asarray(places.values, np.int64)] = True
+                repeats[first[row] + places.values.to_numpy()] = True
             wanted = repeats[anchors]
             starts, second = starts[wanted], grams[anchors[wanted]]
             if not len(starts):
@@ -202,11 +206,12 @@ def _window_rows(window: int):
             length = np.diff(np.append(run_begin, len(late)))
             out = np.concatenate([np.flatnonzero(~goes), late[run_begin]])
             n = np.concatenate([np.zeros(len(starts) - len(late), np.int32), length.astype(np.int32)])
+            out, n = (c[np.argsort(out)] for c in (out, n))
             spread = _mixed(value[out] + (place[out].astype(np.uint64) << np.uint64(20)) + text_hash[at[out]].view(np.uint64))
             yield pa.RecordBatch.from_arrays(
-                [_signed(np.where(n > 0, spread, value[out])), _signed(second[out]), *_keys(rows, at[out]),
-                 pa.array(place[out].astype(np.int32)), pa.array(n)],
-                names=["value", "second", *_KEY, "place", "n"])
+                [_signed(np.where(n > 0, spread, value[out])), pa.array((second[out] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                 pa.array(place[out].astype(np.int32)), *_keys(rows, at[out]), pa.array(n)],
+                names=["value", "second", "place", *_KEY, "n"])
     return run
 
 
@@ -231,9 +236,9 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
     (number of windows in a row).
     """
     key = [F.col(f"__{c}").alias(c) for c in _KEY]
-    anchors = docs.select(*key, "text").mapInArrow(_anchor_rows(window), f"deal long, known long, {_KEY_SCHEMA}, place int")
-    often = anchors.withColumn("__all", F.sum("known").over(Window.partitionBy("deal"))).where("__all > 1")
-    places = often.groupBy(*_KEY).agg(F.collect_set("place").alias("places"))
+    anchors = docs.select(*key, "text").mapInArrow(_anchor_rows(window), f"deal long, place long, {_KEY_SCHEMA}")
+    often = anchors.withColumn("__all", F.sum(1 + F.col("place") % 2).over(Window.partitionBy("deal"))).where("__all > 1")
+    places = often.groupBy(*_KEY).agg(F.collect_set(F.shiftright("place", 1)).alias("places"))
     rows = _with(docs, places, "inner").withColumnsRenamed({f"__{c}": f"__k_{c}" for c in _KEY})
 
     def of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +247,7 @@ def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
                 [*(b.column(f"__k_{c}") for c in _KEY), b.column("text"), b.column("places")], names=[*_KEY, "text", "places"])
 
     find = _window_rows(window)
-    windows = rows.mapInArrow(lambda batches: find(of_keys(batches)), f"value long, second long, {_KEY_SCHEMA}, place int, n int")
+    windows = rows.mapInArrow(lambda batches: find(of_keys(batches)), f"value long, second int, place int, {_KEY_SCHEMA}, n int")
     order = Window.partitionBy("value", "second").orderBy(F.col("has_id").desc(), "doc_id", "text_hash", "place")
     later = windows.withColumn("__rank", F.rank().over(order)).where("n > 0 OR __rank > 1")
     return later.select(*_KEY, "place", F.greatest("n", F.lit(1)).alias("n"))
