@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows below which a plain join is already cheap whatever the key distribution.
 PLAIN_JOIN_ROWS = 5_000_000
@@ -63,20 +64,42 @@ def spread_join(
     return salted_big.join(salted_dim, [*on, "__salt"], how).drop("__salt")
 
 
-#: Rows up to which a narrow lookup table (keys and a few scalars) is broadcast.
-BROADCAST_ROWS = 100_000
+#: Bytes up to which a lookup table is broadcast.
+BROADCAST_BYTES = 16 * 1024 * 1024
+
+
+def _bytes_of(col: Column, kind: T.DataType) -> Column:
+    """Bytes that a value takes in a row, but for what rows cost anyway."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(col)
+    elif isinstance(kind, T.ArrayType):
+        flat = not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))
+        size = 8 * F.size(col) if flat else F.length(F.to_json(col))
+    elif isinstance(kind, (T.MapType, T.StructType)):
+        size = F.length(F.to_json(col))
+    else:
+        size = F.lit(0)
+    return F.coalesce(size.cast("long"), F.lit(0)) + 8
+
+
+def fits_broadcast(dim: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether all rows of ``dim`` together stay within ``most`` bytes; reads ``dim`` once."""
+    row = F.lit(16)
+    for f in dim.schema.fields:
+        row = row + _bytes_of(F.col(f.name), f.dataType)
+    return (dim.agg(F.sum(row)).first()[0] or 0) <= most
 
 
 def lookup_join(
     big: DataFrame, dim: DataFrame, on: list[str], how: str = "left", salt_by: list[str] | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Join a lookup table that is cheap to count, such as one already written.
+    """Join a lookup table that is cheap to read, such as one already written.
 
     Shuffling rows by a key with few values would put them into few tasks.  A
-    table counted to be small is broadcast instead; a larger one has many keys
+    table measured to be small is broadcast instead; a larger one has many keys
     and goes through :func:`spread_join`.
     """
-    if dim.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if fits_broadcast(dim, broadcast_bytes):
         return big.join(F.broadcast(dim), on, how)
     return spread_join(big, dim, on, how, salt_by)

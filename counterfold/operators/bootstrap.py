@@ -14,8 +14,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from counterfold.functions.hashing import hash32
-from counterfold.operators.ordering import dense_index
 
 #: How a replicate weights the units; a choice of the caller, never of the size.
 METHODS = ("percentile", "percentile_poisson")
@@ -30,33 +28,84 @@ def replicate_sums(
     A row of ``unit_stats`` stands for ``mult`` alike units (1 without that
     column) and holds the sums over all of them.
 
-    ``percentile`` draws exactly ``n`` units with replacement per replicate;
-    ``percentile_poisson`` gives each unit an independent Poisson(1) count,
-    which needs neither an index of the units nor a join.
+    ``percentile`` draws exactly ``n`` units with replacement per replicate (``n`` is
+    a group's own number of units); ``percentile_poisson`` gives each unit an
+    independent Poisson(1) count.
     """
     if method not in METHODS:
         raise ValueError(f"unknown bootstrap method {method!r}; one of {METHODS}")
     by = by or ["agent"]
     if "mult" not in unit_stats.columns:
         unit_stats = unit_stats.withColumn("mult", F.lit(1).cast("long"))
-    ids = unit_stats.select(unit, "mult").distinct()
-    n_units = int(ids.agg(F.coalesce(F.sum("mult"), F.lit(0))).first()[0])
+    n_units = unit_stats.groupBy(*by).agg(F.sum("mult").alias("m")).agg(F.coalesce(F.max("m"), F.lit(0))).first()[0]
     if method == "percentile":
-        return _drawn(unit_stats, ids, sums, n_bootstrap, seed, unit, by, n_units), method, n_units
-    return _poisson(unit_stats, sums, n_bootstrap, seed, unit, by), method, n_units
+        return _drawn(unit_stats, sums, n_bootstrap, seed, unit, by), method, int(n_units)
+    return _poisson(unit_stats, sums, n_bootstrap, seed, unit, by), method, int(n_units)
 
 
-def _drawn(unit_stats, ids, sums, n_bootstrap, seed, unit, by, n_units) -> DataFrame:
-    each = ids.select(unit, F.explode(F.sequence(F.lit(1).cast("long"), F.col("mult"))).alias("__k"))
-    indexed = dense_index(each, [unit, "__k"], "__i")
-    draws = unit_stats.sparkSession.range(n_bootstrap * n_units).select(
-        F.floor(F.col("id") / F.lit(n_units)).cast("int").alias("rep"),
-        F.pmod(hash32(seed, F.floor(F.col("id") / F.lit(n_units)), F.col("id") % F.lit(n_units)),
-               F.lit(n_units)).alias("__i"),
-    )
-    counts = draws.join(indexed, "__i").groupBy("rep", unit).agg(F.count("*").alias("__c"))
-    share = F.col("__c") / F.col("mult")
-    return counts.join(unit_stats, unit).groupBy(*by, "rep").agg(*[F.sum(share * F.col(s)).alias(s) for s in sums])
+#: Rows of a leaf of the tree of draws; the driver holds one number per leaf.
+LEAF_ROWS = 50_000
+#: Rows of a leaf that are drawn at once.
+_PIECE = 4096
+
+
+def _leaf_draws(below: np.ndarray, leaf: int, n_bootstrap: int, seed: int) -> np.ndarray:
+    """How many of a replicate's draws fall into a leaf, for all replicates.
+
+    ``below`` holds the units in all leaves before each, and all at the end.  A node's
+    draws are parted between its two halves by one binomial, keyed by the node,
+    so that all leaves agree on them without being told.
+    """
+    low, high = 0, len(below) - 1
+    draws = np.full(n_bootstrap, below[-1], np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        left, whole = below[middle] - below[low], below[high] - below[low]
+        first = np.random.default_rng([seed, low, high]).binomial(draws, left / whole if whole else 0.0)
+        draws, low, high = (first, low, middle) if leaf < middle else (draws - first, middle, high)
+    return draws
+
+
+def _drawn(unit_stats, sums, n_bootstrap, seed, unit, by) -> DataFrame:
+    """Exactly n units with replacement per replicate, by a tree of multinomial draws.
+
+    The n draws are split over leaves of units (a hash of the unit decides) and
+    then over the rows of a leaf, so only sums leave a task: there is no index of units, no
+    list of draws and no join.  Groups with the same units get the same draws.
+    """
+    rows = unit_stats.groupBy(*by).agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
+    leaves = max(1, min(65_536, -(-rows // LEAF_ROWS)))
+    leaf = F.pmod(F.xxhash64(F.lit(seed), F.col(unit).cast("string")), F.lit(leaves)).cast("int")
+    typed = unit_stats.select(*by, F.col(unit).cast("string").alias("__unit"), F.col("mult").cast("long").alias("mult"),
+                              *[F.col(s).cast("double").alias(s) for s in sums], leaf.alias("__leaf"))
+    below: dict[tuple, np.ndarray] = {}
+    for r in typed.groupBy(*by, "__leaf").agg(F.sum("mult").alias("m")).collect():  # a number per group and leaf
+        below.setdefault(tuple(r[b] for b in by), np.zeros(leaves + 1, np.int64))[r["__leaf"] + 1] = r["m"]
+    below = {k: np.cumsum(v) for k, v in below.items()}
+
+    def draw(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        group, at = key[:-1], int(key[-1])
+        group = tuple(g.item() if isinstance(g, np.generic) else g for g in group)
+        frame = frame.sort_values("__unit", kind="stable")
+        mult, values = frame["mult"].to_numpy(np.int64), np.nan_to_num(frame[sums].to_numpy(np.float64))
+        left = _leaf_draws(below[group], at, n_bootstrap, seed)
+        rng = np.random.default_rng([seed, at, leaves, 1])
+        total, units = np.zeros((n_bootstrap, len(sums))), int(mult.sum())
+        for start in range(0, len(frame), _PIECE):
+            m, x = mult[start:start + _PIECE], values[start:start + _PIECE]
+            here = rng.binomial(left, m.sum() / units) if units > m.sum() else left
+            counts = rng.multinomial(here, m / m.sum())
+            total += counts / m @ x
+            left, units = left - here, units - int(m.sum())
+        out = pd.DataFrame(total, columns=sums)
+        out.insert(0, "rep", np.arange(n_bootstrap, dtype=np.int32))
+        for name, value in zip(by, group, strict=True):
+            out[name] = value
+        return out[[*by, "rep", *sums]]
+
+    types = {f.name: f.dataType.simpleString() for f in unit_stats.schema.fields}
+    schema = ", ".join([*[f"{b} {types[b]}" for b in by], "rep int", *[f"{s} double" for s in sums]])
+    return typed.groupBy(*by, "__leaf").applyInPandas(draw, schema).groupBy(*by, "rep").agg(*[F.sum(s).alias(s) for s in sums])
 
 
 def _poisson_cdf(mean: int) -> tuple[int, np.ndarray]:

@@ -9,19 +9,21 @@ policy, and a context holding most of the log is a handful of cells.
 from __future__ import annotations
 
 import dataclasses as dc
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from counterfold.errors import refuse_if
 from counterfold.functions.rows import one_row
-from counterfold.functions.skew import lookup_join
 from counterfold.operators.bootstrap import METHODS, percentile_interval, replicate_sums
 from counterfold.operators.checks import validate_policy
 from counterfold.operators.ordering import dense_index
 from counterfold.operators.propensity import ENUMERATED_ROUNDS_PER_CELL
-from counterfold.operators.reward_model import PRIOR_WEIGHT, RewardModel, tabular_reward_model
-from counterfold.operators.splits import context_folds
+from counterfold.operators.reward_model import (
+    PRIOR_WEIGHT, RIDGE, LinearRewardModel, RewardModel, linear_reward_model, tabular_reward_model,
+)
+from counterfold.operators.splits import context_folds, deal_rounds, stratified_folds
 from counterfold.params import EPSILON, NEEDS_REWARD_MODEL, EvaluationParams
 from counterfold.session import durable
 
@@ -30,6 +32,10 @@ OK, NOT_IDENTIFIABLE = "ok", "not_identifiable"
 NO_OVERLAP, DR_IS_DM, NO_INTERVAL = "no_overlap", "dr_reduces_to_dm", "ci_unavailable"
 LOW_ESS_SHARE = 0.01
 
+Model = RewardModel | LinearRewardModel
+#: Fits a model on cells: ``fit(cells, weight=, weighted_reward=, group=, pairs=)``.
+Fit = Callable[..., Model]
+
 _SUMS = ["n", "w", "w2", "wr", "eq", "corr", "meq", "mcorr", "rsum", "rn"]
 
 
@@ -205,12 +211,13 @@ class Evaluation:
     n_contexts: int
 
 
-def _unit_cells(rounds: DataFrame, n_actions: int, params: EvaluationParams, folded: bool, seed: int):
-    """Cell sums per independent unit with their fold, the unit, and the context count.
+def _unit_cells(rounds: DataFrame, n_actions: int, params: EvaluationParams, folded: bool, seed: int, unit_column: str | None):
+    """Cell sums per independent unit with their fold, the unit, the columns of a row, and the context count.
 
     The rounds are scanned once into (context, action) cells, which also settle
     the invariants and the unit.  When the round is the unit, rounds that agree in
-    everything an estimator reads are kept as one row with their number.
+    everything an estimator reads are kept as one row with their number.  Folds
+    are of rounds only then, otherwise of contexts.
     """
     cells = durable(logged_cells(rounds, ("context_id", "action")))
     row = cells.agg(
@@ -225,6 +232,10 @@ def _unit_cells(rounds: DataFrame, n_actions: int, params: EvaluationParams, fol
     bad = {k: v for k, v in row.items() if k.endswith(("range", "missing")) and v}
     refuse_if(bool(bad), "invalid_rounds", "rows break the rounds contract", **bad)
     unit = resolve_unit(row["n_rounds"], row["n_cells"], row["n_contexts"], params.independent_unit)
+    if unit_column is not None:
+        refuse_if(unit_column not in rounds.columns, "missing_unit", f"no column {unit_column!r}", columns=rounds.columns[:20])
+        unit = unit_column
+        cells = durable(logged_cells(rounds.withColumn("__unit", F.col(unit_column).cast("string")), ("__unit", "context_id", "action")))
     if unit == "round":
         narrow = rounds.select("round_id", "context_id", "action", "reward", "propensity")
         narrow = context_folds(narrow, params.folds, seed, key="round_id") if folded else narrow.withColumn("fold", F.lit(0))
@@ -234,7 +245,8 @@ def _unit_cells(rounds: DataFrame, n_actions: int, params: EvaluationParams, fol
         cells = durable(cells.join(folds, "context_id"))
     else:
         cells = cells.withColumn("fold", F.lit(0))
-    return cells, unit, row["n_contexts"]
+    key = ["round_id", "context_id"] if unit == "round" else ["context_id"] if unit_column is None else ["__unit", "context_id"]
+    return cells, unit, key, row["n_contexts"]
 
 
 def _agent_cells(cells: DataFrame, policies: DataFrame | None, uniform: tuple[str, ...], n_actions: int) -> DataFrame:
@@ -250,14 +262,12 @@ def _agent_cells(cells: DataFrame, policies: DataFrame | None, uniform: tuple[st
 
 
 def _expected_q(
-    model: RewardModel, policies: DataFrame | None, uniform: tuple[str, ...], name: str
+    model: Model, policies: DataFrame | None, uniform: tuple[str, ...], name: str
 ) -> DataFrame:
     """``(agent, context_id, fold, name)``: E_pi[q] once per context and fold."""
     out = None
     if policies is not None:
-        keys = model.keys
-        rows = lookup_join(policies.join(keys, [*model.group, "context_id"]), model.table,
-                           [*model.group, "model_key", "action"])
+        rows = model.q_at(policies.join(model.folds(), [*model.group, "context_id"]))
         out = rows.groupBy("agent", "context_id", "fold").agg(F.sum(F.col("prob") * F.col("q")).alias(name))
     for agent in uniform:
         part = model.uniform_q(name)
@@ -272,33 +282,61 @@ def _agents(policies: DataFrame | None, uniform: tuple[str, ...], spark) -> list
     return sorted({*named, *uniform})
 
 
-def _mrdr_folds(base: DataFrame, supported: DataFrame, n_folds: int, seed: int, key: str) -> DataFrame:
-    """Fold per (agent, unit): supported units are balanced among themselves.
+def _mrdr_folds(base: DataFrame, supported: DataFrame, n_folds: int, seed: int, key: list[str], by_round: bool) -> DataFrame:
+    """``base`` with fold and number of rounds per (agent, row): supported ones are balanced among themselves.
 
-    Units without weight do not enter the fit and keep the shared fold.
+    Rows without weight do not enter the fit and keep the shared fold.  Contexts go into
+    one fold whole; the rounds that a row stands for are dealt over the folds.
     """
-    from counterfold.operators.splits import stratified_folds
+    if by_round:
+        dealt = deal_rounds(supported, n_folds, seed, key="round_id", mult="n", group=("agent",)).select(
+            "agent", "round_id", F.col("fold").alias("__f"), F.col("n").alias("__n"))
+        out = base.join(dealt, ["agent", "round_id"], "left").withColumn("n", F.coalesce("__n", "n")).drop("__n")
+    else:
+        ranked = stratified_folds(
+            supported.select("agent", "context_id").distinct().withColumn("supported", F.lit(True)), n_folds, seed, group=("agent",))
+        out = base.join(ranked.select("agent", "context_id", F.col("fold").alias("__f")), ["agent", "context_id"], "left")
+    return out.withColumn("fold", F.coalesce("__f", "fold").cast("int")).drop("__f")
+
 
-    ranked = stratified_folds(supported.withColumn("supported", F.lit(True)), n_folds, seed, key=key, group=("agent",))
-    return base.join(ranked.select("agent", key, F.col("fold").alias("__f")), ["agent", key], "left").withColumn(
-        "fold", F.coalesce("__f", "fold")).drop("__f")
+def reward_model_fit(
+    n_actions: int, n_folds: int, buckets: DataFrame | None = None, contexts: DataFrame | None = None,
+    prior: float = PRIOR_WEIGHT, ridge: float = RIDGE,
+) -> Fit:
+    """How dm, dr and each agent's mrdr fit their reward model.
+
+    ``contexts`` (context_id, context) give ridge regressions per arm, else
+    ``buckets`` (context_id, bucket) shrunk means.
+    """
+    if contexts is not None:
+        contexts = durable(contexts.select("context_id", "context"))
+        dim = contexts.agg(F.max(F.size("context"))).first()[0] or 0
+        return lambda cells, **kw: linear_reward_model(cells, contexts, n_actions, n_folds, dim, ridge, **kw)
+    buckets = durable(buckets.select("context_id", "bucket"))
+    return lambda cells, **kw: tabular_reward_model(cells, buckets, n_actions, n_folds, prior, **kw)
 
 
 def prepare_evaluation(
     rounds: DataFrame, policies: DataFrame | None, n_actions: int, params: EvaluationParams,
     uniform: tuple[str, ...] = (), buckets: DataFrame | None = None, block: DataFrame | None = None,
-    model: RewardModel | None = None, prior: float = PRIOR_WEIGHT, seed: int = 42,
+    model: Model | None = None, prior: float = PRIOR_WEIGHT, seed: int = 42, contexts: DataFrame | None = None,
+    fit: Fit | None = None, unit_column: str | None = None,
 ) -> Evaluation:
     """Reduce rounds, policies, reward models and ground truth to unit statistics.
 
     ``rounds``: round_id, context_id, action, reward, propensity.
     ``policies``: agent, context_id, action, prob.  ``uniform`` names agents that
-    play uniformly and need no table.  ``buckets``: context_id, bucket.
+    play uniformly and need no table.  Reward models come from ``fit`` (see
+    :func:`reward_model_fit`), or from ``contexts`` or ``buckets`` through it; ``model`` is
+    one that was fitted before and serves dm and dr.  ``unit_column`` names the
+    column of ``rounds`` that holds the independent unit, such as a user or a persona.
     """
     refuse_if("exact" in params.estimators and block is None, "no_ground_truth",
               "the exact value needs an observed block")
     needs_q = bool(set(params.estimators) & NEEDS_REWARD_MODEL)
-    refuse_if(needs_q and buckets is None and model is None, "no_reward_model",
+    shared = bool(set(params.estimators) & (NEEDS_REWARD_MODEL - {"mrdr"}))
+    can_fit = not (buckets is None and contexts is None and fit is None)
+    refuse_if((shared and model is None or "mrdr" in params.estimators) and not can_fit, "no_reward_model",
               "dm, dr and mrdr need a reward model", estimators=params.estimators)
     spark = rounds.sparkSession
     if policies is not None:
@@ -307,44 +345,40 @@ def prepare_evaluation(
         validate_policy(policies.withColumn("context_id", F.struct("agent", "context_id")), n_actions)
     agents = _agents(policies, uniform, spark)
     agent_list = F.explode(F.array(*[F.lit(a) for a in agents])).alias("agent")
-    cells, unit, n_contexts = _unit_cells(rounds, n_actions, params, needs_q, seed)
-    unit_key = "context_id" if unit == "context" else "round_id"
-    if buckets is not None:
-        buckets = durable(buckets.select("context_id", "bucket"))
-    fit_cells = cells if unit == "context" else cells.groupBy("context_id", "fold", "action").agg(
-        *[F.sum(c).alias(c) for c in ("n", "r", "m", "mr", "m_rounds")])
-    if needs_q and model is None:
-        model = tabular_reward_model(fit_cells, buckets, n_actions, params.folds, prior)
+    cells, unit, key, n_contexts = _unit_cells(rounds, n_actions, params, needs_q, seed, unit_column)
+    if needs_q and fit is None and can_fit:
+        fit = reward_model_fit(n_actions, params.folds, buckets, contexts, prior)
+    if shared and model is None:
+        fit_cells = cells if key == ["context_id"] else cells.groupBy("context_id", "fold", "action").agg(
+            *[F.sum(c).alias(c) for c in ("n", "r", "m", "mr", "m_rounds")])
+        model = fit(fit_cells)
     if model is not None:
-        model = dc.replace(model, table=durable(model.table))
-    label = model.label if model is not None else "none"
+        model = model.written()
 
-    # base: every (agent, unit), whether or not any of its rounds is supported
-    base = cells.groupBy(unit_key, *(["context_id"] if unit == "round" else []), "fold").agg(
-        F.sum("n").alias("n")).select("*", agent_list)
+    # base: every (agent, row), whether or not any of its rounds is supported
+    base = cells.groupBy(*key, "fold").agg(F.sum("n").alias("n")).select("*", agent_list)
     mine = _agent_cells(cells, policies, uniform, n_actions)
     if model is not None:
         mine = model.q_at(mine)
     else:
         mine = mine.withColumn("q", F.lit(0.0))
-    weighted = mine.groupBy("agent", unit_key).agg(
+    weighted = mine.groupBy("agent", *key).agg(
         F.sum(F.col("pi") * F.col("inv")).alias("w"), F.sum(F.col("pi") ** 2 * F.col("inv2")).alias("w2"),
         F.sum(F.col("pi") * F.col("rinv")).alias("wr"),
         F.sum(F.col("pi") * (F.col("rinv") - F.col("q") * F.col("inv"))).alias("corr"),
         F.sum(F.when(F.col("pi") > 0, F.col("m_rounds")).otherwise(0)).alias("m_rounds"),
     )
-    stats = base.join(weighted, ["agent", unit_key], "left")
+    stats = base.join(weighted, ["agent", *key], "left")
     if model is not None:
         stats = stats.join(_expected_q(model, policies, uniform, "__eq"), ["agent", "context_id", "fold"], "left")
     else:
         stats = stats.withColumn("__eq", F.lit(None).cast("double"))
 
     if "mrdr" in params.estimators:
-        stats = stats.join(
-            _mrdr_stats(cells, policies, uniform, n_actions, buckets, params, unit, unit_key, agent_list, prior, seed),
-            ["agent", unit_key], "left")
+        stats = stats.join(_mrdr_stats(cells, policies, uniform, n_actions, fit, params, unit, key, base, seed), ["agent", *key], "left")
     else:
-        stats = stats.withColumn("meq", F.lit(None).cast("double")).withColumn("mcorr", F.lit(None).cast("double"))
+        stats = stats.withColumns({"meq": F.lit(None).cast("double"), "mcorr": F.lit(None).cast("double"),
+                                   "part_n": F.col("n"), "part": F.lit(0)})
 
     if block is not None and "exact" in params.estimators:
         truth = None
@@ -357,49 +391,63 @@ def prepare_evaluation(
     else:
         stats = stats.withColumn("value", F.lit(None).cast("double"))
 
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    final = durable(stats.select(
-        "agent", F.col(unit_key).cast("string").alias("unit_id"), F.col("n").cast("double").alias("n"),
+    # a row of alike rounds was cut where the folds of mrdr cut it
+    share, n = F.col("part_n") / F.col("n"), F.col("part_n").cast("double")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)) * share
+    unit_id = F.concat_ws("|", "round_id", "part") if unit == "round" else F.col(key[0]).cast("string")
+    final = stats.select(
+        "agent", unit_id.alias("unit_id"), n.alias("n"),
         zero("w").alias("w"), zero("w2").alias("w2"), zero("wr").alias("wr"), zero("corr").alias("corr"),
-        (F.col("__eq") * F.col("n")).alias("eq"), "meq", "mcorr",
-        F.coalesce(F.col("value") * F.col("n"), F.lit(0.0)).alias("rsum"),
-        F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0).cast("double").alias("rn"),
+        (F.col("__eq") * n).alias("eq"), "meq", "mcorr",
+        F.coalesce(F.col("value") * n, F.lit(0.0)).alias("rsum"),
+        F.when(F.col("value").isNotNull(), n).otherwise(0.0).alias("rn"),
         zero("m_rounds").alias("m_rounds"),
+        F.when(F.col("m_rounds") > 0, F.col("context_id")).alias("supported"),
         # how many independent units the row stands for
-        (F.col("n") if unit == "round" else F.lit(1)).cast("long").alias("mult"),
-    ))
-    support = final.groupBy("agent").agg(
-        F.sum("m_rounds").cast("long").alias("supported_rounds"),
-        F.count_if(F.col("m_rounds") > 0).alias("supported_rows"), F.sum("rn").alias("rn"),
+        (F.col("part_n") if unit == "round" else F.lit(1)).cast("long").alias("mult"),
     )
+    if unit_column is not None:
+        final = final.groupBy("agent", "unit_id").agg(
+            *[F.sum(c).alias(c) for c in (*_SUMS, "m_rounds")], F.collect_set("supported").alias("supported"), F.max("mult").alias("mult"))
+        final = durable(final)
+        contexts_of = final.select("agent", F.explode("supported").alias("supported"))
+    else:
+        final = durable(final)
+        contexts_of = final.select("agent", "supported")
+    support = final.groupBy("agent").agg(
+        F.round(F.sum("m_rounds")).cast("long").alias("supported_rounds"), F.sum("rn").alias("rn"),
+    ).join(contexts_of.groupBy("agent").agg(F.count_distinct("supported").alias("supported_contexts")), "agent", "left").fillna(
+        0, ["supported_contexts"])
     if "exact" in params.estimators:
         empty = [r["agent"] for r in support.filter("rn = 0").collect()]
         refuse_if(bool(empty), "nothing_observed", "no round has a recorded reward for the chosen action",
                   agents=empty)
-    return Evaluation(final, support, unit, label, n_contexts)
+    return Evaluation(final.drop("supported"), support, unit, model.label if model is not None else "none", n_contexts)
 
 
-def _mrdr_stats(cells, policies, uniform, n_actions, buckets, params, unit, unit_key, agent_list, prior, seed):
-    """``(agent, unit, meq, mcorr)`` under a reward model refitted per agent."""
+def _mrdr_stats(cells, policies, uniform, n_actions, fit, params, unit, key, base, seed):
+    """``(agent, row, part, part_n, meq, mcorr)`` under a reward model refitted per agent.
+
+    ``part`` is the fold and ``part_n`` the number of the row's rounds in it.
+    """
     mine = _agent_cells(cells, policies, uniform, n_actions)
-    supported = mine.filter((F.col("m_rounds") > 0) & (F.col("pi") > 0)).select("agent", unit_key).distinct()
-    extra = ["context_id"] if unit == "round" else []
-    base = cells.groupBy(unit_key, *extra, "fold").agg(F.sum("n").alias("n")).select("*", agent_list)
-    folds = durable(_mrdr_folds(base, supported, params.folds, seed, unit_key))
-    mine = mine.drop("fold").join(folds.select("agent", unit_key, "fold"), ["agent", unit_key])
-    fit = mine.groupBy("agent", "context_id", "fold", "action").agg(
+    supported = mine.filter((F.col("m_rounds") > 0) & (F.col("pi") > 0)).select("agent", *key, "n")
+    folds = durable(_mrdr_folds(base, supported, params.folds, seed, key, unit == "round"))
+    parts = folds.select("agent", *key, "fold", F.col("n").alias("part_n"))
+    mine = mine.drop("fold").join(parts, ["agent", *key])
+    if unit == "round":  # a row is one cell here, and a part of it has its share of the sums
+        mine = mine.withColumns({c: F.col(c) * F.col("part_n") / F.col("n") for c in ("inv", "rinv", "m", "mr")})
+    fitted = mine.groupBy("agent", "context_id", "fold", "action").agg(
         F.sum(F.col("pi") * F.col("m")).alias("mw"), F.sum(F.col("pi") * F.col("mr")).alias("ms"))
-    model = tabular_reward_model(
-        fit, buckets, n_actions, params.folds, prior, weight="mw", weighted_reward="ms", group=("agent",),
-        keys=folds.select("agent", "context_id", "fold").distinct())
-    model = dc.replace(model, table=durable(model.table))
-    correction = model.q_at(mine).groupBy("agent", unit_key).agg(
+    model = fit(fitted, weight="mw", weighted_reward="ms", group=("agent",),
+                pairs=folds.select("agent", "context_id", "fold").distinct()).written()
+    correction = model.q_at(mine).groupBy("agent", *key, "fold").agg(
         F.sum(F.col("pi") * (F.col("rinv") - F.col("q") * F.col("inv"))).alias("mcorr"))
     expected = _expected_q(model, policies, uniform, "__meq")
     return (
-        folds.join(expected, ["agent", "context_id", "fold"], "left")
-        .join(correction, ["agent", unit_key], "left")
-        .select("agent", unit_key, (F.col("__meq") * F.col("n")).alias("meq"),
+        parts.join(expected, ["agent", "context_id", "fold"], "left")
+        .join(correction, ["agent", *key, "fold"], "left")
+        .select("agent", *key, F.col("fold").alias("part"), "part_n", (F.col("__meq") * F.col("part_n")).alias("meq"),
                 F.coalesce("mcorr", F.lit(0.0)).alias("mcorr"))
     )
 
@@ -410,10 +458,10 @@ def estimate(evaluation: Evaluation, params: EvaluationParams) -> DataFrame:
         *[F.sum(s).alias(s) for s in _SUMS], F.sum("mult").alias("n_independent_units"))
     totals = totals.join(evaluation.support.drop("rn"), "agent")
     no_overlap = F.col("w") <= EPSILON
-    # too few supported contexts to spread over the folds; a single kind of
-    # supported round would leave the model that scores it without any weight
-    least_rows = params.folds if evaluation.unit == "context" else 2
-    thin = (F.col("supported_rounds") < params.folds) | (F.col("supported_rows") < least_rows)
+    # what is dealt over the folds, rounds or whole contexts, must reach all of them
+    thin = F.col("supported_rounds") < params.folds
+    if evaluation.unit != "round":
+        thin = thin | (F.col("supported_contexts") < params.folds)
     rows = []
     for name in params.estimators:
         value, warn = estimator_value(name), F.array().cast("array<string>")
@@ -431,7 +479,10 @@ def estimate(evaluation: Evaluation, params: EvaluationParams) -> DataFrame:
         if name == "mrdr":
             status = F.when(thin, NOT_IDENTIFIABLE).otherwise(OK)
             value, ess = F.when(~thin, value), F.when(~thin, ess)
-            detail = F.when(thin, "fewer supported units than folds").otherwise(detail)
+            spread = "supported_rounds" if evaluation.unit == "round" else "supported_contexts"
+            detail = F.when(thin, F.concat(
+                F.lit("only "), F.col(spread).cast("string"), F.lit(f" {spread.replace('_', ' ')} of this agent for {params.folds} folds")
+            )).otherwise(detail)
             warn = F.when(thin, F.array().cast("array<string>")).otherwise(warn)
         rows.append(F.struct(
             F.lit(name).alias("estimator"), value.alias("value"), status.alias("status"),
@@ -448,11 +499,13 @@ def estimate(evaluation: Evaluation, params: EvaluationParams) -> DataFrame:
 def evaluate_policies(
     rounds: DataFrame, policies: DataFrame | None, n_actions: int, params: EvaluationParams,
     uniform: tuple[str, ...] = (), buckets: DataFrame | None = None, block: DataFrame | None = None,
-    model: RewardModel | None = None, seed: int = 42, provenance: dict[str, object] | None = None,
-    method: str = METHODS[0], prior: float = PRIOR_WEIGHT,
+    model: Model | None = None, seed: int = 42, provenance: dict[str, object] | None = None,
+    method: str = METHODS[0], prior: float = PRIOR_WEIGHT, contexts: DataFrame | None = None, fit: Fit | None = None,
+    unit_column: str | None = None,
 ) -> DataFrame:
     """Result rows: every estimator of every agent with its interval and provenance."""
-    ev = prepare_evaluation(rounds, policies, n_actions, params, uniform, buckets, block, model, prior, seed)
+    ev = prepare_evaluation(
+        rounds, policies, n_actions, params, uniform, buckets, block, model, prior, seed, contexts, fit, unit_column)
     points = estimate(ev, params)
     replicates, method, _ = replicate_sums(ev.unit_stats, _SUMS, params.n_bootstrap, seed, method=method)
     replicates = durable(replicates)

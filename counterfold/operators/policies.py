@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from counterfold.errors import refuse_if
 from counterfold.functions.rows import one_row
+from counterfold.operators.moments import moment_sums
 from counterfold.operators.propensity import BehaviourPolicy, score_cells
 from counterfold.params import PolicyParams
 from counterfold.session import durable
@@ -137,53 +138,9 @@ def popularity_constants(train: DataFrame, min_count: int = 100) -> DataFrame:
 
 
 def linucb_statistics(rounds: DataFrame, dim: int) -> DataFrame:
-    """Per-arm ``X'X``, ``X'r`` and counts: ``(action, xx, xr, n)``.
-
-    Each task sums its own rows per arm and sends one row per arm; vectors are
-    then added in the JVM.  An arm holding most of the rows is summed in all
-    tasks alike.
-    """
-
-    most_arms = max(1, ARM_BROADCAST_BYTES // (8 * (dim * dim + dim)))
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        xx: dict[int, np.ndarray] = {}
-        xr: dict[int, np.ndarray] = {}
-        n: dict[int, int] = {}
-
-        def rows() -> pd.DataFrame:
-            arms = list(n)
-            return pd.DataFrame({
-                "action": arms, "xx": [xx[k].ravel().tolist() for k in arms],
-                "xr": [xr[k].tolist() for k in arms], "n": [n[k] for k in arms],
-            })
-
-        for batch in batches:
-            if batch.empty:
-                continue
-            if len(n) > most_arms:  # a task's memory stays bounded for any catalogue
-                yield rows()
-                xx, xr, n = {}, {}, {}
-            x = np.asarray(batch["context"].tolist(), dtype=np.float64)
-            if x.shape[1] != dim:
-                raise ValueError(f"context has {x.shape[1]} entries, expected {dim}")
-            r = batch["reward"].to_numpy(np.float64)
-            a = batch["action"].to_numpy()
-            order = np.argsort(a, kind="stable")
-            x, r, a = x[order], r[order], a[order]
-            ends = np.append(np.flatnonzero(a[1:] != a[:-1]) + 1, len(a)).tolist()
-            for start, end in zip([0, *ends[:-1]], ends, strict=True):
-                arm, mine = int(a[start]), x[start:end]
-                xx[arm] = xx.get(arm, 0.0) + mine.T @ mine
-                xr[arm] = xr.get(arm, 0.0) + mine.T @ r[start:end]
-                n[arm] = n.get(arm, 0) + end - start
-        if n:
-            yield rows()
-
-    parts = rounds.select("action", "reward", "context").mapInPandas(
-        partial, "action long, xx array<double>, xr array<double>, n long"
-    )
-    return merge_linucb(parts)
+    """Per-arm ``X'X``, ``X'r`` and counts: ``(action, xx, xr, n)``, by :func:`moment_sums`."""
+    rows = rounds.select("action", "context", F.lit(1.0).alias("w"), F.col("reward").alias("s"))
+    return moment_sums(rows, ["action"], dim).select("action", "xx", F.col("xs").alias("xr"), "n")
 
 
 def merge_linucb(parts: DataFrame) -> DataFrame:

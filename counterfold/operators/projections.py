@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from counterfold.errors import refuse_if
-from counterfold.functions.skew import BROADCAST_ROWS, lookup_join
+from counterfold.functions.skew import fits_broadcast, lookup_join
 from counterfold.operators.encoding import as_category
 
-#: Embedding rows up to which the states are broadcast (tens of megabytes).
-STATE_BROADCAST_ROWS = 20_000
 #: Largest finite double: what an infinite feature becomes.
 MAX_FINITE = 1.7976931348623157e308
 
@@ -57,7 +55,7 @@ def attach_state(
     dim = embeddings.select(on, F.col("embedding").alias("context"))
     missing = rounds.select(on).distinct().join(dim.select(on), on, "left_anti").count()
     refuse_if(missing > 0, "embedding_missing", "users have no embedding", users=missing)
-    return lookup_join(rounds.drop("context"), dim, [on], "inner", salt_by, STATE_BROADCAST_ROWS)
+    return lookup_join(rounds.drop("context"), dim, [on], "inner", salt_by)
 
 
 def binarise_treatment(column: str, reference) -> Column:
@@ -84,8 +82,7 @@ def shape_rewards(
 def keep_actions(rounds: DataFrame, universe: DataFrame) -> DataFrame:
     """Rows whose ``action`` is in the universe; the log itself keeps all its rows."""
     actions = universe.select("action").distinct()
-    small = actions.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return rounds.join(F.broadcast(actions) if small else actions, "action", "left_semi")
+    return rounds.join(F.broadcast(actions) if fits_broadcast(actions) else actions, "action", "left_semi")
 
 
 def part_arrays(prepared: DataFrame, part: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from counterfold.errors import refuse_if
 from counterfold.functions.rows import one_row
-from counterfold.functions.skew import BROADCAST_ROWS, spread_join
+from counterfold.functions.skew import lookup_join, spread_join
 from counterfold.params import NEEDS_PROPENSITY, EvaluationParams
 
 #: Rounds per cell above which a block is a log rather than an enumeration.
@@ -57,10 +57,8 @@ def score_cells(policy: BehaviourPolicy, cells: DataFrame) -> DataFrame:
     never breaks.
     """
     a = F.lit(policy.shrinkage)
-    # one row per action, and their number is known
-    marginal = F.broadcast(policy.marginal) if policy.n_actions <= BROADCAST_ROWS else policy.marginal
     return (
-        cells.join(marginal, "action")
+        lookup_join(cells, policy.marginal, ["action"], "inner")
         .join(policy.pairs, ["user_idx", "action"], "left")
         .join(policy.totals, "user_idx", "left")
         .withColumn("propensity", (F.coalesce("n_pair", F.lit(0)) + a * F.col("marginal"))

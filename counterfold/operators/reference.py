@@ -6,16 +6,19 @@ cell and never a zero.  ``weights`` has (context_id, n_rounds).
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from counterfold.functions.hashing import hash32
 from counterfold.functions.rows import one_row
 from counterfold.functions.skew import lookup_join
-from counterfold.functions.statistics import correlation
-from counterfold.operators.ordering import average_rank, dense_index, hashed_index, median_row, prefix_sums
+from counterfold.functions.statistics import correlation, two_sided_p
+from counterfold.operators.ordering import average_rank, dense_index, median_row, prefix_sums
 from counterfold.session import durable
 
 N_PERMUTATIONS = 200
@@ -85,7 +88,8 @@ def feature_confound(features: DataFrame, values: DataFrame) -> DataFrame:
         "t_statistic",
         F.col("spearman_rho") * F.sqrt((F.col("n_items") - 2)
                                        / F.nullif(1 - F.col("spearman_rho") ** 2, F.lit(0.0))),
-    )
+    ).withColumn("p_value", F.when(F.col("spearman_rho") ** 2 < 1, two_sided_p(F.col("t_statistic"), F.col("n_items") - 2)).otherwise(
+        F.when((F.col("spearman_rho") ** 2 >= 1) & (F.col("n_items") > 2), F.lit(0.0))))
 
 
 def top_constants_against_median(features: DataFrame, values: DataFrame, k: int = 5) -> DataFrame:
@@ -132,26 +136,75 @@ def feature_adjusted_value(
     ).withColumn("feature_adjusted_residual", F.col("exact_value") - F.col("feature_predicted"))
 
 
+#: A prime; squares of numbers below it fit a long.
+_PRIME = 2**31 - 1
+#: Rounds of a keyed bijection.
+_ROUNDS = 6
+
+
+def bijection_keys(seed: int, rep: int) -> list[int]:
+    """One key per round."""
+    return [int(hashlib.md5(f"{seed}|{rep}|{k}".encode()).hexdigest()[:7], 16) for k in range(_ROUNDS)]
+
+
+def permuted(index: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+    """Where each ``index`` of 0..n-1 goes under the bijection of 0..n-1 that its row of ``keys`` names.
+
+    A Feistel network permutes the numbers below the next power of two: its halves take on
+    a keyed function of each other in turn.  A number that lands beyond n is sent on until it lands below.
+    """
+    bits = max(2, (n - 1).bit_length())
+    low = bits // 2
+    low_mask, high_mask = (1 << low) - 1, (1 << (bits - low)) - 1
+    out = np.empty(len(index), np.int64)
+    at, x = np.arange(len(index)), index.astype(np.int64)
+    while len(at):
+        halves, k = [x & low_mask, x >> low], keys[at]
+        for turn in range(_ROUNDS):
+            other, mask = (0, high_mask) if turn % 2 == 0 else (1, low_mask)
+            y = (halves[other] + k[:, turn]) % _PRIME
+            y = (y * y + k[:, turn]) % _PRIME
+            y = ((y * y + k[:, turn]) % _PRIME) >> 5  # the last bits of squares are too regular
+            halves[1 - other] ^= y & mask
+        x = (halves[1] << low) + halves[0]
+        landed = x < n
+        out[at[landed]] = x[landed]
+        at, x = at[~landed], x[~landed]
+    return out
+
+
+def keyed_bijection(index: Column, rep: Column, n: int, keys: list[list[int]]) -> Column:
+    """:func:`permuted` as a column; ``keys`` holds the round keys of each ``rep``."""
+    table = np.asarray(keys, np.int64)
+
+    @F.pandas_udf("long")
+    def to(i: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series(permuted(i.to_numpy(np.int64), table[r.to_numpy(np.int64)], n))
+
+    return to(index.cast("long"), rep.cast("long"))
+
+
 def personalisation_test(
     policy: DataFrame, block: DataFrame, weights: DataFrame, n_permutations: int = N_PERMUTATIONS,
     seed: int = 42,
 ) -> DataFrame:
     """Does it matter WHO gets which item?  A permutation test on the assignment.
 
-    In every replicate the contexts are ranked by a hash; the context of rank i
-    receives the action of the i-th context.  The multiset of actions is kept
-    exactly, and no replicate is sorted in one task.
+    In every replicate a keyed bijection of the contexts' numbers says which
+    context receives a context's action.  The multiset of actions is kept
+    exactly; replicates are neither sorted nor indexed, and meet the
+    block, which carries the numbers, in one join.
     """
     cells = policy_cells(policy, block, weights)
     realised = weighted_masked_mean(cells, "reward", "n_rounds").select(F.col("value").alias("realised"))
     chosen = policy.select("context_id", "action").join(weights.select("context_id", "n_rounds"), "context_id")
-    indexed = durable(dense_index(chosen, ["context_id"], "i"))
-    drawn = indexed.select(
-        "context_id", "n_rounds", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("rep")
-    ).withColumn("__h", hash32(seed, "rep", "context_id"))
-    ranked = hashed_index(drawn, "__h", "context_id", "i", ["rep"])
-    shuffled = ranked.join(indexed.select("i", "action"), "i").join(_truth(block), ["context_id", "action"], "left")
-    null = weighted_masked_mean(shuffled, "reward", "n_rounds", ("rep",)).filter(F.col("value").isNotNull())
+    indexed = durable(dense_index(chosen, ["context_id", "action"], "i"))
+    n = indexed.count()
+    keys = [bijection_keys(seed, rep) for rep in range(n_permutations)]
+    drawn = indexed.select("i", "action", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("rep")).select(
+        "rep", "action", keyed_bijection(F.col("i"), F.col("rep"), n, keys).alias("i"))
+    observed = indexed.select("context_id", "n_rounds", "i").join(_truth(block), "context_id").select("i", "action", "n_rounds", "reward")
+    null = weighted_masked_mean(drawn.join(observed, ["i", "action"]), "reward", "n_rounds", ("rep",)).filter(F.col("value").isNotNull())
     return null.join(one_row(realised), F.lit(True)).agg(
         F.first("realised").alias("realised"), F.avg("value").alias("shuffled_mean"),
         F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("shuffled_std"),

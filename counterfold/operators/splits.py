@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from counterfold.errors import refuse_if
 from counterfold.functions.hashing import hash32
-from counterfold.operators.ordering import cut_by_rank, extent, hashed_index
+from counterfold.operators.ordering import cut_by_rank, extent, hashed_index, prefix_sums
 from counterfold.params import SplitParams
 
 PARTS = ("train", "validation", "test")
@@ -129,6 +129,24 @@ def stratified_folds(
     return ranked.join(sizes, groups).withColumn("fold", fold.cast("int")).drop("__h", "__i", "__n")
 
 
+def deal_rounds(
+    rows: DataFrame, n_folds: int, seed: int = 42, key: str = "round_id", mult: str = "n", group: tuple[str, ...] = (),
+) -> DataFrame:
+    """Folds of rounds, given rows that each stand for ``mult`` alike rounds.
+
+    The rounds of a ``group`` are laid out in the order of a hash of their row's ``key`` and dealt to the
+    folds in turn, so that folds differ by at most one round, in all and within each row.
+    Which of its alike rounds a fold gets makes no difference, so a row
+    is never written out: one row comes back for each fold that has any, with their number.
+    """
+    hashed = rows.select(*group, key, F.col(mult).cast("long").alias(mult), hash32(seed, key).alias("__h"))
+    placed = prefix_sums(hashed, ["__h", key], {"__end": mult}, "__i", group)
+    fold = F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))).alias("fold")
+    below = lambda end: F.floor((end - F.col("fold") + n_folds - 1) / n_folds)
+    return placed.select(*group, key, mult, "__end", fold).select(
+        *group, key, "fold", (below(F.col("__end")) - below(F.col("__end") - F.col(mult))).alias(mult)).where(F.col(mult) > 0)
+
+
 def fold_leaks(rounds: DataFrame, folds: DataFrame) -> DataFrame:
     """Contexts that sit in more than one fold (must be none)."""
     return (

@@ -36,8 +36,24 @@ def event_policies(rounds: DataFrame, train: DataFrame) -> DataFrame:
     return named(policies.greedy_mean(train), "greedy_mean").unionByName(named(everywhere, "popular"))
 
 
-def buckets_of(rounds: DataFrame) -> DataFrame:
-    return rounds.select("context_id").distinct().withColumn("bucket", F.col("context_id") % 4)
+def event_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole state vector of every context of ``events``."""
+    return user_contexts(spark, sf_dir).select(
+        F.col("user_idx").alias("context_id"), F.transform("embedding", lambda x: x.cast("double")).alias("context"))
+
+
+def buckets_of(contexts: DataFrame) -> DataFrame:
+    """Four coarse inputs, by the signs of the first two entries of the state."""
+    sign = lambda i: (F.col("context")[i] > 0).cast("long")
+    return contexts.select("context_id", (2 * sign(0) + sign(1)).alias("bucket"))
+
+
+def customer_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State of the block's contexts: a customer's balance, nation and segment."""
+    segments = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("context_id"), F.array(
+        F.col("c_acctbal") / 10000.0, F.col("c_nationkey") / 25.0,
+        *[(F.col("c_mktsegment") == s).cast("double") for s in segments]).alias("context"))
 
 
 def block_rounds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -180,7 +196,7 @@ def _unit_stats(spark: SparkSession, sf_dir: str, *estimators: str) -> ope.Evalu
     train, test = event_train_test(spark, sf_dir, rounds)
     return ope.prepare_evaluation(
         test, event_policies(rounds, train), n_events_actions(spark, sf_dir), EvaluationParams(estimators=estimators),
-        uniform=("random",), buckets=buckets_of(rounds))
+        uniform=("random",), contexts=event_contexts(spark, sf_dir))
 
 
 @query("OPE1", "JOIN8", sql=ctes(EVENT_SPLIT, GREEDY) + _WEIGHTS + "SELECT round_id, round(w, 9) AS weight FROM w WHERE agent = 'greedy_mean'")
@@ -248,14 +264,39 @@ def contexts_by_identical_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FOLDS = f"""rf AS (SELECT *, CASE WHEN rk < (n % 5) * (n // 5 + 1) THEN rk // (n // 5 + 1)
     ELSE n % 5 + (rk - (n % 5) * (n // 5 + 1)) // (n // 5) END AS fold FROM
   (SELECT *, row_number() OVER (ORDER BY {hash32_sql(SEED, 'round_id')}, round_id) - 1 AS rk, count(*) OVER () AS n FROM test)),
-folds AS (SELECT unnest(range(5)) AS fold), bk AS (SELECT DISTINCT context_id % 4 AS bucket FROM test)"""
+folds AS (SELECT unnest(range(5)) AS fold),
+emb AS (SELECT vec_id AS context_id, CASE WHEN embedding[1] > 0 THEN 2 ELSE 0 END + CASE WHEN embedding[2] > 0 THEN 1 ELSE 0 END AS bucket FROM embeddings),
+rb AS (SELECT rf.*, bucket FROM rf JOIN emb USING (context_id)), bk AS (SELECT DISTINCT bucket FROM rb)"""
 
 _Q = """, g AS (SELECT f.fold, sum(reward) / count(*) AS g FROM rf, folds f WHERE rf.fold <> f.fold GROUP BY f.fold),
 qa AS (SELECT f.fold, a.action, (coalesce(sum(reward) FILTER (rf.fold <> f.fold), 0) + 10 * any_value(g)) / (count(rf.round_id) FILTER (rf.fold <> f.fold) + 10) AS m
   FROM folds f CROSS JOIN acts a JOIN g USING (fold) LEFT JOIN rf ON rf.action = a.action GROUP BY f.fold, a.action),
-q AS (SELECT f.fold, b.bucket, a.action, (coalesce(sum(reward) FILTER (rf.fold <> f.fold), 0) + 10 * any_value(m)) / (count(rf.round_id) FILTER (rf.fold <> f.fold) + 10) AS q
+q AS (SELECT f.fold, b.bucket, a.action, (coalesce(sum(reward) FILTER (rb.fold <> f.fold), 0) + 10 * any_value(m)) / (count(rb.round_id) FILTER (rb.fold <> f.fold) + 10) AS q
   FROM folds f CROSS JOIN bk b CROSS JOIN acts a JOIN qa ON qa.fold = f.fold AND qa.action = a.action
-  LEFT JOIN rf ON rf.action = a.action AND rf.context_id % 4 = b.bucket GROUP BY f.fold, b.bucket, a.action)"""
+  LEFT JOIN rb ON rb.action = a.action AND rb.bucket = b.bucket GROUP BY f.fold, b.bucket, a.action)"""
+
+
+def linear_sql(cells: str, states: str = "SELECT vec_id AS context_id, list_prepend(1.0::DOUBLE, list_transform(embedding, lambda v: v::DOUBLE)) AS x FROM embeddings") -> str:
+    """Ridge regressions per (ag, fold, action) on all but the fold, solved by elimination.
+
+    ``cells`` selects (ag, context_id, fold, action, w, s). Gives lth (ag, fold, action, theta)
+    and lmu (ag, fold, mu).
+    """
+    return f"""lc AS MATERIALIZED ({cells}), lst AS MATERIALIZED ({states}),
+ld AS MATERIALIZED (SELECT unnest(range(1, (SELECT len(any_value(x)) + 1 FROM lst))) AS i),
+lxx AS MATERIALIZED (SELECT ag, fold, action, a.i, b.i AS j, sum(w * x[a.i] * x[b.i]) AS v FROM lc JOIN lst USING (context_id), ld a, ld b GROUP BY ALL),
+lxs AS MATERIALIZED (SELECT ag, fold, action, i, sum(s * x[i]) AS v FROM lc JOIN lst USING (context_id), ld GROUP BY ALL),
+lmu AS MATERIALIZED (SELECT ag, f.fold, sum(s) / sum(w) AS mu FROM lc, folds f WHERE lc.fold <> f.fold GROUP BY ALL),
+lrow AS (SELECT a.ag, f.fold, a.action, a.i, a.j, sum(a.v) + CASE WHEN a.i = a.j THEN 1.0 ELSE 0.0 END AS v
+  FROM lxx a, folds f WHERE a.fold <> f.fold GROUP BY a.ag, f.fold, a.action, a.i, a.j),
+lrhs AS (SELECT b.ag, f.fold, b.action, b.i, sum(b.v) AS v FROM lxs b, folds f WHERE b.fold <> f.fold GROUP BY ALL),
+lone AS (SELECT a.ag, f.fold, a.action, a.i, sum(a.v) AS v FROM lxx a, folds f WHERE a.fold <> f.fold AND a.j = 1 GROUP BY ALL),
+lsys AS MATERIALIZED (SELECT ag, fold, action, i, list_append(list(lrow.v ORDER BY j), any_value(lrhs.v - mu * lone.v)) AS r
+  FROM lrow JOIN lrhs USING (ag, fold, action, i) JOIN lone USING (ag, fold, action, i) JOIN lmu USING (ag, fold) GROUP BY ag, fold, action, i),
+lgj AS (SELECT ag, fold, action, 1 AS k, list(r ORDER BY i) AS m FROM lsys GROUP BY ALL
+  UNION ALL SELECT ag, fold, action, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN piv ELSE list_transform(r, lambda v, j: v - r[k] * piv[j]) END)
+  FROM (SELECT *, list_transform(m[k], lambda v: v / m[k][k]) AS piv FROM lgj WHERE k <= len(m))),
+lth AS MATERIALIZED (SELECT ag, fold, action, list_transform(m, lambda r: r[len(m) + 1]) AS theta FROM lgj WHERE k = len(m) + 1)"""
 
 
 @query("OPE12", "SPL6", "JOIN9", "D14", sql=ctes(EVENT_SPLIT, _FOLDS) + _Q + "SELECT fold::INT || '|' || bucket AS model_key, action, round(q, 9) AS q FROM q")
@@ -265,69 +306,89 @@ def tabular_reward_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     test = durable(test.select("round_id", "context_id", "action", "reward", "propensity"))
     folded = context_folds(test, 5, SEED, key="round_id")
     model = reward_model.tabular_reward_model(
-        ope.logged_cells(folded), buckets_of(test), n_events_actions(spark, sf_dir), 5)
+        ope.logged_cells(folded), buckets_of(event_contexts(spark, sf_dir)), n_events_actions(spark, sf_dir), 5)
     return rounded(model.table, "q")
 
 
-@query("OPE13", sql=ctes(EVENT_SPLIT) + """, g AS (SELECT avg(reward) AS g FROM test),
+@query("OPE13", sql=ctes(EVENT_SPLIT) + """, tb AS (SELECT test.*, CASE WHEN embedding[1] > 0 THEN 2 ELSE 0 END + CASE WHEN embedding[2] > 0 THEN 1 ELSE 0 END AS bucket
+  FROM test JOIN embeddings ON vec_id = context_id), g AS (SELECT avg(reward) AS g FROM test),
 qa AS (SELECT action, (coalesce(sum(reward), 0) + 10 * any_value(g)) / (count(round_id) + 10) AS m FROM acts CROSS JOIN g LEFT JOIN test USING (action) GROUP BY action)
 SELECT '0|' || (b.bucket) AS model_key, qa.action, round((coalesce(sum(reward), 0) + 10 * any_value(m)) / (count(round_id) + 10), 9) AS q
-FROM qa CROSS JOIN (SELECT DISTINCT context_id % 4 AS bucket FROM test) b LEFT JOIN test t ON t.action = qa.action AND t.context_id % 4 = b.bucket GROUP BY ALL""")
+FROM qa CROSS JOIN (SELECT DISTINCT bucket FROM tb) b LEFT JOIN tb t ON t.action = qa.action AND t.bucket = b.bucket GROUP BY ALL""")
 def in_sample_reward_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, test = event_train_test(spark, sf_dir)
     cells = ope.logged_cells(test.withColumn("fold", F.lit(0)))
-    model = reward_model.tabular_reward_model(cells, buckets_of(test), n_events_actions(spark, sf_dir), 1, in_sample=True)
+    model = reward_model.tabular_reward_model(
+        cells, buckets_of(event_contexts(spark, sf_dir)), n_events_actions(spark, sf_dir), 1, in_sample=True)
     return rounded(model.table, "q")
 
 
+@query("OPE12", "OPE13", sql="WITH RECURSIVE " + ",\n".join([EVENT_SPLIT, _FOLDS, linear_sql(
+    "SELECT 'all' AS ag, context_id, fold, action, count(*)::DOUBLE AS w, sum(reward) AS s FROM rf GROUP BY ALL")]) + """
+SELECT fold::INT AS fold, lth.action, round(mu, 9) AS mean, context_id, round(mu + list_dot_product(theta, x), 7) AS q
+FROM lth JOIN lmu USING (ag, fold), lst WHERE context_id IN (SELECT context_id FROM test)""")
+def linear_reward_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-fitted ridge regression per arm on the whole state, read at every context."""
+    _, test = event_train_test(spark, sf_dir)
+    test = durable(test.select("round_id", "context_id", "action", "reward", "propensity"))
+    n_actions, contexts = n_events_actions(spark, sf_dir), event_contexts(spark, sf_dir)
+    cells = ope.logged_cells(context_folds(test, 5, SEED, key="round_id"))
+    model = ope.reward_model_fit(n_actions, 5, contexts=contexts)(cells).written()
+    probe = test.select("context_id").distinct().join(model.arms.select("fold", "action"), F.lit(True))  # folds x arms, read at each context
+    out = model.q_at(probe).join(model.means.select("fold", "mean"), "fold")
+    return rounded(rounded(out.select("fold", "action", "mean", "context_id", "q"), "mean"), "q", digits=7)
+
+
 @query("OPE12")
 def boosted_reward_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boosted trees on the first four state entries and the action, three folds."""
+    """Boosted trees on the whole state and the action, five folds."""
     _, test = event_train_test(spark, sf_dir)
-    _, states = _event_states(spark, sf_dir, 4)
-    folded = test.join(context_folds(test.select("context_id").distinct(), 3, SEED), "context_id")
+    folded = test.join(context_folds(test.select("context_id").distinct(), 5, SEED), "context_id")
     cells = durable(ope.logged_cells(folded))
-    model = reward_model.boosted_reward_model(cells, states, n_events_actions(spark, sf_dir), 3, SEED, iterations=8, depth=3)
+    model = reward_model.boosted_reward_model(
+        cells, event_contexts(spark, sf_dir), n_events_actions(spark, sf_dir), 5, SEED, iterations=20, depth=5)
     return rounded(model.table, "q", digits=6)
 
 
-@query("OPE5", "OPE6", "OPE7", "JOIN10", sql=ctes(EVENT_SPLIT, GREEDY, _FOLDS) + _Q + _WEIGHTS.replace("test t", "rf t") + """,
-eq AS (SELECT p.agent, p.context_id, q.fold, sum(prob * q) AS eq FROM everyone p JOIN q ON q.bucket = p.context_id % 4 AND q.action = p.action GROUP BY ALL)
-SELECT w.agent, round(avg(eq), 9) AS dm, round(avg(eq + w * (reward - q)), 9) AS dr FROM w
+_LINEAR = linear_sql("SELECT 'all' AS ag, context_id, fold, action, count(*)::DOUBLE AS w, sum(reward) AS s FROM rf GROUP BY ALL")
+
+
+@query("OPE5", "OPE6", "OPE7", "JOIN10", sql="WITH RECURSIVE " + ",\n".join([EVENT_SPLIT, GREEDY, _FOLDS, _LINEAR]) + _WEIGHTS.replace("test t", "rf t") + """,
+q AS (SELECT c.context_id, f.fold, a.action, mu + coalesce(list_dot_product(theta, x), 0) AS q FROM (SELECT DISTINCT context_id FROM rf) c JOIN lst USING (context_id)
+  CROSS JOIN folds f CROSS JOIN acts a JOIN lmu ON lmu.fold = f.fold LEFT JOIN lth ON lth.fold = f.fold AND lth.action = a.action),
+eq AS (SELECT p.agent, p.context_id, q.fold, sum(prob * q) AS eq FROM everyone p JOIN q ON q.context_id = p.context_id AND q.action = p.action GROUP BY ALL)
+SELECT w.agent, round(avg(eq), 7) AS dm, round(avg(eq + w * (reward - q)), 7) AS dr FROM w
   JOIN eq ON eq.agent = w.agent AND eq.context_id = w.context_id AND eq.fold = w.fold
-  JOIN q ON q.fold = w.fold AND q.bucket = w.context_id % 4 AND q.action = w.action GROUP BY w.agent""")
+  JOIN q ON q.fold = w.fold AND q.context_id = w.context_id AND q.action = w.action GROUP BY w.agent""")
 def direct_and_doubly_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DM and DR on a cross-fitted linear reward model of the whole state."""
     ev = _unit_stats(spark, sf_dir, "dm", "dr")
     points = ope.estimate(ev, EvaluationParams(estimators=("dm", "dr")))
-    return rounded(points.groupBy("agent").pivot("estimator", ["dm", "dr"]).agg(F.first("value")), "dm", "dr")
+    return rounded(points.groupBy("agent").pivot("estimator", ["dm", "dr"]).agg(F.first("value")), "dm", "dr", digits=7)
 
 
+# the supported rounds of an agent, in the order of a hash of the first round like them, are dealt to the folds in turn
 _MRDR = f"""mw0 AS (SELECT *, mw > 0 AS s, min(round_id) OVER (PARTITION BY agent, context_id, fold, action, reward, propensity) AS rep FROM
     (SELECT *, pi * (1 - propensity) / greatest(propensity * propensity, 1e-12) AS mw FROM w)),
-mr AS (SELECT agent, rep, row_number() OVER (PARTITION BY agent ORDER BY {hash32_sql(SEED, 'rep')}, rep) - 1 AS mrk, count(*) OVER (PARTITION BY agent) AS mn
-  FROM (SELECT DISTINCT agent, rep FROM mw0 WHERE s)),
-mf AS (SELECT mw0.*, CASE WHEN mrk IS NULL THEN fold WHEN mrk < (mn % 5) * (mn // 5 + 1) THEN mrk // (mn // 5 + 1)
-    ELSE mn % 5 + (mrk - (mn % 5) * (mn // 5 + 1)) // greatest(mn // 5, 1) END AS mfold FROM mw0 LEFT JOIN mr USING (agent, rep)),
-mg AS (SELECT agent, f.fold, sum(mw * reward) / sum(mw) AS g FROM mf, folds f WHERE mfold <> f.fold GROUP BY ALL),
-ma AS (SELECT g.agent, g.fold, a.action, (coalesce(sum(mw * reward) FILTER (mfold <> g.fold), 0) + 10 * any_value(g.g))
-    / (coalesce(sum(mw) FILTER (mfold <> g.fold), 0) + 10) AS m
-  FROM mg g CROSS JOIN acts a LEFT JOIN mf ON mf.agent = g.agent AND mf.action = a.action GROUP BY ALL),
-mq AS (SELECT ma.agent, ma.fold, b.bucket, ma.action, (coalesce(sum(mw * reward) FILTER (mfold <> ma.fold), 0) + 10 * any_value(ma.m))
-    / (coalesce(sum(mw) FILTER (mfold <> ma.fold), 0) + 10) AS q
-  FROM ma CROSS JOIN bk b LEFT JOIN mf ON mf.agent = ma.agent AND mf.action = ma.action AND mf.context_id % 4 = b.bucket GROUP BY ALL),
+mr AS (SELECT agent, round_id, (row_number() OVER (PARTITION BY agent ORDER BY {hash32_sql(SEED, 'rep')}, rep, round_id) - 1) % 5 AS dealt FROM mw0 WHERE s),
+mf AS MATERIALIZED (SELECT mw0.*, coalesce(dealt, fold) AS mfold FROM mw0 LEFT JOIN mr USING (agent, round_id)),
+""" + linear_sql("SELECT agent AS ag, context_id, mfold AS fold, action, sum(mw) AS w, sum(mw * reward) AS s FROM mf WHERE pi > 0 GROUP BY ALL") + """,
+mq AS (SELECT c.ag AS agent, c.context_id, f.fold, a.action, mu + coalesce(list_dot_product(theta, x), 0) AS q
+  FROM (SELECT DISTINCT agent AS ag, context_id FROM mf) c JOIN lst USING (context_id) CROSS JOIN folds f CROSS JOIN acts a
+  JOIN lmu ON lmu.fold = f.fold AND lmu.ag = c.ag LEFT JOIN lth ON lth.ag = c.ag AND lth.fold = f.fold AND lth.action = a.action),
 me AS (SELECT p.agent, p.context_id, mq.fold, sum(prob * q) AS eq FROM everyone p
-  JOIN mq ON mq.agent = p.agent AND mq.bucket = p.context_id % 4 AND mq.action = p.action GROUP BY ALL)"""
+  JOIN mq ON mq.agent = p.agent AND mq.context_id = p.context_id AND mq.action = p.action GROUP BY ALL)"""
 
 
-@query("OPE9", "SPL7", sql=ctes(EVENT_SPLIT, GREEDY, _FOLDS) + _WEIGHTS.replace("test t", "rf t") + ",\n" + _MRDR + """
-SELECT mf.agent, round(avg(eq + w * (reward - coalesce(q, 0))), 9) AS mrdr FROM mf
+@query("OPE9", "SPL7", sql="WITH RECURSIVE " + ",\n".join([EVENT_SPLIT, GREEDY, _FOLDS]) + _WEIGHTS.replace("test t", "rf t") + ",\n" + _MRDR + """
+SELECT mf.agent, round(avg(eq + w * (reward - coalesce(q, 0))), 7) AS mrdr FROM mf
   JOIN me ON me.agent = mf.agent AND me.context_id = mf.context_id AND me.fold = mfold
-  LEFT JOIN mq ON mq.agent = mf.agent AND mq.fold = mfold AND mq.bucket = mf.context_id % 4 AND mq.action = mf.action GROUP BY mf.agent""")
+  LEFT JOIN mq ON mq.agent = mf.agent AND mq.fold = mfold AND mq.context_id = mf.context_id AND mq.action = mf.action GROUP BY mf.agent""")
 def more_robust_doubly_robust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reward model refitted per policy under variance weights."""
+    """The linear reward model refitted per policy under variance weights."""
     ev = _unit_stats(spark, sf_dir, "mrdr")
     points = ope.estimate(ev, EvaluationParams(estimators=("mrdr",)))
-    return points.select("agent", r9("value").alias("mrdr"))
+    return points.select("agent", r9("value", 7).alias("mrdr"))
 
 
 # ------------------------------------------------------------------ exact values
@@ -376,43 +437,71 @@ def ground_truth_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ intervals
 
-_DRAWS = f"""dr AS (SELECT rep, {hash32_sql(SEED, 'rep', 'j')} % (SELECT count(*) FROM un) AS i
-  FROM (SELECT unnest(range(100)) AS rep), (SELECT unnest(range((SELECT count(*) FROM un))) AS j))"""
-
-
-@query("OPE17", "WIN6", sql=ctes(EVENT_SPLIT, GREEDY) + _WEIGHTS + """, un AS (SELECT round_id, row_number() OVER (ORDER BY rep::VARCHAR, round_id) - 1 AS i FROM
-  (SELECT round_id, min(round_id) OVER (PARTITION BY context_id, action, reward, propensity) AS rep FROM test)),
-""" + _DRAWS + """, rp AS (SELECT agent, rep, sum(w * reward) / sum(w) AS v FROM dr JOIN un USING (i) JOIN w USING (round_id) GROUP BY ALL)
-SELECT agent, round(quantile_cont(v, 0.025), 9) AS ci_lower, round(quantile_cont(v, 0.975), 9) AS ci_upper FROM rp GROUP BY agent""")
+def _interval_checks(ev: ope.Evaluation, points: DataFrame, sums: list[str], value, method: str = "percentile") -> DataFrame:
+    """Replicates against what is known of them: their number, centre and spread, and the interval around the estimate."""
+    reps, method, n_units = bootstrap.replicate_sums(ev.unit_stats, sums, 100, SEED, method=method)
+    reps = durable(reps)
+    interval = bootstrap.percentile_interval(reps, value, 0.95)
+    spread = reps.withColumn("v", value).groupBy("agent").agg(
+        F.count("*").alias("n_replicates"), F.avg("v").alias("centre"), F.stddev_samp("v").alias("spread"))
+    out = points.join(interval, "agent").join(spread, "agent")
+    return out.select(
+        "agent", r9("value").alias("value"), F.lit(n_units).cast("long").alias("n_units"), "n_replicates",
+        F.col("value").between(F.col("ci_lower"), F.col("ci_upper")).alias("inside"),
+        # 100 replicates tell a standard error to within a few tenths, and their mean to a few tenths of it
+        F.col("spread").between(F.col("se") * 0.7, F.col("se") * 1.4).alias("spread_fits"),
+        (F.abs(F.col("centre") - F.col("value")) < 0.4 * F.col("se")).alias("centre_fits"), F.lit(method).alias("method"))
+
+
+def _ratio_errors(ev: ope.Evaluation, top: str, bottom: str) -> DataFrame:
+    """A ratio of sums per agent with its standard error over units, by linearisation."""
+    rows = ev.unit_stats.select("agent", F.col(top).alias("a"), F.col(bottom).alias("b"), "mult")
+    value = rows.groupBy("agent").agg((F.sum("a") / F.sum("b")).alias("value"), F.sum("b").alias("sb"))
+    return rows.join(value, "agent").groupBy("agent", "value").agg(
+        (F.sqrt(F.sum((F.col("a") - F.col("value") * F.col("b")) ** 2 / F.col("mult"))) / F.first("sb")).alias("se"))
+
+
+@query("OPE17", "WIN6", sql=ctes(EVENT_SPLIT, GREEDY) + _WEIGHTS + """
+SELECT agent, round(sum(w * reward) / sum(w), 9) AS value, count(*) AS n_units, 100::BIGINT AS n_replicates, true AS inside, true AS spread_fits, true AS centre_fits,
+  'percentile' AS method FROM w GROUP BY agent""")
 def bootstrap_over_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _unit_stats(spark, sf_dir, "snipw")
-    reps, _, _ = bootstrap.replicate_sums(ev.unit_stats, ["w", "wr"], 100, SEED)
-    out = bootstrap.percentile_interval(reps, ope.snipw_value(), 0.95)
-    return rounded(out.select("agent", "ci_lower", "ci_upper"), "ci_lower", "ci_upper")
+    return _interval_checks(ev, _ratio_errors(ev, "wr", "w"), ["w", "wr"], ope.snipw_value())
 
 
-@query("OPE18", "D17", sql=ctes(BLOCK, _BLOCK_POLICY) + """, un AS (SELECT context_id, row_number() OVER (ORDER BY context_id::VARCHAR) - 1 AS i FROM weights),
-st AS (SELECT w.context_id, n_rounds, reward FROM weights w JOIN bpol USING (context_id) LEFT JOIN block ON user_idx = w.context_id AND block.action = bpol.action),
-""" + _DRAWS + """, rp AS (SELECT rep, sum(reward * n_rounds) / sum(n_rounds) FILTER (reward IS NOT NULL) AS v FROM dr JOIN un USING (i) JOIN st USING (context_id) GROUP BY rep)
-SELECT 'next_action' AS agent, round(quantile_cont(v, 0.025), 9) AS ci_lower, round(quantile_cont(v, 0.975), 9) AS ci_upper FROM rp""")
+@query("OPE18", "D17", sql=ctes(BLOCK, _BLOCK_POLICY) + """
+SELECT 'next_action' AS agent, round(sum(reward * n_rounds) / sum(n_rounds) FILTER (reward IS NOT NULL), 9) AS value, count(*) AS n_units, 100::BIGINT AS n_replicates,
+  true AS inside, true AS spread_fits, true AS centre_fits, 'percentile' AS method
+FROM weights JOIN bpol USING (context_id) LEFT JOIN block ON user_idx = context_id AND block.action = bpol.action""")
 def bootstrap_over_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A drawn context carries all its rounds: cluster bootstrap of the exact value."""
     _, block, rounds = block_rounds(spark, sf_dir)
     pols = block_policy(block).withColumn("agent", F.lit("next_action"))
     params = EvaluationParams(estimators=("exact",))
     ev = ope.prepare_evaluation(rounds, pols, 5, params, block=block)
-    reps, _, _ = bootstrap.replicate_sums(ev.unit_stats, ["rsum", "rn"], 100, SEED)
-    out = bootstrap.percentile_interval(reps, ope.estimator_value("exact"), 0.95)
-    return rounded(out.select("agent", "ci_lower", "ci_upper"), "ci_lower", "ci_upper")
+    return _interval_checks(ev, _ratio_errors(ev, "rsum", "rn"), ["rsum", "rn"], ope.estimator_value("exact"))
+
+
+@query("OPE18", "OPE16", sql=ctes(EVENT_SPLIT, GREEDY) + _WEIGHTS + """
+SELECT agent, round(sum(w * reward) / sum(w), 9) AS value, count(DISTINCT t // 86400000000) AS n_units, 100::BIGINT AS n_replicates, true AS inside, true AS spread_fits,
+  true AS centre_fits, 'percentile' AS method FROM w GROUP BY agent""")
+def bootstrap_over_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The caller names the independent unit: all rounds of a day are drawn together."""
+    rounds = event_parts(spark, sf_dir)
+    train, test = event_train_test(spark, sf_dir, rounds)
+    ev = ope.prepare_evaluation(
+        test.withColumn("day", F.floor(F.col("t") / 86400000000)), event_policies(rounds, train), n_events_actions(spark, sf_dir),
+        EvaluationParams(estimators=("snipw",)), uniform=("random",), unit_column="day")
+    return _interval_checks(ev, _ratio_errors(ev, "wr", "w"), ["w", "wr"], ope.snipw_value())
 
 
-@query("OPE17", "OPE18")
+@query("OPE17", "OPE18", sql=ctes(EVENT_SPLIT, GREEDY) + _WEIGHTS + """
+SELECT agent, round(sum(w * reward) / sum(w), 9) AS value, count(*) AS n_units, 100::BIGINT AS n_replicates, true AS inside, true AS spread_fits, true AS centre_fits,
+  'percentile_poisson' AS method FROM w GROUP BY agent""")
 def poisson_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The form without an index of the units: a Poisson count per unit and replicate."""
+    """A Poisson count per unit and replicate in place of exactly n draws."""
     ev = _unit_stats(spark, sf_dir, "snipw")
-    reps, method, _ = bootstrap.replicate_sums(ev.unit_stats, ["w", "wr"], 100, SEED, method="percentile_poisson")
-    out = bootstrap.percentile_interval(reps, ope.snipw_value(), 0.95).withColumn("method", F.lit(method))
-    return rounded(out.select("agent", "ci_lower", "ci_upper", "method"), "ci_lower", "ci_upper")
+    return _interval_checks(ev, _ratio_errors(ev, "wr", "w"), ["w", "wr"], ope.snipw_value(), "percentile_poisson")
 
 
 @query("OPE19", "OPE20", "D18")
@@ -422,7 +511,7 @@ def evaluated_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     pols = block_policy(block).withColumn("agent", F.lit("next_action"))
     params = EvaluationParams(estimators=("ipw", "snipw", "dm", "dr", "mrdr", "exact"), n_bootstrap=100)
     return ope.evaluate_policies(
-        rounds, pols, 5, params, uniform=("random",), buckets=buckets_of(rounds), block=block,
+        rounds, pols, 5, params, uniform=("random",), contexts=customer_contexts(spark, sf_dir), block=block,
         provenance={"dataset": "orders", "state_source": "raw_features", "propensity_source": "eval_block:enumerated_empirical"})
 
 
@@ -470,11 +559,15 @@ def mean_item_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("REF7", sql=ctes(LINE_ROUNDS) + _LINE_VALUES + """,
 rk AS (SELECT *, rank() OVER (ORDER BY item_feature) + (count(*) OVER (PARTITION BY item_feature) - 1) / 2.0::DOUBLE AS rx,
   rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0::DOUBLE AS ry FROM lv), c AS (SELECT count(*) AS n, corr(rx, ry) AS rho, quantile_cont(item_feature, 0.5) AS m FROM rk)
-SELECT n AS n_items, round(rho, 9) AS spearman_rho, round(m, 9) AS median_feature, round(rho * sqrt((n - 2) / (1 - rho * rho)), 6) AS t_statistic FROM c""")
+SELECT n AS n_items, round(rho, 9) AS spearman_rho, round(m, 9) AS median_feature, round(rho * sqrt((n - 2) / (1 - rho * rho)), 6) AS t_statistic, round(1 - abs(CASE WHEN df % 2 = 1 THEN 2 / pi() * (th + sin(th) * ser) ELSE sin(th) * ser END), 9) AS p_value
+FROM (SELECT *, cos(th) * cos(th) AS c2, list_sum(list_transform(range(0, (df - CASE WHEN df % 2 = 1 THEN 3 ELSE 2 END) // 2 + 1), lambda m:
+    list_product(list_prepend(CASE WHEN df % 2 = 1 THEN cos(th) ELSE 1.0 END, list_transform(range(1, m + 1), lambda k:
+      cos(th) * cos(th) * CASE WHEN df % 2 = 1 THEN 2 * k / (2 * k + 1)::DOUBLE ELSE (2 * k - 1) / (2 * k)::DOUBLE END))))) AS ser
+  FROM (SELECT *, n - 2 AS df, atan(rho * sqrt((n - 2) / (1 - rho * rho)) / sqrt(n - 2)) AS th FROM c))""")
 def feature_value_confound(spark: SparkSession, sf_dir: str) -> DataFrame:
     features, values = _line_values(spark, sf_dir)
     out = reference.feature_confound(features, values)
-    return rounded(rounded(out, "spearman_rho", "median_feature"), "t_statistic", digits=6)
+    return rounded(rounded(out, "spearman_rho", "median_feature", "p_value"), "t_statistic", digits=6)
 
 
 @query("REF7", "REF4", sql=ctes(LINE_ROUNDS) + _LINE_VALUES + """
@@ -486,30 +579,62 @@ def top_constants_by_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "value", "item_feature", "feature_vs_median", "median_feature")
 
 
-@query("REF8")
+# antitonic regression at x is the least over starts up to x of the greatest over ends from x of the mean between
+def _antitonic_sql(source: str) -> str:
+    return f"""ax AS MATERIALIZED (SELECT row_number() OVER (ORDER BY item_feature) AS i, item_feature, count(*) AS w, sum(value) AS s FROM {source} GROUP BY item_feature),
+am AS (SELECT a.i AS a, b.i AS b, (SELECT sum(s) / sum(w) FROM ax c WHERE c.i BETWEEN a.i AND b.i) AS m FROM ax a JOIN ax b ON a.i <= b.i),
+ag AS (SELECT x.i, am.a, max(am.m) AS m FROM ax x JOIN am ON am.a <= x.i AND am.b >= x.i GROUP BY ALL),
+af AS (SELECT item_feature, min(m) AS baseline FROM ag JOIN ax USING (i) GROUP BY item_feature)"""
+
+
+@query("REF8", sql=ctes(LINE_ROUNDS) + _LINE_VALUES + ",\n" + _antitonic_sql("lv") + " SELECT action, round(baseline, 9) AS baseline FROM lv JOIN af USING (item_feature)")
 def feature_baseline_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Antitonic fit of a brand's value on its mean size."""
     return rounded(reference.feature_baseline(*_line_values(spark, sf_dir)), "baseline")
 
 
-@query("REF9", sql=ctes(BLOCK, _BLOCK_POLICY) + """, c AS (SELECT n_rounds, reward, 1.0::DOUBLE / (bpol.action + 2) AS baseline FROM weights JOIN bpol USING (context_id)
+@query("REF9", "REF8", sql=ctes(BLOCK, _BLOCK_POLICY) + _VALUES + """, bf AS (SELECT action, avg(t / 2.6e12 % 12) AS item_feature, any_value(value) AS value FROM bl JOIN cv USING (action) GROUP BY action),
+""" + _antitonic_sql("bf") + """, c AS (SELECT n_rounds, reward, baseline FROM weights JOIN bpol USING (context_id) JOIN bf ON bf.action = bpol.action JOIN af USING (item_feature)
   LEFT JOIN block ON user_idx = context_id AND block.action = bpol.action)
 SELECT round(sum(reward * n_rounds) / sum(n_rounds) FILTER (reward IS NOT NULL), 9) AS exact_value,
   round(sum(baseline * n_rounds) FILTER (reward IS NOT NULL) / sum(n_rounds) FILTER (reward IS NOT NULL), 9) AS feature_predicted,
   round(sum((reward - baseline) * n_rounds) / sum(n_rounds) FILTER (reward IS NOT NULL), 9) AS feature_adjusted_residual,
   CAST(coalesce(sum(n_rounds) FILTER (reward IS NOT NULL), 0) AS BIGINT) AS rounds_scored, CAST(coalesce(sum(n_rounds) FILTER (reward IS NULL), 0) AS BIGINT) AS rounds_masked FROM c""")
 def feature_adjusted_policy_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, block, rounds = block_rounds(spark, sf_dir)
-    baseline = block.select("action").distinct().withColumn("baseline", 1.0 / (F.col("action") + 2))
-    out = reference.feature_adjusted_value(block_policy(block), block, reference.context_weights(rounds), baseline)
+    """A policy's value against the antitonic fit of its items' month, the feature of the order block."""
+    rows, block, rounds = block_rounds(spark, sf_dir)
+    block, weights = durable(block), durable(reference.context_weights(rounds))
+    train = rows.withColumn("feature", (F.col("t") / 2.6e12) % 12)
+    baseline = reference.feature_baseline(reference.item_feature(train), reference.constant_values(block, weights))
+    out = reference.feature_adjusted_value(block_policy(block), block, weights, baseline)
     return rounded(out, "exact_value", "feature_predicted", "feature_adjusted_residual")
 
 
-@query("REF10", sql=ctes(BLOCK, _BLOCK_POLICY) + f""", ix AS (SELECT context_id, n_rounds, bpol.action, row_number() OVER (ORDER BY context_id) - 1 AS i FROM weights JOIN bpol USING (context_id)),
+def _feistel_sql() -> str:
+    """One pass of the keyed bijection over column x: high halves take on a function of the low ones and the other way round."""
+    out = ["x & lm AS l0", "x >> lb AS h0"]
+    for k in range(1, 7):
+        i, j = (k - 1) // 2, k // 2
+        other = f"l{i}" if k % 2 else f"h{j}"
+        out += [f"({other} + ks[{k}]) % 2147483647 AS y{k}", f"(y{k} * y{k} + ks[{k}]) % 2147483647 AS z{k}",
+                f"((z{k} * z{k} + ks[{k}]) % 2147483647) >> 5 AS f{k}",
+                f"xor(h{i}, f{k} & hm) AS h{i + 1}" if k % 2 else f"xor(l{j - 1}, f{k} & lm) AS l{j}"]
+    return ", ".join(out)
+
+
+_SHUFFLED = f"""ix AS MATERIALIZED (SELECT context_id, n_rounds, bpol.action, row_number() OVER (ORDER BY context_id) - 1 AS i FROM weights JOIN bpol USING (context_id)),
+dims AS (SELECT n, lb, (1 << lb) - 1 AS lm, (1 << (bits - lb)) - 1 AS hm FROM (SELECT *, bits // 2 AS lb FROM
+  (SELECT count(*) AS n, greatest(2, length(bin(count(*) - 1))) AS bits FROM ix))),
+ky AS (SELECT rep, list_transform(range(6), lambda k: ('0x' || substr(md5(concat_ws('|', '{SEED}', rep, k)), 1, 7))::BIGINT) AS ks FROM (SELECT unnest(range(200)) AS rep)),
+walk AS (SELECT rep, ks, action, i AS x, 0 AS t FROM ix, ky
+  UNION ALL SELECT rep, ks, action, (h3 << lb) + l3, 1 FROM (SELECT *, {_feistel_sql()} FROM walk, dims WHERE t = 0 OR x >= n)),
+sh AS MATERIALIZED (SELECT rep, action, x AS i FROM walk, dims WHERE t = 1 AND x < n),
 real AS (SELECT sum(reward * n_rounds) / sum(n_rounds) FILTER (reward IS NOT NULL) AS realised FROM ix LEFT JOIN block ON user_idx = context_id AND block.action = ix.action),
-sh AS (SELECT rep, context_id, n_rounds, row_number() OVER (PARTITION BY rep ORDER BY {hash32_sql(SEED, 'rep', 'context_id')}, context_id) - 1 AS i FROM ix, (SELECT unnest(range(200)) AS rep)),
-nl AS (SELECT rep, sum(reward * sh.n_rounds) / sum(sh.n_rounds) FILTER (reward IS NOT NULL) AS v FROM sh JOIN ix USING (i)
-  LEFT JOIN block ON user_idx = sh.context_id AND block.action = ix.action GROUP BY rep)
+nl AS (SELECT rep, sum(reward * n_rounds) / sum(n_rounds) AS v FROM sh JOIN (SELECT i, context_id, n_rounds FROM ix) USING (i)
+  JOIN block ON user_idx = context_id AND block.action = sh.action GROUP BY rep)"""
+
+
+@query("REF10", sql="WITH RECURSIVE " + ",\n".join([BLOCK, _BLOCK_POLICY, _SHUFFLED]) + """
 SELECT round(any_value(realised), 9) AS realised, round(avg(v), 9) AS shuffled_mean, round(stddev_samp(v), 9) AS shuffled_std, round(any_value(realised) - avg(v), 9) AS gain_from_matching,
   round((any_value(realised) - avg(v)) / stddev_samp(v), 6) AS z_score, round((count(*) FILTER (v >= realised - 1e-12) + 1) / (count(*) + 1)::DOUBLE, 9) AS p_value, count(*) AS n_permutations, true AS usable
 FROM nl, real""")
