@@ -201,7 +201,19 @@ class Extractor:
         self.weights = dict(weights)
 
     def _odds(self, features: list[str]) -> float:
-        return self._joined([self._known(f) for f in features])
+        """Odds of an element: its class tokens may call it no content, its mere name may not.
+
+        Names that only lay a page out (div, section, p, ...) stay above ``never`` whatever was
+        learned, as their words are content on other pages; elements that a page
+        itself sets apart stay below it.
+        """
+        name = features[0]
+        own = self._known(name)
+        if name in _APART:
+            own = min(own, log_odds(name))
+        elif name not in _NEVER_ELEMENT:
+            own = max(own, self.never)
+        return self._joined([own, *(self._known(f) for f in features[1:])])
 
     def _joined(self, known: list[float]) -> float:
         return min(known) if min(known) < self.never else max(known)
@@ -213,9 +225,12 @@ class Extractor:
             self.weights[feature] = self._joined([self._known(f) for f in pieces]) if pieces else log_odds(feature)
         return self.weights[feature]
 
-    def _cost(self, odds: float, features: list[str], content: bool) -> float:
-        """Tags cost: next to nothing within content, much where content ends."""
-        return 0.01 if content or features[0] in _ALWAYS_ELEMENT or odds > self.never else 5.0
+    def _cost(self, odds: float, dead: bool) -> float:
+        """What a tag costs: more where odds are against content, next to nothing for an element that is taken out.
+
+        Text goes on after an advert or a box of comments, so these part no region.
+        """
+        return 0.01 if dead else 0.01 + 0.1 * max(0.0, -odds)
 
     def __call__(self, page: str) -> str:
         if not page:
@@ -283,13 +298,13 @@ class Extractor:
             within.append(False)
             if kind == "open":
                 odds = self._odds(features)
-                cost = self._cost(odds, features, content > 0)
+                gone = at not in holders and self._gone(what, odds, content > 0)
+                cost = self._cost(odds, dead > 0 or gone or content > 0)
                 if what not in _VOID:
                     if what in _CLOSES_P and path and path[-1][0] == "p":
                         _, was_dead, _ = path.pop()
                         dead -= was_dead
                         count["p"] -= 1
-                    gone = at not in holders and self._gone(what, odds, content > 0)
                     path.append((what, gone, cost))
                     count[what] = count.get(what, 0) + 1
                     dead += gone

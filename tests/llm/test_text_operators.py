@@ -303,6 +303,26 @@ def test_weights_come_from_labelled_pages(spark):
     assert html_extraction.Extractor(weights)(plain) == "body words"
 
 
+def test_layout_elements_are_never_taken_out(spark):
+    """Weights learned where all menus stand in divs, on pages whose text stands in divs without marks."""
+    menus = "<body>" + "<div class='topnav'>menu words of a long long menu</div>" * 9 + "<article><section>body words</section></article></body>"
+    pages = spark.createDataFrame([(i, "u", menus) for i in range(200)], "page_id long, url string, html string")
+    weights = html_extraction.fit_weights(pages)
+    assert weights["div"] < -2 and weights[".topnav"] < -2
+    extract = html_extraction.Extractor(weights)
+    assert extract(f"<div id=page><div class=entry><p>{INTRO}</div></div>") == INTRO
+    assert extract(f"<div class='topnav'>menu</div><div>{INTRO}</div><aside>side words</aside><div>end</div>") == f"{INTRO}\n\nend"
+    inside = "<main><aside>" + "side words " * 50 + "</aside><p>body</p></main>"
+    lifted = html_extraction.fit_weights(spark.createDataFrame([(i, "u", inside) for i in range(200)], "page_id long, url string, html string"))
+    assert lifted["aside"] > -2 and html_extraction.Extractor(lifted)(inside) == "body"
+
+
+@pytest.mark.parametrize("box", ["<div class=comments>reader says</div>", "<aside>side</aside>", "<form>a b c</form>", "<div class='ad'>buy</div>" * 30])
+def test_text_goes_on_after_what_is_taken_out(box):
+    page = f"<p>one two three four</p>{box}<p>more real words here now</p>"
+    assert html_extraction.Extractor({})(page) == "one two three four\n\nmore real words here now"
+
+
 def test_page_text_of_the_test_pages(spark, sf_dir):
     """On pages that mark their article, the text is that of the article's blocks."""
     import html
