@@ -197,9 +197,10 @@ def interaction_messages(edges: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def negative_items(edges: DataFrame, n_users: int, n_items: int, seed: int = 42, draw: int = 0) -> DataFrame:
-    """One uniformly drawn item node per supervision edge."""
-    return edges.withColumn(
-        "negative", F.lit(n_users) + F.pmod(hash32(seed, "src", "dst", F.lit(draw)), F.lit(n_items)))
+    """One uniformly drawn item node per supervision edge, by 64 bits of a hash modulo the items."""
+    n = F.lit(n_items)
+    high, low = hash32(seed, "src", "dst", F.lit(draw)), hash32(f"{seed}.low", "src", "dst", F.lit(draw))
+    return edges.withColumn("negative", F.lit(n_users) + (high % n * F.lit(2**32 % n_items) + low) % n)
 
 
 def _dot(a: str, b: str) -> Column:
@@ -222,7 +223,7 @@ def als_embeddings(
 ) -> DataFrame:
     """Implicit-feedback matrix factors as node embeddings, labelled ``als``."""
     pairs = train_edges.select(
-        F.col("src").cast("int").alias("user"), (F.col("dst") - n_users).cast("int").alias("item"),
+        F.col("src").alias("user"), (F.col("dst") - n_users).alias("item"),
         F.lit(1.0).alias("rating"))
     model = ALS(userCol="user", itemCol="item", ratingCol="rating", implicitPrefs=True, rank=dim,
                 maxIter=iterations, regParam=reg, seed=seed, checkpointInterval=2).fit(pairs)

@@ -27,8 +27,6 @@ from counterfold.session import durable
 
 #: Bytes of arm parameters sent to executors at once; more arms go in shards.
 ARM_BROADCAST_BYTES = 128 * 1024 * 1024
-#: Passes of the expectile fixed point; each pass contracts the error.
-EXPECTILE_PASSES = 20
 
 
 def action_values(rounds: DataFrame) -> DataFrame:
@@ -82,19 +80,23 @@ def greedy_supported(rounds: DataFrame, behaviour: BehaviourPolicy, flexibility:
 def advantage_weighted(rounds: DataFrame, params: PolicyParams = PolicyParams()) -> DataFrame:
     """Expectile state value and advantage-weighted action shares.
 
-    ``v`` solves the expectile equation over a context's cells by a fixed number
-    of weighted means; all passes are windows over the same partitioning, hence
-    one shuffle.  ``pi`` is proportional to
+    ``v`` is the expectile of a context's action values.  Between two neighbouring
+    values its equation is linear, so prefix sums in their order give one
+    root per stretch, and the first root that lies in its stretch is the exact
+    answer.  All windows share one partitioning.  ``pi`` is proportional to
     ``n * min(exp(beta * (q - v)), clip)``.
     """
     ctx = Window.partitionBy("context_id")
-    out = action_values(rounds).withColumn(
-        "v", F.sum(F.col("n") * F.col("q")).over(ctx) / F.sum("n").over(ctx)
-    )
-    for _ in range(EXPECTILE_PASSES):
-        tilt = F.when(F.col("q") > F.col("v"), params.expectile).otherwise(1 - params.expectile)
-        out = out.withColumn("__w", F.col("n") * tilt)
-        out = out.withColumn("v", F.sum(F.col("__w") * F.col("q")).over(ctx) / F.sum("__w").over(ctx))
+    upto = ctx.orderBy("q").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    low, high = F.lit(1 - params.expectile), F.lit(params.expectile)
+    nq = F.col("n") * F.col("q")
+    below, below_q = F.sum("n").over(upto), F.sum(nq).over(upto)
+    root = (low * below_q + high * (F.sum(nq).over(ctx) - below_q)) / (low * below + high * (F.sum("n").over(ctx) - below))
+    out = action_values(rounds).withColumn("__root", root).withColumn(
+        "__next", F.lead("q").over(ctx.orderBy("q")))
+    # equal values give equal roots, and a root beyond an equal next value is that of the next stretch
+    holds = F.when(F.col("__next").isNull() | (F.col("__root") <= F.col("__next")), F.greatest("__root", "q"))
+    out = out.withColumn("v", F.min(holds).over(ctx))
     weight = F.col("n") * F.least(
         F.exp(F.lit(params.beta) * (F.col("q") - F.col("v"))), F.lit(params.max_advantage_weight))
     return out.withColumn("__a", weight).withColumn(

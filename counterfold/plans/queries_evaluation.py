@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from counterfold.functions.hashing import hash32_sql
@@ -117,19 +117,25 @@ def greedy_supported_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policies.greedy_supported(train, behaviour)
 
 
-_EXPECTILE = ",\n".join(
-    ["v0 AS (SELECT *, sum(n * q) OVER w / sum(n) OVER w AS v FROM gq WINDOW w AS (PARTITION BY context_id))"]
-    + [f"""v{i} AS (SELECT context_id, action, q, n, sum(n * t * q) OVER w / sum(n * t) OVER w AS v FROM
-  (SELECT *, CASE WHEN q > v THEN 0.7::DOUBLE ELSE 1 - 0.7::DOUBLE END AS t FROM v{i - 1}) WINDOW w AS (PARTITION BY context_id))"""
-       for i in range(1, policies.EXPECTILE_PASSES + 1)])
+# Between two neighbouring action values the expectile equation is linear, so each stretch has one root; the one that lies in its stretch holds.
+_EXPECTILE = """ex AS (SELECT context_id, q, sum(n) AS n, sum(n * q) AS nq FROM gq GROUP BY context_id, q),
+es AS (SELECT context_id, q, sum(n) OVER a AS below, sum(nq) OVER a AS below_q, sum(n) OVER w - sum(n) OVER a AS above, sum(nq) OVER w - sum(nq) OVER a AS above_q,
+    lead(q) OVER (PARTITION BY context_id ORDER BY q) AS next_q FROM ex
+  WINDOW a AS (PARTITION BY context_id ORDER BY q ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY context_id)),
+er AS (SELECT context_id, q, next_q, (0.3::DOUBLE * below_q + 0.7::DOUBLE * above_q) / (0.3::DOUBLE * below + 0.7::DOUBLE * above) AS v FROM es),
+ev2 AS (SELECT context_id, min(CASE WHEN next_q IS NULL OR v <= next_q THEN greatest(v, q) END) AS v FROM er GROUP BY context_id)"""
 
 
-@query("POL6", sql=ctes(EVENT_SPLIT, GREEDY, _EXPECTILE) + f""", a AS (SELECT *, n * least(exp(3.0 * (q - v)), 100.0) AS w
-  FROM v{policies.EXPECTILE_PASSES})
-SELECT context_id, action, round(w / sum(w) OVER (PARTITION BY context_id), 9) AS prob, round(v, 9) AS v FROM a""")
+@query("POL6", sql=ctes(EVENT_SPLIT, GREEDY, _EXPECTILE) + """, a AS (SELECT gq.*, v, n * least(exp(3.0 * (q - v)), 100.0) AS w FROM gq JOIN ev2 USING (context_id))
+SELECT context_id, action, round(w / sum(w) OVER (PARTITION BY context_id), 9) AS prob, round(v, 9) AS v, true AS solved FROM a""")
 def advantage_weighted_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Advantage-weighted shares around the expectile, which solves its equation to the last digits."""
     train, _ = event_train_test(spark, sf_dir)
-    return rounded(policies.advantage_weighted(train).select("context_id", "action", "prob", "v"), "prob", "v")
+    out = policies.advantage_weighted(train).join(policies.action_values(train).select("context_id", "action", "n"), ["context_id", "action"])
+    tilt = F.when(F.col("q") > F.col("v"), 0.7).otherwise(0.3)
+    every = Window.partitionBy("context_id")
+    residual = F.abs(F.sum(tilt * F.col("n") * (F.col("q") - F.col("v"))).over(every)) / F.sum("n").over(every)
+    return rounded(out.select("context_id", "action", "prob", "v", (residual < 1e-12).alias("solved")), "prob", "v")
 
 
 @query("POL7", "WIN5", sql=_ENUM + """
@@ -155,8 +161,8 @@ def popularity_constants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(policies.popularity_constants(line_rounds(spark, sf_dir)), "log_reward_rate")
 
 
-_ARMS = """, x AS (SELECT action, reward, list_transform(embedding[1:4], lambda e: e::DOUBLE) AS c FROM train JOIN embeddings ON vec_id = user_idx),
-d AS (SELECT unnest(range(1, 5)) AS i), p AS (SELECT action, a.i, b.i AS j, sum(c[a.i] * c[b.i]) AS xx FROM x, d a, d b GROUP BY ALL)"""
+_ARMS = """, x AS MATERIALIZED (SELECT action, context_id, count(*) AS n, sum(reward) AS r FROM train GROUP BY ALL), d AS (SELECT unnest(range(1, 65)) AS i),
+p AS (SELECT action, a.i, b.i AS j, sum(n * embedding[a.i]::DOUBLE * embedding[b.i]) AS xx FROM x JOIN embeddings ON vec_id = context_id, d a, d b GROUP BY ALL)"""
 
 
 def _event_states(spark: SparkSession, sf_dir: str, dim: int) -> tuple[DataFrame, DataFrame]:
@@ -167,12 +173,12 @@ def _event_states(spark: SparkSession, sf_dir: str, dim: int) -> tuple[DataFrame
 
 
 @query("POL2", sql=ctes(EVENT_SPLIT) + _ARMS[0:] + """
-SELECT action, i * 4 + j - 5 AS position, round(xx, 6) AS xx FROM p""")
+SELECT action, i * 64 + j - 65 AS position, round(xx, 5) AS xx FROM p""")
 def linear_arm_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, states = _event_states(spark, sf_dir, 4)
-    stats = policies.linucb_statistics(train.join(states, "context_id"), 4)
+    train, states = _event_states(spark, sf_dir, 64)
+    stats = policies.linucb_statistics(train.join(states, "context_id"), 64)
     return stats.select("action", F.posexplode("xx").alias("position", "xx")).select(
-        "action", F.col("position").cast("long").alias("position"), r9("xx", 6).alias("xx"))
+        "action", F.col("position").cast("long").alias("position"), r9("xx", 5).alias("xx"))
 
 
 @query("POL2", "POL3")

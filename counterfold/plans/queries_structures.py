@@ -81,12 +81,12 @@ def mapped_social_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.join(one_row(kept.agg(F.sum(F.col("src") + F.col("dst")).alias("checksum"))), F.lit(True))
 
 
-@query("GRA3", sql=f"""WITH nd AS (SELECT c_custkey AS node_id, d FROM customer, (SELECT unnest(range(4)) AS d))
+@query("GRA3", sql=f"""WITH nd AS (SELECT c_custkey AS node_id, d FROM customer, (SELECT unnest(range(64)) AS d))
 SELECT node_id, d, round(sqrt(-2 * ln(({hash32_sql('42.a', 'node_id', 'd')} + 0.5::DOUBLE) / 4294967296.0))
   * cos(6.283185307179586 * (({hash32_sql('42.b', 'node_id', 'd')} + 0.5::DOUBLE) / 4294967296.0)), 6) AS x FROM nd""")
 def seeded_node_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node_id"))
-    return _long(graph.seeded_features(ids, 4, SEED), 6)
+    return _long(graph.seeded_features(ids, 64, SEED), 6)
 
 
 _HELD = f"""ho AS (SELECT *, row_number() OVER (ORDER BY {hash32_sql(SEED, 'src', 'dst')}, src, dst) <= greatest(1, floor((SELECT count(*) FROM fw) * 0.1::DOUBLE)) AS is_val FROM fw)"""
@@ -126,13 +126,22 @@ def neighbour_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(graph.aggregate_neighbours(normed, _node_features(spark, sf_dir), "norm"))
 
 
-_HOPS = """, h1 AS MATERIALIZED (SELECT ft.node_id, ft.d, coalesce(s, 0) AS x FROM ft LEFT JOIN (SELECT src AS node_id, d, sum(norm * x) AS s FROM nm JOIN ft ON node_id = dst GROUP BY ALL) USING (node_id, d)),
-h2 AS MATERIALIZED (SELECT ft.node_id, ft.d, coalesce(s, 0) AS x FROM ft LEFT JOIN (SELECT src AS node_id, d, sum(norm * x) AS s FROM nm JOIN h1 ON node_id = dst GROUP BY ALL) USING (node_id, d)),
-h3 AS MATERIALIZED (SELECT ft.node_id, ft.d, coalesce(s, 0) AS x FROM ft LEFT JOIN (SELECT src AS node_id, d, sum(norm * x) AS s FROM nm JOIN h2 ON node_id = dst GROUP BY ALL) USING (node_id, d))"""
+# one column per entry, which sums far faster than one row per entry
+_each = lambda text: ", ".join(text.format(d=d) for d in range(64))
 
 
-@query("GRA8", sql=ctes(_GRAPH) + _HOPS + """
-SELECT node_id, d, round((ft.x + h1.x + h2.x + h3.x) / 4, 8) AS x FROM ft JOIN h1 USING (node_id, d) JOIN h2 USING (node_id, d) JOIN h3 USING (node_id, d)""")
+def _wide_hops(hops: int) -> str:
+    """Vectors of all nodes after each hop, w0 (the input) to w<hops>."""
+    out = [f"w0 AS MATERIALIZED (SELECT node_id, {_each('embedding[{d} + 1]::DOUBLE AS x{d}')} FROM nd JOIN embeddings ON vec_id = node_id % (SELECT count(*) FROM embeddings))"]
+    for k in range(1, hops + 1):
+        out.append(f"w{k} AS MATERIALIZED (SELECT nd.node_id, {_each('coalesce(s.x{d}, 0) AS x{d}')} FROM nd LEFT JOIN (SELECT src, {_each('sum(norm * x{d}) AS x{d}')} "
+                   f"FROM nm JOIN w{k - 1} ON node_id = dst GROUP BY src) s ON s.src = nd.node_id)")
+    return ", " + ",\n".join(out)
+
+
+@query("GRA8", sql=ctes(_GRAPH) + _wide_hops(3) + f"""
+SELECT node_id, unnest(range(64)) AS d, unnest([{_each("round((w0.x{d} + w1.x{d} + w2.x{d} + w3.x{d}) / 4, 8)")}]) AS x
+FROM w0 JOIN w1 USING (node_id) JOIN w2 USING (node_id) JOIN w3 USING (node_id)""")
 def light_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three hops; every hop is checkpointed."""
     return _long(graph.light_propagation(_edges(spark, sf_dir), durable(_node_features(spark, sf_dir)), 3), 8)
@@ -164,7 +173,7 @@ def interaction_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(graph.interaction_messages(_edges(spark, sf_dir), _node_features(spark, sf_dir)), 8)
 
 
-_NEG = f"""ng AS (SELECT src, dst, u + {hash32_sql(SEED, 'src', 'dst', '0')} % i AS negative FROM ho, nu WHERE is_val)"""
+_NEG = f"""ng AS (SELECT src, dst, u + (({hash32_sql(SEED, 'src', 'dst', '0')} % i * (4294967296 % i) + {hash32_sql(f"{SEED}.low", 'src', 'dst', '0')}) % i) AS negative FROM ho, nu WHERE is_val)"""
 
 
 def _triples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -596,16 +605,22 @@ def streaming_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(spark.table(name), "ipw", "snipw"), "ess", digits=6)
 
 
-@query("STR2", sql=ctes(EVENT_ROUNDS) + """, x AS (SELECT action, list_transform(embedding[1:2], lambda e: e::DOUBLE) AS c, reward FROM ev JOIN embeddings ON vec_id = context_id)
-SELECT action, count(*) AS n, round(sum(c[1] * c[1]), 6) AS xx00, round(sum(c[1] * c[2]), 6) AS xx01, round(sum(c[1] * reward), 6) AS xr0 FROM x GROUP BY action""")
+@query("STR2", sql=ctes(EVENT_ROUNDS) + """, x AS MATERIALIZED (SELECT action, context_id, count(*) AS n, sum(reward) AS r FROM ev GROUP BY ALL),
+d AS (SELECT unnest(range(1, 65)) AS i), m AS (SELECT action, a.i, b.i AS j, sum(n * embedding[a.i]::DOUBLE * embedding[b.i]) AS v FROM x JOIN embeddings ON vec_id = context_id, d a, d b GROUP BY ALL)
+SELECT action, 'xx' AS part, i * 64 + j - 65 AS position, round(v, 5) AS value FROM m
+UNION ALL SELECT action, 'xr', i - 1, round(sum(r * embedding[i]::DOUBLE), 5) FROM x JOIN embeddings ON vec_id = context_id, d GROUP BY action, i
+UNION ALL SELECT action, 'n', 0, sum(n)::DOUBLE FROM x GROUP BY action""")
 def streaming_arm_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arm statistics kept outside the stream, one version per micro-batch."""
+    """Arm statistics on the whole state, kept outside the stream: every sum of every arm."""
     states = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("context_id"), F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("context"))
+        F.col("vec_id").alias("context_id"), F.transform("embedding", lambda x: x.cast("double")).alias("context"))
     state = StoredState(spark, scratch_path(spark, "arms"))
-    _drain(spark, _event_stream(spark, sf_dir).join(states, "context_id").writeStream.foreachBatch(linucb_sink(state, 2)))
+    _drain(spark, _event_stream(spark, sf_dir).join(states, "context_id").writeStream.foreachBatch(linucb_sink(state, 64)))
     out = state.read()
-    return out.select("action", "n", r9(F.col("xx")[0], 6).alias("xx00"), r9(F.col("xx")[1], 6).alias("xx01"), r9(F.col("xr")[0], 6).alias("xr0"))
+    sums = [out.select("action", F.lit(part).alias("part"), F.posexplode(part).alias("position", "value")) for part in ("xx", "xr")]
+    both = sums[0].unionByName(sums[1]).unionByName(
+        out.select("action", F.lit("n").alias("part"), F.lit(0).alias("position"), F.col("n").cast("double").alias("value")))
+    return both.select("action", "part", F.col("position").cast("long").alias("position"), r9("value", 5).alias("value"))
 
 
 @query("STR3", sql="""SELECT 'event_type' AS column_name, event_type AS value, row_number() OVER (ORDER BY event_type) - 1 AS code FROM (SELECT DISTINCT event_type FROM events)""")
