@@ -11,6 +11,9 @@ whose anchor gram is found once in the whole corpus is not repeated.  About one
 place in seven is an anchor; only they are counted first.  Then only the windows
 whose anchors repeat are counted, by their own 64-bit hash and 32 bits of the anchor's.
 
+Later copies of a whole text take no part: the first copy stands for them, and all
+they lose is known beforehand.
+
 Within a slice of a task equal grams and windows meet before the shuffle: one
 row for each goes on, the others are decided at once, so a passage that a third
 of all documents hold is a row per slice and not a hot key.
@@ -26,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from counterfold.functions.skew import spread_join
 from counterfold.llm.common import texts
 
 #: Bytes of text that are hashed at once; a longer text is hashed piece by piece.
@@ -33,6 +37,9 @@ SLICE_BYTES = 4 << 20
 #: Words of the grams that anchor windows (shorter for short windows).
 GRAM_WORDS = 8
 
+#: As a number of windows: all that the text has.
+_ALL = 2**30
+
 _KEY = ["has_id", "doc_id", "text_hash"]
 _KEY_SCHEMA = "has_id boolean, doc_id long, text_hash long"
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -178,7 +185,7 @@ def _window_rows(window: int):
             starts, anchors, grams = _windows(hashes, owner, window)
             first = _first_words(owner, rows.num_rows)
             repeats = np.zeros(len(hashes), bool)
-            for row, places in enumerate(rows.column("places")):
+            for row, places in enumerate(rows.column("__places")):
                 repeats[first[row] + places.values.to_numpy()] = True
             wanted = repeats[anchors]
             starts, second = starts[wanted], grams[anchors[wanted]]
@@ -228,35 +235,48 @@ def _with(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     return docs.join(renamed, on, how).drop(*[f"__r_{c}" for c in _KEY])
 
 
+def _later_copies(docs: DataFrame) -> DataFrame:
+    """Keys of documents whose whole text is that of an earlier one."""
+    rows = docs.select(*[F.col(f"__{c}").alias(c) for c in _KEY], F.xxhash64(F.lit(1), "text").alias("again"), (~F.col("__has_id")).alias("no_id")).distinct()
+    first = rows.groupBy("text_hash", "again").agg(F.min(F.struct("no_id", "doc_id")).alias("first"))
+    # of the copies of one text, only the id tells which is first
+    return spread_join(rows, first, ["text_hash", "again"], "inner", ["doc_id"]).where(
+        F.struct("no_id", "doc_id") != F.col("first")).select(*_KEY)
+
+
 def repeated_windows(docs: DataFrame, window: int = 20) -> DataFrame:
     """Windows of ``window`` words that were there before, as runs.
 
     ``docs`` comes from :func:`_marked`.  Returns ``has_id``, ``doc_id``,
     ``text_hash``, ``place`` (first word of the first window, from 0) and ``n``
-    (number of windows in a row).
+    (number of windows in a row; more than the text has for a later copy of a whole text).
     """
-    key = [F.col(f"__{c}").alias(c) for c in _KEY]
-    anchors = docs.select(*key, "text").mapInArrow(_anchor_rows(window), f"deal long, place long, {_KEY_SCHEMA}")
-    often = anchors.withColumn("__all", F.sum(1 + F.col("place") % 2).over(Window.partitionBy("deal"))).where("__all > 1")
-    places = often.groupBy(*_KEY).agg(F.collect_set(F.shiftright("place", 1)).alias("places"))
-    rows = _with(docs, places, "inner").withColumnsRenamed({f"__{c}": f"__k_{c}" for c in _KEY})
+    copies = _later_copies(docs)
+    fresh = _with(docs, copies.withColumn("__copy", F.lit(True)), "left").where("__copy IS NULL").drop("__copy")
 
-    def of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:  # whatever else the documents have stays behind
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(f"__k_{c}") for c in _KEY), b.column("text"), b.column("places")], names=[*_KEY, "text", "places"])
+    # all columns go to the task, so that the documents are shuffled but once for the three joins with them
+    def narrow(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*(b.column(f"__{c}") for c in _KEY), *(b.column(c) for c in more)], names=[*_KEY, *more])
 
-    find = _window_rows(window)
-    windows = rows.mapInArrow(lambda batches: find(of_keys(batches)), f"value long, second int, place int, {_KEY_SCHEMA}, n int")
+    anchor, find = _anchor_rows(window), _window_rows(window)
+    anchors = fresh.mapInArrow(lambda batches: anchor(narrow(batches, "text")), f"deal long, place long, {_KEY_SCHEMA}")
+    often = anchors.withColumn("__all", F.sum(1 + F.col("place") % 2).over(Window.partitionBy("deal"))).where("__all > 1")
+    places = often.groupBy(*_KEY).agg(F.collect_set(F.shiftright("place", 1)).alias("places"))
+    windows = _with(docs, places.withColumnRenamed("places", "__places"), "inner").mapInArrow(
+        lambda batches: find(narrow(batches, "text", "__places")), f"value long, second int, place int, {_KEY_SCHEMA}, n int")
     order = Window.partitionBy("value", "second").orderBy(F.col("has_id").desc(), "doc_id", "text_hash", "place")
     later = windows.withColumn("__rank", F.rank().over(order)).where("n > 0 OR __rank > 1")
-    return later.select(*_KEY, "place", F.greatest("n", F.lit(1)).alias("n"))
+    return later.select(*_KEY, "place", F.greatest("n", F.lit(1)).alias("n")).unionByName(
+        copies.select(*_KEY, F.lit(0).alias("place"), F.lit(_ALL).alias("n")))
 
 
-def _merged(runs: list[dict], window: int) -> list[tuple[int, int]]:
+def _merged(runs: list[dict], window: int, n_words: int) -> list[tuple[int, int]]:
     """Maximal intervals of words that runs of windows cover; ends are exclusive."""
     out: list[tuple[int, int]] = []
-    for begin, end in sorted((r["place"], r["place"] + r["n"] - 1 + window) for r in runs):
+    if n_words < window:
+        return out
+    for begin, end in sorted((r["place"], min(n_words, r["place"] + r["n"] - 1 + window)) for r in runs):
         if out and begin <= out[-1][1]:
             out[-1] = out[-1][0], max(out[-1][1], end)
         else:
@@ -270,7 +290,7 @@ def _without(window: int, kept_columns: list[str]):
             n_words, n_removed, sums, kept_texts, intervals = [], [], [], [], []
             for text, runs in zip(texts(batch), batch.column("__runs").to_pylist(), strict=True):
                 words = text.encode("utf-8", "surrogatepass").split()
-                gone = _merged(runs or [], window)
+                gone = _merged(runs or [], window, len(words))
                 kept, done = [], 0
                 for begin, end in gone:
                     kept += words[done:begin]
