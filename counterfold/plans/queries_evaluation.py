@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -510,15 +512,61 @@ def poisson_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _interval_checks(ev, _ratio_errors(ev, "wr", "w"), ["w", "wr"], ope.snipw_value(), "percentile_poisson")
 
 
-@query("OPE19", "OPE20", "D18")
+def _renamed(sql: str, prefix: str) -> str:
+    """The tables of :func:`linear_sql` under other names, so that it can be used twice."""
+    return re.sub(r"\b(lc|lst|ld|lxx|lxs|lmu|lrow|lrhs|lone|lsys|lgj|lth)\b", lambda m: prefix + m[1], sql)
+
+
+_CUSTOMER_STATES = """SELECT c_custkey AS context_id, [1.0, c_acctbal / 10000.0, c_nationkey / 25.0::DOUBLE, """ + ", ".join(
+    f"CASE WHEN c_mktsegment = '{s}' THEN 1.0 ELSE 0.0 END" for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + """] AS x FROM customer"""
+
+
+def _dealt_sql(n: str, rank: str) -> str:
+    return f"CASE WHEN {rank} < ({n} % 5) * ({n} // 5 + 1) THEN {rank} // ({n} // 5 + 1) ELSE {n} % 5 + ({rank} - ({n} % 5) * ({n} // 5 + 1)) // greatest({n} // 5, 1) END"
+
+
+_EVALUATED = ",\n".join([BLOCK, _BLOCK_POLICY, f"""folds AS (SELECT unnest(range(5)) AS fold),
+rd AS MATERIALIZED (SELECT row_seq AS round_id, user_idx AS context_id, action, reward, 1.0::DOUBLE / count(*) OVER (PARTITION BY user_idx) AS p FROM block),
+cf AS MATERIALIZED (SELECT context_id, k AS n, {_dealt_sql('nn', 'rk')} AS fold FROM (SELECT context_id, count(*) AS k,
+  row_number() OVER (ORDER BY {hash32_sql(SEED, 'context_id')}, context_id) - 1 AS rk, count(*) OVER () AS nn FROM rd GROUP BY context_id)),
+po AS (SELECT 'next_action' AS agent, context_id, action, prob FROM bpol UNION ALL SELECT 'random', context_id, unnest(range(5)), 0.2::DOUBLE FROM cf),
+mine AS MATERIALIZED (SELECT agent, rd.*, cf.fold, prob AS pi, prob / p AS w, prob * (1 - p) / (p * p) AS mw FROM rd JOIN cf USING (context_id) JOIN po USING (context_id, action))""",
+    _renamed(linear_sql("SELECT 'all' AS ag, context_id, fold, action, count(*)::DOUBLE AS w, sum(reward) AS s FROM rd JOIN cf USING (context_id) GROUP BY ALL", _CUSTOMER_STATES), "d"),
+    f"""sf AS (SELECT agent, context_id, {_dealt_sql('nn', 'rk')} AS mfold FROM (SELECT agent, context_id,
+  row_number() OVER (PARTITION BY agent ORDER BY {hash32_sql(SEED, 'context_id')}, context_id) - 1 AS rk, count(*) OVER (PARTITION BY agent) AS nn
+  FROM (SELECT DISTINCT agent, context_id FROM mine WHERE mw > 0))),
+mf AS MATERIALIZED (SELECT a.agent, cf.context_id, cf.n, cf.fold, coalesce(mfold, cf.fold) AS mfold FROM cf CROSS JOIN (SELECT DISTINCT agent FROM po) a
+  LEFT JOIN sf ON sf.agent = a.agent AND sf.context_id = cf.context_id)""",
+    _renamed(linear_sql("SELECT m.agent AS ag, m.context_id, mfold AS fold, action, sum(mw) AS w, sum(mw * reward) AS s FROM mine m JOIN mf USING (agent, context_id) GROUP BY ALL", _CUSTOMER_STATES), "m"),
+    """q AS MATERIALIZED (SELECT mf.agent, mf.context_id, a.action, dmu.mu + coalesce(list_dot_product(dth.theta, x), 0) AS q, mmu.mu + coalesce(list_dot_product(mth.theta, x), 0) AS mq
+  FROM mf JOIN dst USING (context_id) CROSS JOIN (SELECT unnest(range(5)) AS action) a JOIN dmu ON dmu.fold = mf.fold JOIN mmu ON mmu.fold = mf.mfold AND mmu.ag = mf.agent
+  LEFT JOIN dth ON dth.fold = mf.fold AND dth.action = a.action LEFT JOIN mth ON mth.fold = mf.mfold AND mth.ag = mf.agent AND mth.action = a.action)""".replace("dst USING", "dlst USING").replace(
+        "dmu", "dlmu").replace("mmu", "mlmu").replace("dth", "dlth").replace("mth", "mlth"),
+    """eq AS (SELECT agent, sum(n * e) AS dm, sum(n * me) AS mm, sum(n) AS n FROM (SELECT agent, context_id, sum(prob * q) AS e, sum(prob * mq) AS me FROM po JOIN q USING (agent, context_id, action) GROUP BY ALL)
+  JOIN cf USING (context_id) GROUP BY agent),
+co AS (SELECT agent, sum(w) AS w, sum(w * w) AS w2, sum(w * reward) AS wr, sum(w * (reward - q)) AS corr, sum(w * (reward - mq)) AS mcorr FROM mine JOIN q USING (agent, context_id, action) GROUP BY agent),
+xv AS (SELECT agent, cf.context_id, n, CASE WHEN agent = 'random' THEN avg(reward) ELSE sum(prob * reward) END AS v FROM po JOIN cf USING (context_id) LEFT JOIN rd USING (context_id, action) GROUP BY agent, cf.context_id, n),
+xx AS (SELECT agent, sum(v * n) / sum(n) FILTER (v IS NOT NULL) AS exact, coalesce(sum(n) FILTER (v IS NOT NULL), 0)::BIGINT AS scored, coalesce(sum(n) FILTER (v IS NULL), 0)::BIGINT AS masked FROM xv GROUP BY agent)"""])
+
+
+@query("OPE19", "OPE20", "D18", sql="WITH RECURSIVE " + _EVALUATED + """
+SELECT agent, unnest(['ipw', 'snipw', 'dm', 'dr', 'mrdr', 'exact']) AS estimator,
+  unnest([round(wr / n, 7), round(wr / w, 7), round(dm / n, 7), round((dm + corr) / n, 7), round((mm + mcorr) / n, 7), round(exact, 7)]) AS value,
+  round(w * w / w2, 6) AS effective_sample_size, 'ok' AS status, '' AS warnings, n::BIGINT AS n_samples, (SELECT count(*) FROM cf) AS n_independent_units,
+  scored AS exact_rounds_scored, masked AS exact_rounds_masked, 'context' AS resampling_unit, 'cross_fitted_linear(k=5)_ridge(1)' AS q_model, true AS inside
+FROM eq JOIN co USING (agent) JOIN xx USING (agent)""")
 def evaluated_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete result rows on the block: all estimators, intervals, provenance."""
+    """Result rows on the block: all estimators with status, interval and provenance."""
     _, block, rounds = block_rounds(spark, sf_dir)
     pols = block_policy(block).withColumn("agent", F.lit("next_action"))
     params = EvaluationParams(estimators=("ipw", "snipw", "dm", "dr", "mrdr", "exact"), n_bootstrap=100)
-    return ope.evaluate_policies(
-        rounds, pols, 5, params, uniform=("random",), contexts=customer_contexts(spark, sf_dir), block=block,
+    out = ope.evaluate_policies(
+        rounds, pols, 5, params, uniform=("random",), contexts=customer_contexts(spark, sf_dir), block=block, seed=SEED,
         provenance={"dataset": "orders", "state_source": "raw_features", "propensity_source": "eval_block:enumerated_empirical"})
+    out = out.withColumn("inside", F.col("value").between(F.col("ci_lower"), F.col("ci_upper")))
+    return rounded(rounded(out.select(
+        "agent", "estimator", "value", "effective_sample_size", "status", "warnings", "n_samples", "n_independent_units", "exact_rounds_scored",
+        "exact_rounds_masked", "resampling_unit", "q_model", "inside"), "value", digits=7), "effective_sample_size", digits=6)
 
 
 # ------------------------------------------------------------------ reference policies
