@@ -29,16 +29,20 @@ def fit_vocabulary(df: DataFrame, column: str) -> DataFrame:
 
 def extend_vocabulary(vocab: DataFrame, df: DataFrame, column: str) -> DataFrame:
     """Append unseen values after the largest code; existing codes never change."""
+    return vocab.unionByName(new_values(vocab, df, column))
+
+
+def new_values(vocab: DataFrame, df: DataFrame, column: str) -> DataFrame:
+    """Values of ``column`` that ``vocab`` lacks, with the codes after its largest one."""
     known = vocab.filter(F.col("column_name") == column)
     start = known.agg(F.coalesce(F.max("code"), F.lit(-1)).alias("m")).first()["m"] + 1
     fresh = (
         df.select(as_category(column).alias("value")).distinct()
         .join(known.select("value"), "value", "left_anti")
     )
-    added = dense_index(fresh, ["value"], "code").select(
+    return dense_index(fresh, ["value"], "code").select(
         F.lit(column).alias("column_name"), "value", (F.col("code") + F.lit(start)).alias("code")
     )
-    return vocab.unionByName(added)
 
 
 def encode_categories(df: DataFrame, vocab: DataFrame, columns: list[str]) -> DataFrame:

@@ -197,8 +197,9 @@ def prepared_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "prepared")
     key = {"table": sf_dir, "split": vars(BY_TIME), "seed": SEED}
     build = lambda: event_parts(spark, sf_dir)
-    results.materialise(spark, folder, key, build)
-    again = results.materialise(spark, folder, key, build)
+    inputs = [f"{sf_dir}/events.parquet"]
+    results.materialise(spark, folder, key, build, inputs=inputs)
+    again = results.materialise(spark, folder, key, build, inputs=inputs)
     return rounded(again.groupBy("part").agg(F.count("*").alias("n"), F.avg("reward").alias("mean_reward")), "mean_reward")
 
 

@@ -710,15 +710,33 @@ def policy_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "top_action_share", "entropy_nats", "max_entropy_nats")
 
 
-@query("REF12", "RES11")
+_REPORT = ",\n".join([BLOCK, _BLOCK_POLICY, _SHUFFLED, _VALUES.lstrip(", "), """bf AS (SELECT action, avg(t / 2.6e12 % 12) AS item_feature, any_value(value) AS value FROM bl JOIN cv USING (action) GROUP BY action)""",
+    _antitonic_sql("bf"), """va AS (SELECT sum(reward * n_rounds) / sum(n_rounds) FILTER (reward IS NOT NULL) AS value, sum(baseline * n_rounds) FILTER (reward IS NOT NULL) / sum(n_rounds) FILTER (reward IS NOT NULL) AS feature_predicted,
+  coalesce(sum(n_rounds) FILTER (reward IS NOT NULL), 0)::BIGINT AS rounds_scored, coalesce(sum(n_rounds) FILTER (reward IS NULL), 0)::BIGINT AS rounds_masked
+  FROM weights JOIN bpol USING (context_id) JOIN bf ON bf.action = bpol.action JOIN af USING (item_feature) LEFT JOIN block ON user_idx = context_id AND block.action = bpol.action),
+us AS (SELECT action, sum(n_rounds) AS w, count(*) AS k, sum(n_rounds) / (sum(sum(n_rounds)) OVER ())::DOUBLE AS share FROM bpol JOIN weights USING (context_id) GROUP BY action),
+cn AS (SELECT count(*) AS n_distinct_actions, sum(k)::BIGINT AS n_contexts, arg_max(action, w * 1000 - action) AS top_action, max(share) AS top_action_share, -sum(share * ln(share)) AS entropy_nats FROM us),
+rk AS (SELECT action AS top_action, rank() OVER (ORDER BY value DESC) AS constant_rank FROM cv),
+pm AS (SELECT avg(v) AS shuffled_mean, stddev_samp(v) AS sd, (count(*) FILTER (v >= realised - 1e-12) + 1) / (count(*) + 1)::DOUBLE AS p_value FROM nl, real)"""])
+
+
+@query("REF12", "RES11", sql="WITH RECURSIVE " + _REPORT + """
+SELECT 'next_action' AS agent, round(value, 9) AS value, rounds_scored, rounds_masked, n_distinct_actions, n_contexts, top_action, round(top_action_share, 9) AS top_action_share,
+  round(entropy_nats, 9) AS entropy_nats, round(ln(5.0::DOUBLE), 9) AS max_entropy_nats, n_distinct_actions = 1 AS collapsed, constant_rank, round(shuffled_mean, 9) AS shuffled_mean,
+  round(value - shuffled_mean, 9) AS gain_from_matching, round((value - shuffled_mean) / sd, 6) AS z_score, round(p_value, 9) AS p_value, round(feature_predicted, 9) AS feature_predicted,
+  round(value - feature_predicted, 9) AS feature_adjusted_residual
+FROM va, cn JOIN rk USING (top_action), pm""")
 def reference_policy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The combined report of one agent, its item feature being the order month."""
     rows, block, rounds = block_rounds(spark, sf_dir)
     block, rounds = durable(block), durable(rounds)
     train = rows.withColumn("feature", (F.col("t") / 2.6e12) % 12)
-    return reference.reference_report(
+    out = reference.reference_report(
         {"next_action": durable(block_policy(block))}, block, durable(reference.context_weights(rounds)), train, 5,
-        n_permutations=200)
+        n_permutations=200, seed=SEED)
+    out = rounded(out, "value", "top_action_share", "entropy_nats", "max_entropy_nats", "shuffled_mean", "gain_from_matching", "p_value",
+                  "feature_predicted", "feature_adjusted_residual")
+    return rounded(out, "z_score", digits=6)
 
 
 @query("CHK5", sql=ctes(EVENT_SPLIT) + "SELECT (SELECT count(DISTINCT context_id) FROM test) * (SELECT count(*) FROM acts) AS cells")

@@ -18,7 +18,7 @@ from counterfold.plans.registry import BLOCK, EVENT_ROUNDS, LINE_ROUNDS, ctes, q
 from counterfold.session import durable, scratch_path
 from counterfold.sources import results
 from counterfold.sources.tables import line_rounds, table, units
-from counterfold.streaming.incremental import StoredState, linucb_sink, running_estimates, vocabulary_sink
+from counterfold.streaming.incremental import StoredState, linucb_sink, linucb_state, running_estimates, vocabulary_sink
 
 # ------------------------------------------------------------------ graph
 
@@ -614,7 +614,7 @@ def streaming_arm_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arm statistics on the whole state, kept outside the stream: every sum of every arm."""
     states = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("context_id"), F.transform("embedding", lambda x: x.cast("double")).alias("context"))
-    state = StoredState(spark, scratch_path(spark, "arms"))
+    state = linucb_state(spark, scratch_path(spark, "arms"))
     _drain(spark, _event_stream(spark, sf_dir).join(states, "context_id").writeStream.foreachBatch(linucb_sink(state, 64)))
     out = state.read()
     sums = [out.select("action", F.lit(part).alias("part"), F.posexplode(part).alias("position", "value")) for part in ("xx", "xr")]

@@ -138,12 +138,38 @@ def write_results(df: DataFrame, path: str, fmt: str = "json", partition_by: tup
     writer.format(fmt).save(path)
 
 
-def materialise(spark: SparkSession, folder: str, params: dict, build, force: bool = False) -> DataFrame:
-    """Reuse ``folder/<fingerprint>`` when it is complete, else build and write it."""
-    path = f"{folder}/{fingerprint(params)}"
+def data_manifest(spark: SparkSession, paths: list[str]) -> dict:
+    """What tells one state of the input files from another: a digest of their names, lengths and change times.
+
+    Digests of single files are added up as they are listed, so the number of
+    files does not matter.  Works on any file system that Spark reads.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    total = files = size = 0
+    for path in sorted(paths):
+        root = jvm.org.apache.hadoop.fs.Path(path)
+        fs = root.getFileSystem(conf)
+        refuse_if(not fs.exists(root), "input_missing", path)
+        listed = fs.listFiles(root, True)
+        while listed.hasNext():
+            f = listed.next()
+            text = f"{path}|{f.getPath().toUri().getPath()}|{f.getLen()}|{f.getModificationTime()}"
+            total = (total + int(hashlib.sha256(text.encode()).hexdigest(), 16)) % (1 << 256)
+            files, size = files + 1, size + f.getLen()
+    return {"files": files, "bytes": size, "digest": f"{total:064x}"}
+
+
+def materialise(spark: SparkSession, folder: str, params: dict, build, force: bool = False, inputs: list[str] | None = None) -> DataFrame:
+    """Reuse ``folder/<fingerprint>`` when it is complete, else build and write it.
+
+    The fingerprint covers ``params`` and the state of all files below ``inputs``,
+    so data that changed are prepared anew and what was made of the old ones stays.
+    """
+    key = params if inputs is None else {**params, "inputs": data_manifest(spark, inputs)}
+    path = f"{folder}/{fingerprint(key)}"
     if force or not _exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
-        record = spark.createDataFrame([(json.dumps(params, sort_keys=True, default=str),)], "params string")
+        record = spark.createDataFrame([(json.dumps(key, sort_keys=True, default=str),)], "params string")
         record.coalesce(1).write.mode("overwrite").text(f"{path}.params")
     return spark.read.parquet(path)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from counterfold.errors import AnalysisRefused
 from counterfold.operators import graph, policies, rollup, uplift
 from counterfold.sources import results
-from counterfold.streaming.incremental import StoredState, linucb_sink, running_estimates, vocabulary_sink
+from counterfold.streaming.incremental import StoredState, linucb_sink, linucb_state, running_estimates, vocabulary_sink
 
 
 def refused(reason):
@@ -274,10 +274,39 @@ def test_run_attribution(spark):
 
 def test_stored_state_skips_replays_and_ignores_unfinished(spark, tmp_path):
     state = StoredState(spark, str(tmp_path / "s"))
-    add = lambda old: spark.range(1) if old is None else old.unionByName(spark.range(1))
+    add = lambda old: spark.range(1)
     assert state.apply(0, add) and not state.apply(0, add) and state.apply(1, add)
-    (tmp_path / "s" / "v000000000009").mkdir()  # a writer died here
+    (tmp_path / "s" / "delta-000000000009").mkdir()  # a writer died here
+    (tmp_path / "s" / "base-000000000007").mkdir()
     assert state.latest() == 2 and state.read().count() == 2
+    assert state.apply(9, add) and state.latest() == 10 and state.read().count() == 3
+
+
+def test_stored_state_compacts_and_survives_a_crash_between(spark, tmp_path, monkeypatch):
+    total = lambda parts: parts.groupBy("k").agg(F.sum("n").alias("n"))
+    folder = tmp_path / "s"
+    state = StoredState(spark, str(folder), total, compact_every=3)
+    add = lambda k: lambda old: spark.createDataFrame([(k, 1)], "k string, n long")
+    names = lambda: sorted(p.name for p in folder.iterdir())
+    for batch in range(2):
+        state.apply(batch, add("a"))
+    assert names() == ["delta-000000000000", "delta-000000000001"]  # each holds its batch alone
+    assert spark.read.parquet(str(folder / "delta-000000000001")).first()[:] == ("a", 1)
+    # the writer dies after the delta and before the base is complete, and the batch comes again
+    monkeypatch.setattr(StoredState, "compact", lambda self: (_ for _ in ()).throw(RuntimeError("died")))
+    with pytest.raises(RuntimeError):
+        state.apply(2, add("b"))
+    monkeypatch.undo()
+    (folder / "base-000000000003").mkdir()
+    assert not state.apply(2, add("b")) and state.latest() == 3
+    assert {tuple(r) for r in state.read().collect()} == {("a", 2), ("b", 1)}
+    assert state.apply(3, add("b")) and names() == ["base-000000000004"]
+    # it dies after the base is complete and before its parts are gone: they are neither read nor applied again
+    spark.createDataFrame([("a", 1)], "k string, n long").write.parquet(str(folder / "delta-000000000003"))
+    assert {tuple(r) for r in state.read().collect()} == {("a", 2), ("b", 2)} and not state.apply(3, add("b"))
+    for batch in (4, 5, 6):
+        state.apply(batch, add("c"))
+    assert names() == ["base-000000000007"] and {tuple(r) for r in state.read().collect()} == {("a", 2), ("b", 2), ("c", 3)}
 
 
 def test_streams_equal_batch(spark, tmp_path):
@@ -303,7 +332,7 @@ def test_streams_equal_batch(spark, tmp_path):
     w = (frame.action == 1) / frame.propensity
     assert live.snipw[0] == pytest.approx((w * frame.reward).sum() / w.sum())
 
-    arms = StoredState(spark, str(tmp_path / "arms"))
+    arms = linucb_state(spark, str(tmp_path / "arms"), compact_every=2)
     run(stream.writeStream.foreachBatch(linucb_sink(arms, 2)), "c2")
     assert arms.latest() == 3
     for p, q in zip(arms.read().orderBy("action").collect(), policies.linucb_statistics(rounds, 2).orderBy("action").collect(), strict=True):
