@@ -18,6 +18,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -150,7 +151,7 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             maps.append(zlib.compress(np.packbits(keep).tobytes()))
         yield pa.RecordBatch.from_arrays(
             [batch.column("has_id"), batch.column("doc_id"), batch.column("text_hash"),
-             pa.array([len(set(g)) for g in batch.column("gone").to_pylist()], pa.int64()), pa.array(maps, pa.binary())],
+             pc.list_value_length(batch.column("gone")).cast(pa.int64()), pa.array(maps, pa.binary())],
             names=["has_id", "doc_id", "text_hash", "n_dropped", "keep"])
 
 
@@ -182,7 +183,7 @@ def line_keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, k
     known = spark.sparkContext.broadcast(edges)
     gone = rows.mapInArrow(
         _dropped(min_docs, keep_first, known), "has_id boolean, doc_id long, text_hash long, position int")
-    per_doc = gone.groupBy("has_id", "doc_id", "text_hash").agg(F.collect_list("position").alias("gone"))
+    per_doc = gone.groupBy("has_id", "doc_id", "text_hash").agg(F.collect_set("position").alias("gone"))
     return per_doc.mapInArrow(
         _bitmaps, "has_id boolean, doc_id long, text_hash long, n_dropped long, keep binary")
 

@@ -76,18 +76,21 @@ def held_out(doc_id: Column) -> Column:
 
 def _sample(docs: DataFrame, labels: DataFrame, p: ToxicityParams) -> DataFrame:
     usable = labels.select("doc_id", "toxic").where(
-        F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
+        F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
+            (F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
     share = min(1.0, p.train_rows / max(1, usable.count()))
-    picked = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    picked = picked.limit(2 * p.train_rows).dropDuplicates(["doc_id"])
-    # at most 2 * train_rows pairs of numbers, so broadcasting them is bounded
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")
+    drawn = F.xxhash64("doc_id", F.lit(5))
+    picked = usable.where(F.pmod(drawn, F.lit(1_000_000)) < int(share * 1_000_000) + 1).orderBy(drawn, "doc_id").limit(2 * p.train_rows)
+    # at most 2 * train_rows pairs of numbers, so broadcasting them is bounded; one text for each id bounds the rows
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic"))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams | None = None) -> ToxicityModel:
-    """Fit on at most about ``train_rows`` labelled rows that aren't held out.
+    """Fit on at most about ``train_rows`` labelled documents that aren't held out.
 
-    Without usable labels, or with one class only, the model scores every text
+    A document counts once, with the label that most of its rows in ``labels`` have (toxic in a
+    tie) and, of several texts, the one of the least hash.  Without usable labels, or with one class only, the model scores every text
     as its one class (0 without any).
     """
     p = params or ToxicityParams()

@@ -351,3 +351,16 @@ def test_pipeline_stage_by_stage(spark, tmp_path, sf_dir):
             times = before.doc_id.value_counts()
             assert out.groupby("doc_id")["length"].sum().to_dict() == (total * times).to_dict()
         docs = after
+
+
+def test_a_document_on_many_rows_is_learned_from_once(spark):
+    """Ten thousand copies of one labelled row, and labels that contradict each other, leave one training row an id."""
+    ids = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, f"text {i}") for i in ids] + [(ids[0], f"text {ids[0]}")] * 10_000 + [(ids[1], "another text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] + [(ids[2], 1 - ids[2] % 2)] * 2 + [(ids[3], None)], "doc_id long, toxic int")
+    sample = toxicity._sample(docs, labels, toxicity.ToxicityParams()).collect()
+    assert sorted(r.doc_id for r in sample) == ids
+    assert {r.doc_id: r.toxic for r in sample}[ids[2]] == 1 - ids[2] % 2
+    few = toxicity._sample(docs, labels, dc.replace(toxicity.ToxicityParams(), train_rows=2)).collect()
+    assert len(few) <= 4

@@ -333,3 +333,13 @@ def test_page_text_of_the_test_pages(spark, sf_dir):
         inner = r.html[r.html.index("<article>") + 9:r.html.rindex("</article>")]
         blocks = [" ".join(html.unescape(re.sub("<[^>]+>", "", b.replace("<br>", " "))).split()) for b in re.split("</?(?:p|h1)>", inner)]
         assert got[r.page_id] == "\n\n".join(b for b in blocks if b)
+
+
+def test_lines_of_a_document_on_many_rows(spark):
+    """Positions of dropped lines are kept once, however many rows repeat the document."""
+    rows = [(1, "same line\nown 1\nsame line")] * 500 + [(i, f"same line\nown {i}") for i in range(2, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    maps = {r.doc_id: r.n_dropped for r in line_dedup.line_keep_bitmaps(docs).collect()}
+    assert maps == {1: 2, **{i: 1 for i in range(2, 12)}}
+    out = line_dedup.drop_repeated_lines(docs).where("doc_id = 1").select("text", "n_dropped").distinct().collect()
+    assert [tuple(r) for r in out] == [("own 1", 2)]
