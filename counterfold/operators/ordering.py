@@ -207,33 +207,37 @@ def _from_key(key: int, dtype: T.DataType):
     return float((i ^ ((i >> np.int64(63)) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.float64))
 
 
-def _values_at(df: DataFrame, col: str, ranks: Sequence[int]) -> dict:
+def _values_at(df: DataFrame, col: str, ranks: Sequence[int], span: tuple | None = None) -> dict:
     """``rank -> (value, rows below it, rows equal to it)`` for 0-based ranks of non-null values.
 
     A rank beyond them is left out, with their number under ``None``.  All
     ranks are narrowed in the same scans; each decides the next bits of the
     order key, so any data take at most six scans, and fewer when a range
-    holds one value.
+    holds one value.  ``span`` (:func:`extent` of a whole-number column) tells which
+    leading bits all values share, and those take no scan.
     """
     dtype = df.schema[col].dataType
     keyed = df.select(_order_key(col, dtype).alias("__s")).where("__s IS NOT NULL")
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         keyed = keyed.select("__s")
     u = F.col("__s").bitwiseXOR(F.lit(-(1 << 63)))
-    state = {rank: (0, 0) for rank in ranks}  # leading bits, rows below
+    depth = lead = 0
+    if span is not None and isinstance(span[0], int) and isinstance(span[1], int):
+        low, high = span[0] + (1 << 63), span[1] + (1 << 63)
+        depth = min(63, 64 - (low ^ high).bit_length())
+        lead = low >> (64 - depth)
+    state = {rank: (lead, 0) for rank in ranks}  # leading bits, rows below
     done: dict = {}
-    depth = 0
     while state:
         after = min(64, depth + _PASS_BITS)
         rows = keyed
-        if depth:
+        if None in done:
             signed = sorted({p - (1 << depth) if depth == 64 and p >> 63 else p for p, _ in state.values()})
             rows = rows.where(F.shiftrightunsigned(u, 64 - depth).isin(signed))
         parts = rows.groupBy(F.shiftrightunsigned(u, 64 - after).alias("b")).agg(
             F.min("__s").alias("lo"), F.max("__s").alias("hi"), F.count("*").alias("n")).collect()
         parts = sorted((r["lo"], r["hi"], r["n"], r["b"] & ((1 << after) - 1)) for r in parts)
-        if depth == 0:
-            done[None] = sum(p[2] for p in parts)
+        done.setdefault(None, sum(p[2] for p in parts))  # the first scan reads all
         going = {}
         for rank, (lead, below) in state.items():
             for lo, hi, n, b in parts:
@@ -254,13 +258,14 @@ def _is_number(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType, T.DoubleType, T.FloatType))
 
 
-def order_boundaries(df: DataFrame, order: Sequence[str], ranks: Sequence[int]) -> list[tuple]:
+def order_boundaries(df: DataFrame, order: Sequence[str], ranks: Sequence[int], span: tuple | None = None) -> list[tuple]:
     """The key at each 0-based rank of the lexicographic order, nulls last.
 
     Each pass is one scan with a map-side histogram; a few passes find the
     exact key in any number of rows with no shuffle of the data.  Ties on
     the first column are resolved on the next.  A key is cut short when its
     leading columns already separate the rows before it from the rest.
+    ``span`` is :func:`extent` of the first column, if it is known.
     """
     keys = df.select(*order)
     types = {f.name: f.dataType for f in keys.schema.fields}
@@ -269,7 +274,7 @@ def order_boundaries(df: DataFrame, order: Sequence[str], ranks: Sequence[int])
         by = [F.col(c).asc_nulls_last() for c in order]
         rows = dense_index(keys, by, "__i").filter(F.col("__i").isin(list(ranks))).collect()
         return [tuple(next(r for r in rows if r["__i"] == rank))[: len(order)] for rank in ranks]
-    at = _values_at(keys, order[0], ranks)
+    at = _values_at(keys, order[0], ranks, span)
     found = []
     for rank in ranks:
         value, below, ties = at.get(rank, (None, at[None], 2))
@@ -306,7 +311,7 @@ def cut_by_rank(
     """
     rows = span[2]
     inner = [c for c in cuts if 0 < c < rows]
-    bounds = dict(zip(inner, order_boundaries(df, order, inner), strict=True))
+    bounds = dict(zip(inner, order_boundaries(df, order, inner, span), strict=True))
     expr = F.lit(labels[-1])
     for cut, label in reversed(list(zip(cuts, labels[:-1], strict=True))):
         if cut <= 0:

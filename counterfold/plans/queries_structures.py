@@ -194,17 +194,53 @@ def held_out_ranking_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graph.ranking_loss(_triples(spark, sf_dir)[1], _node_features(spark, sf_dir)), "loss")
 
 
+def _seeded_sql(d: int) -> str:
+    draw = lambda half: f"({hash32_sql(f'{SEED}.{half}', 'node_id', str(d))} + 0.5::DOUBLE) / 4294967296.0"
+    return f"sqrt(-2 * ln({draw('a')})) * cos(6.283185307179586 * ({draw('b')})) AS x{d}"
+
+
+def _loss_sql(name: str, vectors: str) -> str:
+    margin = " + ".join(f"a.x{d} * (b.x{d} - c.x{d})" for d in range(64))
+    return f"""SELECT '{name}' AS architecture, avg(ln(1 + exp(-abs(m))) + greatest(-m, 0)) AS loss, count(*) AS n_triples FROM
+  (SELECT {margin} AS m FROM ng JOIN {vectors} a ON a.node_id = src JOIN {vectors} b ON b.node_id = dst JOIN {vectors} c ON c.node_id = negative)"""
+
+
+_UNTRAINED = ", ".join([
+    "tr AS MATERIALIZED (SELECT src, dst FROM ho WHERE NOT is_val UNION SELECT dst, src FROM ho WHERE NOT is_val)",
+    "td AS (SELECT src, count(*) AS degree FROM tr GROUP BY src)",
+    "tn AS MATERIALIZED (SELECT tr.src, tr.dst, 1 / sqrt(a.degree::DOUBLE * b.degree) AS norm FROM tr JOIN td a ON a.src = tr.src JOIN td b ON b.src = tr.dst)",
+    "s0 AS MATERIALIZED (SELECT node_id, " + ", ".join(_seeded_sql(d) for d in range(64)) + " FROM nd)",
+    *(f"s{k} AS MATERIALIZED (SELECT nd.node_id, {_each('coalesce(s.x{d}, 0) AS x{d}')} FROM nd LEFT JOIN (SELECT src, {_each('sum(norm * x{d}) AS x{d}')} "
+      f"FROM tn JOIN s{k - 1} ON node_id = dst GROUP BY src) s ON s.src = nd.node_id)" for k in (1, 2, 3)),
+    f"pr AS MATERIALIZED (SELECT node_id, {_each('(s0.x{d} + s1.x{d} + s2.x{d} + s3.x{d}) / 4 AS x{d}')} "
+    "FROM s0 JOIN s1 USING (node_id) JOIN s2 USING (node_id) JOIN s3 USING (node_id))",
+    f"ls AS ({_loss_sql('seeded', 's0')} UNION ALL {_loss_sql('propagated', 'pr')})"])
+
+
+@query("GRA16", "GRA14", sql=ctes(_GRAPH, _HELD, _NEG) + ", " + _UNTRAINED + """
+SELECT architecture, round(loss, 6) AS loss, n_triples, rank() OVER (ORDER BY loss)::INTEGER AS rank FROM ls""")
+def untrained_encoders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out loss of seeded node features and of three hops over the training graph, best first."""
+    train, triples, start = _encoder_input(spark, sf_dir)
+    light = graph.light_propagation(graph.undirected(train), start, 3)
+    return rounded(graph.compare_encoders({"seeded": start, "propagated": light}, triples), "loss", digits=6)
+
+
+def _encoder_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Training edges, held-out triples and seeded features of all nodes."""
+    train, triples = _triples(spark, sf_dir)
+    return durable(train), durable(triples), durable(graph.seeded_features(graph.nodes(spark, *_sizes(spark, sf_dir)), 64, SEED))
+
+
 @query("GRA15", "GRA16")
 def encoder_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held-out loss of matrix factors against seeded and propagated features."""
-    n_users, n_items = _sizes(spark, sf_dir)
-    train, triples = _triples(spark, sf_dir)
-    triples, train = durable(triples), durable(train)
-    start = durable(graph.seeded_features(graph.nodes(spark, n_users, n_items), 8, SEED))
-    known = graph.als_embeddings(train, n_users, 8, 3, seed=SEED)
+    """Held-out loss of 64 matrix factors against seeded and propagated features."""
+    n_users, _ = _sizes(spark, sf_dir)
+    train, triples, start = _encoder_input(spark, sf_dir)
+    known = graph.als_embeddings(train, n_users, 64, 10, seed=SEED)
     als = start.join(known.withColumnRenamed("embedding", "e"), "node_id", "left").select(
         "node_id", F.coalesce(F.transform("e", lambda x: x.cast("double")), F.transform("embedding", lambda x: F.lit(0.0))).alias("embedding"))
-    light = graph.light_propagation(graph.undirected(train), start, 2)
+    light = graph.light_propagation(graph.undirected(train), start, 3)
     return rounded(graph.compare_encoders({"als": als, "seeded": start, "propagated": light}, triples), "loss", digits=6)
 
 
